@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, quality_rules
+from . import exact_dedup, line_dedup, packing, pieces, quality_rules, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_pieces": pieces.query,
+    "op3_token_counts": token_counts.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_packing": packing.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
