@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, pieces, quality_rules, token_counts
+from . import exact_dedup, line_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_pieces": pieces.query,
     "op3_token_counts": token_counts.query,
+    "op5_quality_model": quality_model.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_lm_scoring": lm_scoring.query,
     "op8_packing": packing.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {
