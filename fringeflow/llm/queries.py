@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, token_counts
+from . import exact_dedup, line_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_pieces": pieces.query,
     "op3_token_counts": token_counts.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_quality_model": quality_model.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_lm_scoring": lm_scoring.query,
