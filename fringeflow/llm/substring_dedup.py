@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, table, texts
 from .words import mix, signed, window_hashes, words_of
 
-WINDOW, ANCHOR, HOT, PATTERNS, BATCH_PATTERNS = 20, 6, 1000, 64, 20_000
+WINDOW, ANCHOR, HOT, PATTERNS, BATCH_PATTERNS = 20, 6, 3000, 2000, 20_000
 ALL = (1 << 31) - 1
 
 
@@ -194,17 +194,39 @@ def _hot_windows(batches):
 
 
 def _hot_search(batches):
-    now, automaton = None, None
+    """Rows sorted by (h, chunk, salt, kind): the phrases of a chunk come before the segments that stream through it."""
+    now, phrases, firsts, automaton = None, [], [], None
     for batch in batches:
         out = []
-        for h, chunk, doc_id, th, lo, words, patterns in zip(*(batch.column(c).to_pylist() for c in ("h", "chunk", "doc_id", "th", "lo", "words", "patterns"))):
-            if (h, chunk) != now:
-                now, automaton = (h, chunk), Automaton([p["phrase"] for p in patterns])
-            starts = [lo + at for k, at in automaton.places(words) if (doc_id, lo + at) > (patterns[k]["first"]["doc_id"], patterns[k]["first"]["start"])]
-            out += _ranges(doc_id, th, starts)
+        for key, kind, doc_id, th, lo, words in zip(zip(*(batch.column(c).to_pylist() for c in ("h", "chunk", "salt"))), *(batch.column(c).to_pylist() for c in ("kind", "doc_id", "th", "lo", "words"))):
+            if key != now:
+                now, phrases, firsts, automaton = key, [], [], None
+            if kind == 0:
+                phrases.append(words)
+                firsts.append((doc_id, lo))
+            elif phrases:
+                automaton = automaton or Automaton(phrases)
+                out += _ranges(doc_id, th, [lo + at for k, at in automaton.places(words) if (doc_id, lo + at) > firsts[k]])
         yield _gone_rows(out)
 
 
+def _hot(hot: DataFrame) -> DataFrame:
+    """Covered ranges among the segments of very frequent anchors: phrases in chunks, segments in salted shares, each share with its chunk's phrases."""
+    confirmed = hot.mapInArrow(_hot_windows, "h long, phrase string, doc_id long, start int").groupBy("h", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
+    confirmed = materialise(confirmed.where("n > 1").select("h", "phrase", "first"), "confirmed")
+    long = lambda c: c.cast("long")
+    chunks = confirmed.groupBy("h").agg(long(F.ceil(F.count("*") / F.lit(PATTERNS))).alias("chunks"))
+    salts = hot.groupBy("h").agg(long(F.ceil(F.count("*") / F.lit(HOT))).alias("salts"))
+    shape = materialise(chunks.join(salts, "h"), "shape")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["h", "chunk", "salt", "kind", "doc_id", "th", "lo", "words"]
+    rules = confirmed.join(shape, "h").withColumn("chunk", F.pmod(F.xxhash64("phrase"), "chunks")).withColumn("salt", each("salts"))
+    rules = rules.select("h", "chunk", "salt", F.lit(0).alias("kind"), F.col("first.doc_id").alias("doc_id"), F.lit(0).cast("long").alias("th"), F.col("first.start").alias("lo"), F.col("phrase").alias("words"))
+    streams = hot.join(shape, "h").withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), "salts")).withColumn("chunk", each("chunks")).withColumn("kind", F.lit(1))
+    rows = rules.union(streams.select(*columns)).repartition("h", "chunk", "salt").sortWithinPartitions("h", "chunk", "salt", "kind")
+    return rows.mapInArrow(_hot_search, "doc_id long, th long, lo int, hi int")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(doc_id, th, gone): per document with repeated windows, ranges lo..hi of covered window starts; th is xxhash64 of the text."""
     small_batches(docs.sparkSession)
@@ -226,11 +248,7 @@ def covered(docs: DataFrame) -> DataFrame:
     gone = cold.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(_shard, "doc_id long, th long, lo int, hi int")
     hot = segments.where("hot").distinct()
     if segments.where("hot").limit(1).count():
-        confirmed = hot.mapInArrow(_hot_windows, "h long, phrase string, doc_id long, start int").groupBy("h", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-        confirmed = confirmed.where("n > 1").select("h", F.struct("phrase", "first").alias("p"), F.xxhash64("phrase").alias("x"))
-        chunks = confirmed.groupBy("h").agg(F.ceil(F.count("*") / F.lit(PATTERNS)).cast("long").alias("chunks"))
-        patterns = materialise(confirmed.join(chunks, "h").groupBy("h", F.pmod("x", "chunks").alias("chunk")).agg(F.collect_list("p").alias("patterns")), "patterns")
-        gone = gone.union(hot.join(patterns, "h").select("h", "chunk", "doc_id", "th", "lo", "words", "patterns").mapInArrow(_hot_search, "doc_id long, th long, lo int, hi int"))
+        gone = gone.union(_hot(materialise(hot, "hot")))
     gone = gone.union(copies.select("doc_id", "th", F.lit(0).alias("lo"), F.lit(ALL).alias("hi")))
     return materialise(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "gone")
 
