@@ -4,7 +4,8 @@ Documents with equal n-gram sets are one class. Classes are dealt to shards so
 that each pair that links shares one: sets whose sizes are within a factor of
 1 / 0.9 differ in at most k n-grams, so of k + 1 parts of a set (n-grams dealt by
 hash) one at least is the same in both; each part of a set is a shard key. A
-shard whose members are all in one larger shard is left out.
+shard whose members are all in one larger shard is left out, and shards that
+share members are made one while they are small.
 
 In a shard, sets in global n-gram order form a trie. A search walks the trie
 once for all members, sharing the overlap found so far on common paths, and
@@ -282,6 +283,17 @@ def shards(d: DataFrame, size: int, need: int) -> DataFrame:
     return materialise(members.join(kept, "key"), "shards")
 
 
+def merged(found: DataFrame, block: int) -> DataFrame:
+    """Shards that share members made one, where at most ``block`` sets are so connected: a set then moves once. Larger ones stay as they are."""
+    low = found.groupBy("key").agg(F.min("node").alias("b"))
+    joint = components(found.join(low, "key").select(F.col("node").alias("a"), "b"))
+    sizes = joint.groupBy("comp").agg(F.count("*").alias("size"))
+    joint = materialise(joint.join(sizes, "comp"), "joint")
+    small = joint.where(F.col("size") <= block).select(F.col("comp").alias("key"), "node", F.col("size").alias("n"))
+    large = found.join(joint.where(F.col("size") > block).select("node"), "node", "left_semi").select("key", "node", "n")
+    return small.union(large)
+
+
 def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of ``docs`` with a doc_id.
 
@@ -294,7 +306,7 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     prints = materialise(d.mapInArrow(_prints(size), "doc_id long, n long, f1 long, f2 long"), "prints")
     classes = materialise(prints.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    found = shards(d, size, need).join(classes.select(F.col("f1").alias("node"), F.col("rep").alias("doc_id")), "node").select("key", "doc_id", "n")
+    found = merged(shards(d, size, need), block).join(classes.select(F.col("f1").alias("node"), F.col("rep").alias("doc_id")), "node").select("key", "doc_id", "n")
     wanted = found.select("doc_id").distinct()
     first = d.join(wanted, "doc_id", "left_semi")  # a repeated doc_id with another text gives a set of its own
     grams = materialise(first.mapInArrow(_sets(size), "doc_id long, grams array<long>"), "grams")
