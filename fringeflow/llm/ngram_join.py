@@ -178,12 +178,20 @@ def link(ids: list[int], sets: list[np.ndarray], queries: list[int], need: int =
     """Links that connect whatever links between a query and any member: (doc, smaller doc) pairs, a forest."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
     ids, sets, place = [ids[i] for i in order], [sets[i] for i in order], {p: k for k, p in enumerate(order)}
-    forest, trie = Forest(ids), Trie(sets)
-    for q in queries:
-        if forest.parts == 1:
-            break
-        for i in trie.search(sets[place[q]], need):
-            forest.join(place[q], i)
+    forest, trie, todo, asked = Forest(ids), Trie(sets), {place[q] for q in queries}, len(queries)
+    while todo and forest.parts > 1:
+        parts = [forest.find(i) for i in range(len(ids))]
+        sizes = np.bincount(parts)
+        big = int(np.argmax(sizes))
+        # pairs within the largest part need no search, and pairs with it are found from the other side
+        q = next((i for i in sorted(todo) if parts[i] != big), None)
+        if q is None:
+            if asked == len(ids):
+                break
+            q = min(todo)
+        todo.discard(q)
+        for i in trie.search(sets[q], need):
+            forest.join(q, i)
     return [(ids[i], ids[forest.find(i)]) for i in range(len(ids)) if forest.find(i) != i]
 
 
