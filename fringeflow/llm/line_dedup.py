@@ -17,24 +17,31 @@ SITES, MIN_WORDS, LG_K = 5, 4, 10
 
 
 def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
-    key = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.col("text").cast("string").alias("text"))
+    # one regexp a text, which matches only white space that changes; a filter would otherwise run it again for each use of the line
+    even = F.regexp_replace(F.col("text").cast("string"), r"\x20[\x20\x09\x0B-\x0D]+|[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*", " ")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), even.alias("text"))
     d = d.where("doc_id is not null and text is not null").select("doc_id", "th", "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    d = d.select("doc_id", "th", "site", "line_no", key.alias("k")).where(F.length("k") - F.length(F.translate("k", " ", "")) >= min_words - 1)
+    d = d.select("doc_id", "th", "site", "line_no", F.trim("line").alias("k"))
+    # replace() searches bytes, where translate() looks up each character
+    d = d.where(F.octet_length("k") - F.octet_length(F.replace("k", F.lit(" "), F.lit(""))) >= min_words - 1)
     return d.select("doc_id", "th", "site", "line_no", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k", F.length("k")).alias("h2"))
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h1, h2, first_doc) of lines on at least ``sites`` distinct sites; a null site is one site of its own."""
+    """Occurrences (doc_id, th, line_no, h1, h2, first_doc) of lines on at least ``sites`` distinct sites; a null site is one site of its own.
+
+    Lines whose estimate clears the threshold by three standard errors are taken as they are; for those within that margin the sites among their
+    occurrences are counted.
+    """
     margin = 3 * 1.04 / 2 ** (lg_k / 2)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
     spread = spread.where(F.col("n") >= sites).select("h1", "h2", "first_doc", F.hll_sketch_estimate("sketch").alias("about"))
     spread = materialise(spread.where(F.col("about") >= sites * (1 - margin)), "spread")
-    near = F.col("about") <= sites * (1 + margin)
-    exact = lines.join(spread.where(near).select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n"))
-    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("exact")).where(F.col("exact") >= sites)
-    sure = spread.where(~near).select("h1", "h2", "first_doc")
-    return sure.unionByName(spread.where(near).join(exact, ["h1", "h2"]).select("h1", "h2", "first_doc"))
+    found = lines.join(spread.withColumn("near", F.col("about") <= sites * (1 + margin)).drop("about"), ["h1", "h2"])
+    found = materialise(found, "found")
+    exact = found.where("near").groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    common = found.where("near").join(exact.where(F.col("exact") >= sites).select("h1", "h2"), ["h1", "h2"], "left_semi")
+    return found.where("not near").unionByName(common).select("doc_id", "th", "line_no", "h1", "h2", "first_doc")
 
 
 def strip(docs: DataFrame, site: str = "source", sites: int = SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
@@ -43,9 +50,7 @@ def strip(docs: DataFrame, site: str = "source", sites: int = SITES, min_words:
     Lines are split at \\n and compared with white space runs as one space; lines of fewer than ``min_words`` words always stay. Null texts stay null,
     empty ones empty. Repeated rows (same doc_id and text) are treated alike. Rows without a doc_id pass unchanged.
     """
-    lines = _lines(docs, site, min_words)
-    common = materialise(boilerplate(lines, sites, lg_k), "boilerplate")
-    hits = lines.join(common, ["h1", "h2"]).select("doc_id", "th", "line_no", "h1", "h2", "first_doc")
+    hits = boilerplate(_lines(docs, site, min_words), sites, lg_k)
     # a document's own lines: only the first place in the first document stays
     per_line = hits.groupBy("doc_id", "th", "h1", "h2").agg(F.min("line_no").alias("least"), F.min("first_doc").alias("first_doc"), F.collect_set("line_no").alias("at"))
     gone = F.when(F.col("doc_id") == F.col("first_doc"), F.array_except("at", F.array("least"))).otherwise(F.col("at"))
