@@ -11,8 +11,9 @@ In a shard, sets in global n-gram order form a trie. A search walks the trie
 once for all members, sharing the overlap found so far on common paths, and
 leaves a subtree as soon as what remains of either side can't reach the overlap
 needed. Members already known to be connected are not compared again. Shards of
-more than ``BLOCK`` members first compare each member with a few centres; only
-members not reached from the first centre are then searched, block by block.
+more than ``BLOCK`` members first compare each member with a few centres. These
+links give components over all shards; only members outside the largest
+component of their shard are then searched, block by block.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, table, texts
 from .words import LOWER, mix, signed, window_hashes, words_of
 
-SIZE, NEED, BLOCK, CENTRES = 3, 90, 400, 8
+SIZE, NEED, BLOCK, CENTRES, CELLS = 3, 90, 400, 8, 1 << 23
 
 
 def sets_of(column, size: int = SIZE) -> list[np.ndarray]:
@@ -108,11 +109,12 @@ def _sets(size: int):
 
 
 class Trie:
-    """A prefix tree over sorted sets, with chains of single children joined to one edge."""
+    """A prefix tree over sorted sets, with chains of single children joined to one edge. N-grams are numbered in their order."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        self.grams = np.unique(np.concatenate(sets))
+        self.sets = [np.searchsorted(self.grams, s) for s in sets]
+        order = sorted(range(len(sets)), key=lambda i: self.sets[i].tolist())
         self.root = self._node(order, 0)
 
     def _node(self, ids: list[int], depth: int):
@@ -135,26 +137,38 @@ class Trie:
             children.append(self._node(group, upto))
         return first[depth:upto], ends, children, min(sizes), max(sizes)
 
-    def search(self, query: np.ndarray, need: int):
-        """Ids of sets that link with ``query``."""
-        n, stack = len(query), [(self.root, 0, 0, 0)]
+    def search(self, queries: list[int], need: int):
+        """(set, queries that link with it): one walk for all queries that fit in ``CELLS``, each node with those still alive there."""
+        step = max(1, CELLS // len(self.grams))
+        for k in range(0, len(queries), step):
+            yield from self._walk(np.array(queries[k : k + step]), need)
+
+    def _walk(self, queries: np.ndarray, need: int):
+        has = np.zeros((len(queries), len(self.grams)), bool)
+        for k, q in enumerate(queries):
+            has[k, self.sets[q]] = True
+        upto, n = has.cumsum(axis=1, dtype=np.int32), has.sum(axis=1)
+        shortest = -(-need * n // 100)
+        stack = [(self.root, 0, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while stack:
-            (edge, ends, children, least, most), depth, used, overlap = stack.pop()
-            if 100 * min(n, most) < need * max(n, least):
+            (edge, ends, children, least, most), depth, live, overlap = stack.pop()
+            fits = 100 * np.minimum(n[live], most) >= need * np.maximum(n[live], least)
+            live, overlap = live[fits], overlap[fits]
+            if not len(live):
                 continue
+            used = np.zeros(len(live), np.int64)
             if len(edge):
-                at = np.searchsorted(query[used:], edge)
-                inside = at < n - used
-                overlap += int(np.count_nonzero(query[used:][at[inside]] == edge[inside]))
-                depth += len(edge)
-                used += int(np.searchsorted(query[used:], edge[-1], side="right"))
+                overlap = overlap + has[np.ix_(live, edge)].sum(axis=1)
+                used, depth = upto[live, edge[-1]], depth + len(edge)
             # the best that is left: all of the query beyond this path, or all of the longest set below
-            if overlap + min(n - used, most - depth) < overlap_needed(n, max(least, -(-need * n // 100)), need):
+            able = overlap + np.minimum(n[live] - used, most - depth) >= overlap_needed(n[live], np.maximum(least, shortest[live]), need)
+            live, overlap = live[able], overlap[able]
+            if not len(live):
                 continue
-            for i in ends:
-                if overlap >= overlap_needed(n, depth, need):
-                    yield i
-            stack += [(child, depth, used, overlap) for child in children]
+            if ends:
+                hits = queries[live[overlap >= overlap_needed(n[live], depth, need)]].tolist()
+                yield from ((i, hits) for i in ends)
+            stack += [(child, depth, live, overlap) for child in children]
 
 
 class Forest:
@@ -174,24 +188,30 @@ class Forest:
             self.parts -= 1
 
 
-def link(ids: list[int], sets: list[np.ndarray], queries: list[int], need: int = NEED) -> list[tuple[int, int]]:
-    """Links that connect whatever links between a query and any member: (doc, smaller doc) pairs, a forest."""
+def link(ids: list[int], sets: list[np.ndarray], queries: list[int], need: int = NEED, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect whatever links between a query and any member: (doc, smaller doc) pairs, a forest. Members of one ``known`` component are connected already."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
     ids, sets, place = [ids[i] for i in order], [sets[i] for i in order], {p: k for k, p in enumerate(order)}
-    forest, trie, todo, asked = Forest(ids), Trie(sets), {place[q] for q in queries}, len(queries)
+    forest, trie, todo, asked = Forest(ids), None, {place[q] for q in queries}, len(queries)
+    first = {}
+    for k, p in enumerate(order if known else ()):
+        forest.join(first.setdefault(known[p], k), k)
+    step = 8
     while todo and forest.parts > 1:
         parts = [forest.find(i) for i in range(len(ids))]
-        sizes = np.bincount(parts)
-        big = int(np.argmax(sizes))
+        big = int(np.argmax(np.bincount(parts)))
         # pairs within the largest part need no search, and pairs with it are found from the other side
-        q = next((i for i in sorted(todo) if parts[i] != big), None)
-        if q is None:
+        now = [i for i in sorted(todo) if parts[i] != big]
+        if not now:
             if asked == len(ids):
                 break
-            q = min(todo)
-        todo.discard(q)
-        for i in trie.search(sets[q], need):
-            forest.join(q, i)
+            now = sorted(todo)
+        now = now[:step]
+        todo.difference_update(now)
+        trie, step = trie or Trie(sets), 2 * step
+        for i, linked in trie.search(now, need):
+            for q in linked:
+                forest.join(q, i)
     return [(ids[i], ids[forest.find(i)]) for i in range(len(ids)) if forest.find(i) != i]
 
 
@@ -203,17 +223,17 @@ def _blocks(need: int):
 
         def done():
             ids = list(members)
-            return link(ids, [members[i][0] for i in ids], [k for k, i in enumerate(ids) if members[i][1]], need) if len(ids) > 1 else []
+            return link(ids, [members[i][0] for i in ids], [k for k, i in enumerate(ids) if members[i][1]], need, [members[i][2] for i in ids]) if len(ids) > 1 else []
 
         out = []
         for batch in batches:
             grams = batch.column("grams")
             values, offsets = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
-            for i, row in enumerate(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("query").to_pylist())):
+            for i, row in enumerate(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("query").to_pylist(), batch.column("comp").to_pylist())):
                 if row[:2] != now:
                     out += done()
                     now, members = row[:2], {}
-                members[row[2]] = (values[offsets[i] : offsets[i + 1]].copy(), row[3] or members.get(row[2], (0, False))[1])
+                members[row[2]] = (values[offsets[i] : offsets[i + 1]].copy(), row[3] or members.get(row[2], (0, False))[1], row[4])
             yield _edges(out)
             out = []
         yield _edges(done())
@@ -232,28 +252,21 @@ def _links(x: np.ndarray, y: np.ndarray, need: int) -> bool:
 
 
 def _stars(need: int):
-    """Members of large shards against the shard's centres: links, and whether the first centre's component was reached."""
+    """Links between members of large shards and the shard's centres."""
 
     def run(batches):
-        now, centres, reached = None, [], []
+        now, centres = None, []
         for batch in batches:
-            keys, docs, grams, sets, heads = (batch.column(c).to_pylist() for c in ("key", "doc_id", "grams", "centre_sets", "centres"))
+            keys, docs, sets, heads = (batch.column(c).to_pylist() for c in ("key", "doc_id", "centre_sets", "centres"))
+            grams = batch.column("grams")
+            values, offsets = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
             out = []
-            for key, doc, own, around, ids in zip(keys, docs, grams, sets, heads):
+            for i, (key, doc, around, ids) in enumerate(zip(keys, docs, sets, heads)):
                 if key != now:
-                    now, order = key, sorted(range(len(ids)), key=ids.__getitem__)
-                    centres = [(ids[i], np.array(around[i], np.int64).view(np.uint64)) for i in order]
-                    forest = Forest(centres)
-                    for i in range(len(centres)):
-                        for j in range(i):
-                            if _links(centres[i][1], centres[j][1], need):
-                                forest.join(i, j)
-                    reached = [forest.find(i) == 0 for i in range(len(centres))]
-                own = np.array(own, np.int64).view(np.uint64)
-                hit = [i for i, (_, c) in enumerate(centres) if _links(own, c, need)]
-                lost = not any(reached[i] for i in hit)
-                out += [(key, doc, centres[i][0], lost) for i in hit] or [(key, doc, doc, lost)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.bool_())], ["key", "a", "b", "lost"])
+                    now, centres = key, [(c, np.array(g, np.int64).view(np.uint64)) for c, g in zip(ids, around)]
+                own = values[offsets[i] : offsets[i + 1]]
+                out += [(doc, c) for c, g in centres if _links(own, g, need)]
+            yield _edges(out)
 
     return run
 
@@ -308,8 +321,7 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     Words are compared without the case of A-Z; null and empty texts have no n-gram and are linked with nothing, not even each other. Rows that repeat a
     doc_id and text are in one component. N-grams are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     d = texts(docs)
     prints = materialise(d.mapInArrow(_prints(size), "doc_id long, n long, f1 long, f2 long"), "prints")
     classes = materialise(prints.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -321,15 +333,12 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     found = materialise(found, "found")
     member = found.join(grams, "doc_id")
 
-    small = member.where(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("part"), "doc_id", F.lit(True).alias("query"), "grams")
+    small = member.where(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("part"), "doc_id", F.lit(True).alias("query"), F.col("doc_id").alias("comp"), "grams")
     large = found.where(F.col("n") > block)
-    edges = [_search(small, need)]
+    links = materialise(_search(small, need), "links")
     if large.limit(1).count():
-        edges += _large(spark, large, grams, need, block)
-    all_edges = edges[0]
-    for e in edges[1:]:
-        all_edges = all_edges.union(e)
-    comps = components(materialise(all_edges, "links"))
+        links = _large(large, grams, links, need, block)
+    comps = components(links)
 
     moved = classes.join(comps, classes["rep"] == comps["node"], "left").select("f1", "f2", "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
     moved = moved.where((F.col("copies") > 1) | (F.col("comp") != F.col("rep"))).select("f1", "f2", "comp")
@@ -341,27 +350,34 @@ def _search(rows: DataFrame, need: int) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_blocks(need), "a long, b long")
 
 
-def _large(spark: SparkSession, large: DataFrame, grams: DataFrame, need: int, block: int) -> list[DataFrame]:
+def _large(large: DataFrame, grams: DataFrame, links: DataFrame, need: int, block: int) -> DataFrame:
+    """``links`` and those among the members of large shards."""
     # keyed by hash the centres are any members; a bounded few of each shard
     part = F.pmod(F.xxhash64("doc_id", "key"), F.greatest(F.col("n") / F.lit(4 * CENTRES), F.lit(1)).cast("long"))
     some = large.where(part == 0).select("key", "doc_id").join(grams, "doc_id")
     some = some.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(CENTRES)).alias("slot")).agg(F.min_by("grams", "doc_id").alias("g"), F.min("doc_id").alias("id"))
     heads = some.groupBy("key").agg(F.collect_list("id").alias("centres"), F.collect_list("g").alias("centre_sets"))
     stars = large.join(grams, "doc_id").select("key", "doc_id", "grams").join(heads, "key")
-    stars = materialise(stars.select("key", "doc_id", "grams", "centre_sets", "centres").mapInArrow(_stars(need), "key long, a long, b long, lost boolean"), "stars")
-    lost = stars.where("lost").select("key", F.col("a").alias("doc_id")).distinct()
+    stars = materialise(stars.select("doc_id", "grams", "centre_sets", "centres", "key").mapInArrow(_stars(need), "a long, b long").where("a <> b"), "stars")
+    links = links.union(stars)
+
+    # what one shard left apart another may have connected: only members outside a shard's largest component are searched
+    comps = components(links)
+    each = large.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    each = materialise(each.select("key", "doc_id", "n", "comp"), "parts")
+    most = each.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    lost = materialise(each.join(most, "key").where("comp <> main").select("key", "doc_id", "n", "comp"), "lost")
     sizes = lost.groupBy("key").agg(F.count("*").alias("left"))
     if not sizes.limit(1).count():
-        return [stars.where("a <> b").select("a", "b")]
+        return links
     n_blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
     deal = lambda c: F.pmod(F.xxhash64("doc_id"), n_blocks(c))
-    each = large.join(sizes, "key")
-    # block i of all members meets block j of those not reached
-    all_rows = each.select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("left") - 1), lambda j: deal("n") * n_blocks("left") + j)).alias("part"), F.lit(False).alias("query"))
-    lost_rows = lost.join(large.select("key", "n").distinct(), "key").join(sizes, "key")
-    lost_rows = lost_rows.select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("n") - 1), lambda i: i * n_blocks("left") + deal("left"))).alias("part"), F.lit(True).alias("query"))
-    pairs = all_rows.union(lost_rows).join(grams, "doc_id").select("key", "part", "doc_id", "query", "grams")
-    return [stars.where("a <> b").select("a", "b"), _search(pairs, need)]
+    # block i of all members meets block j of those to search
+    all_rows = each.join(sizes, "key").select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("left") - 1), lambda j: deal("n") * n_blocks("left") + j)).alias("part"), F.lit(False).alias("query"), "comp")
+    lost_rows = lost.join(sizes, "key")
+    lost_rows = lost_rows.select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("n") - 1), lambda i: i * n_blocks("left") + deal("left"))).alias("part"), F.lit(True).alias("query"), "comp")
+    pairs = all_rows.union(lost_rows).join(grams, "doc_id").select("key", "part", "doc_id", "query", "comp", "grams")
+    return links.union(materialise(_search(pairs, need), "links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
