@@ -85,15 +85,14 @@ def _prints(size: int):
 def _shard_keys(size: int, need: int):
     def run(batches):
         for batch in batches:
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            seen = set()
-            for s in sets_of(batch.column(0), size):
+            keys, nodes, odd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for s, own, repeats in zip(sets_of(batch.column(0), size), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                if len(s) and node not in seen:
-                    seen.add(node)
+                if len(s) and node == own:  # a repeated doc_id may have another text
                     keys.append(keys_of(s, need))
                     nodes.append(np.full(len(keys[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    odd.append(np.full(len(keys[-1]), repeats, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(odd))], ["key", "node", "odd"])
 
     return run
 
@@ -289,13 +288,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def shards(d: DataFrame, size: int, need: int) -> DataFrame:
+def shards(d: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
     """(key, node, n): members of the shards to search, n members each."""
-    # a set holds 2 * (1 + 2 n / 19) keys or so, not n: rows here are a fraction of the n-grams
-    rows = d.select("text").mapInArrow(_shard_keys(size, need), "key long, node long")
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    # only a class's first document gives keys, 2 * (1 + 2 n / 19) of them or so: rows here are a fraction of the n-grams
+    reps = classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("own"), (F.col("rows") > 1).alias("repeats"))
+    rows = d.join(reps, "doc_id").select("text", "own", "repeats").mapInArrow(_shard_keys(size, need), "key long, node long, odd boolean")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("all"), F.max("odd").alias("odd")).where("n > 1")
+    # keys of the same members are one shard; nodes are hashes, so their number and xor tell members apart, unless a row repeats
+    shared = shared.groupBy("n", "all", F.when(F.col("odd"), F.col("key")).alias("odd")).agg(F.min("key").alias("key")).select("key")
     shared = materialise(shared, "shared")
-    members = materialise(rows.join(shared, "key", "left_semi").distinct(), "members")
+    members = materialise(rows.select("key", "node").join(shared, "key", "left_semi").distinct(), "members")
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     sized = members.join(counts, "key")
     best = sized.groupBy("node").agg(F.max_by("key", "n").alias("best"))
@@ -324,9 +326,11 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     small_batches(docs.sparkSession)
     d = texts(docs)
     prints = materialise(d.mapInArrow(_prints(size), "doc_id long, n long, f1 long, f2 long"), "prints")
-    classes = materialise(prints.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = prints.where("n > 0").groupBy("f1", "f2", "doc_id").agg(F.count("*").alias("rows")).groupBy("f1", "f2")
+    classes = classes.agg(F.min(F.struct("doc_id", "rows")).alias("first"), F.sum("rows").alias("copies"))
+    classes = materialise(classes.select("f1", "f2", F.col("first.doc_id").alias("rep"), F.col("first.rows").alias("rows"), "copies"), "classes")
 
-    found = merged(shards(d, size, need), block).join(classes.select(F.col("f1").alias("node"), F.col("rep").alias("doc_id")), "node").select("key", "doc_id", "n")
+    found = merged(shards(d, classes, size, need), block).join(classes.select(F.col("f1").alias("node"), F.col("rep").alias("doc_id")), "node").select("key", "doc_id", "n")
     wanted = found.select("doc_id").distinct()
     first = d.join(wanted, "doc_id", "left_semi")  # a repeated doc_id with another text gives a set of its own
     grams = materialise(first.mapInArrow(_sets(size), "doc_id long, grams array<long>"), "grams")
