@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-SITES, MIN_WORDS, LG_K = 5, 4, 10
+SITES, MIN_WORDS, LG_K = 5, 1, 10
 
 
 def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
@@ -23,7 +23,7 @@ def _lines(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     d = d.where("doc_id is not null and text is not null").select("doc_id", "th", "site", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     d = d.select("doc_id", "th", "site", "line_no", F.trim("line").alias("k"))
     # replace() searches bytes, where translate() looks up each character
-    d = d.where(F.octet_length("k") - F.octet_length(F.replace("k", F.lit(" "), F.lit(""))) >= min_words - 1)
+    d = d.where((F.col("k") != "") & (F.octet_length("k") - F.octet_length(F.replace("k", F.lit(" "), F.lit(""))) >= min_words - 1)) if min_words > 1 else d.where(F.col("k") != "")
     return d.select("doc_id", "th", "site", "line_no", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k", F.length("k")).alias("h2"))
 
 
@@ -47,7 +47,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
 def strip(docs: DataFrame, site: str = "source", sites: int = SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
     """All of docs' columns, ``text`` without boilerplate lines, and ``all_lines`` and ``removed_lines`` (long).
 
-    Lines are split at \\n and compared with white space runs as one space; lines of fewer than ``min_words`` words always stay. Null texts stay null,
+    Lines are split at \\n and compared with white space runs as one space; lines without a word, or of fewer than ``min_words``, always stay. Null texts stay null,
     empty ones empty. Repeated rows (same doc_id and text) are treated alike. Rows without a doc_id pass unchanged.
     """
     hits = boilerplate(_lines(docs, site, min_words), sites, lg_k)
@@ -75,7 +75,7 @@ WITH l AS (
 ), k AS (
   SELECT *, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS k FROM l
 ), c AS (
-  SELECT k FROM k WHERE length(k) - length(replace(k, ' ', '')) >= 3 GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= 5
+  SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(source, '')) >= 5
 ), f AS (
   SELECT k.doc_id, k.line_no, k.line, c.k IS NOT NULL AND row_number() OVER (PARTITION BY k.k ORDER BY k.doc_id, k.line_no) > 1 AS gone FROM k LEFT JOIN c ON c.k = k.k
 )

@@ -108,6 +108,16 @@ def test_components(spark, rows, size, need, block):
     assert got == {i: (len(sets[i]), up[i]) for i in ids}
 
 
+def test_short_boilerplate(spark):
+    """Lines of one to three words count like longer ones; blank lines always stay."""
+    lines = ["own text of document number {}", "Menu", "", "All  rights reserved.", " \t", "Menu"]
+    docs = [(i, "\n".join(lines).format(i), f"s{i}") for i in range(6)] + [(9, "Read more", "s1"), (10, "Read more", "s2")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i: "\n".join([lines[0].format(i), "", " \t"]) for i in range(1, 6)} | {0: "\n".join(lines[:-1]).format(0), 9: "Read more", 10: "Read more"}
+    assert {r.doc_id: r.text for r in line_dedup.strip(df).collect()} == want
+    assert {r.doc_id: (r.text, r.n_chars) for r in line_dedup.stage(spark, df, "").collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_exact_collisions():
     """Equal keys, other bytes: chained, not merged; the directory doubles until buckets fit."""
     import pyarrow as pa
