@@ -59,8 +59,11 @@ SQL = {
       SELECT channel, w_slice, pol, u + a.j AS u, v + b.j AS v, CAST(sum(re * a.k * b.k) AS BIGINT) AS re, CAST(sum(im * a.k * b.k) AS BIGINT) AS im FROM s CROSS JOIN taps a CROSS JOIN taps b GROUP BY channel, w_slice, pol, u + a.j, v + b.j""",
     "degrid_k3": f"""WITH {CELLS}, {TAPS}, p AS (SELECT DISTINCT channel, pol, u, v FROM c), f AS (SELECT channel, pol, p.u, p.v, p.u + a.j AS gu, p.v + b.j AS gv, a.k * b.k AS k FROM p CROSS JOIN taps a CROSS JOIN taps b)
       SELECT f.channel, f.pol, f.u, f.v, CAST(sum(f.k * g.w) AS BIGINT) AS predicted FROM f JOIN grid g ON g.channel = f.channel AND g.pol = f.pol AND g.u = f.gu AND g.v = f.gv GROUP BY f.channel, f.pol, f.u, f.v""",
-    "predict_direct": f"""WITH {QUANT}, s AS (SELECT p_partkey, p_size * 1e-4 AS l, (p_partkey % 7 - 3) * 1e-4 AS m, p_retailprice AS flux FROM part WHERE p_partkey <= 20), p AS (SELECT DISTINCT u, v FROM c WHERE channel = 0)
-      SELECT p.u, p.v, round(sum(flux * cos(-6283185307179586e-15 * (l * p.u + m * p.v))), 3) + 0e0 AS re, round(sum(flux * sin(-6283185307179586e-15 * (l * p.u + m * p.v))), 3) + 0e0 AS im FROM p CROSS JOIN s GROUP BY p.u, p.v""",
+    # flux of one direction is summed in cents and each product rounded to 1e-6, so that all sums are over integers
+    "predict_direct": f"""WITH {QUANT}, s AS (SELECT p_size * 1e-4 AS l, (p_partkey % 7 - 3) * 1e-4 AS m, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) * 1e-2 AS flux FROM part GROUP BY p_size, p_partkey % 7),
+      p AS (SELECT DISTINCT channel, u, v FROM c), d AS (SELECT DISTINCT u, v FROM p), t AS (SELECT d.u, d.v, flux, -6283185307179586e-15 * (l * d.u + m * d.v) AS phase FROM d CROSS JOIN s),
+      f AS (SELECT u, v, CAST(sum(CAST(round(flux * cos(phase) * 1e6) AS BIGINT)) AS BIGINT) AS re, CAST(sum(CAST(round(flux * sin(phase) * 1e6) AS BIGINT)) AS BIGINT) AS im FROM t GROUP BY u, v)
+      SELECT p.channel, p.u, p.v, floor(re * 1e-3 + 5e-1) / 1e3 AS re, floor(im * 1e-3 + 5e-1) / 1e3 AS im FROM p JOIN f ON f.u = p.u AND f.v = p.v""",
     "dft_grid_to_image": f"""WITH {PIX}, n AS (SELECT DISTINCT y AS r FROM px), o AS (SELECT a.r AS y, b.r AS x FROM n a CROSS JOIN n b)
       SELECT img, o.y, o.x, round(sum(v * cos(7853981633974483e-16 * ((o.y - 4) * (px.y - 4) + (o.x - 4) * (px.x - 4)))), 3) + 0e0 AS value FROM px CROSS JOIN o GROUP BY img, o.y, o.x""",
     "dft_image_to_grid": f"""WITH {PIX}, n AS (SELECT DISTINCT y AS r FROM px), o AS (SELECT a.r AS y, b.r AS x FROM n a CROSS JOIN n b)

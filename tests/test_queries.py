@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -27,3 +28,14 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(imaging.QUERIES))
 def test_images(spark, name):
     assert imaging.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_prediction_takes_all_channels_and_sources(spark):
+    """Every occupied cell of every channel, against a plain sum over all rows of part."""
+    cells = {(r.channel, r.u, r.v) for r in QUERIES["uvw_fold_quantize"](spark, DATA).select("channel", "u", "v").distinct().collect()}
+    got = QUERIES["predict_direct"](spark, DATA).toPandas()
+    assert set(zip(got.channel, got.u, got.v)) == cells and len(got) == len(cells) and set(got.channel) == {0, 1, 2, 3}
+    part = spark.read.parquet(f"{DATA}/part.parquet").toPandas()
+    l, m = part.p_size.to_numpy() * 1e-4, (part.p_partkey.to_numpy() % 7 - 3) * 1e-4
+    want = np.exp(-2j * np.pi * (np.outer(got.u, l) + np.outer(got.v, m))) @ part.p_retailprice.to_numpy()
+    np.testing.assert_allclose(got.re + 1j * got.im, want, atol=2e-3)
