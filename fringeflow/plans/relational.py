@@ -94,7 +94,7 @@ SQL = {
     "fits_grid_unpivot": f"WITH {QUANT}, s AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM c GROUP BY channel, pol, u, v) SELECT channel, pol, u, v, 0 AS part, re AS value FROM s UNION ALL SELECT channel, pol, u, v, 1, im FROM s",
     "fits_pol_codes": "WITH p AS (SELECT 1 AS stokes, 1 AS code UNION ALL SELECT 2, 2 UNION ALL SELECT 3, 3 UNION ALL SELECT 4, 4 UNION ALL SELECT 5, -1 UNION ALL SELECT 6, -3 UNION ALL SELECT 7, -4 UNION ALL SELECT 8, -2), d AS (SELECT stokes, code, code - lag(code) OVER (ORDER BY stokes) AS step FROM p WHERE stokes <= 4) SELECT stokes, code, step FROM d",
     "longest_baseline": "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 1e2 AS y FROM supplier) SELECT round(max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS longest FROM a p JOIN a q ON p.id < q.id",
-    "all_pairs_uvw": "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 1e2 AS y FROM supplier WHERE s_suppkey <= 64) SELECT p.id AS a1, q.id AS a2, round(q.x - p.x, 6) AS u, round(q.y - p.y, 6) AS v FROM a p JOIN a q ON p.id < q.id",
+    "all_pairs_uvw": "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 1e2 AS y FROM supplier) SELECT p.id AS a1, q.id AS a2, round(q.x - p.x, 6) AS u, round(q.y - p.y, 6) AS v FROM a p JOIN a q ON p.id < q.id",
     "fk_lookup_spw": "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'F'",
     "corrprod_outer_missing": "SELECT n.n_nationkey AS baseline, p.r_regionkey AS pol, count(s.s_suppkey) AS present, CASE WHEN count(s.s_suppkey) = 0 THEN 1 ELSE 0 END AS missing FROM nation n CROSS JOIN region p LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_suppkey % 5 = p.r_regionkey GROUP BY n.n_nationkey, p.r_regionkey",
     "rfi_mask_range_join": "WITH m AS (SELECT 1e5 AS lo, 12e4 AS hi UNION ALL SELECT 2e5, 21e4), c AS (SELECT o_orderkey AS channel, o_totalprice AS freq FROM orders) SELECT channel, freq FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE c.freq >= m.lo AND c.freq <= m.hi)",

@@ -39,3 +39,19 @@ def test_prediction_takes_all_channels_and_sources(spark):
     l, m = part.p_size.to_numpy() * 1e-4, (part.p_partkey.to_numpy() % 7 - 3) * 1e-4
     want = np.exp(-2j * np.pi * (np.outer(got.u, l) + np.outer(got.v, m))) @ part.p_retailprice.to_numpy()
     np.testing.assert_allclose(got.re + 1j * got.im, want, atol=2e-3)
+
+
+def fixture(spark, folder, **tables):
+    """Files of ``tables`` (rows, schema) in a new folder, the others as they are."""
+    for t in TABLES:
+        if t in tables:
+            spark.createDataFrame(*tables[t]).write.parquet(f"{folder}/{t}.parquet")
+        else:
+            (folder / f"{t}.parquet").symlink_to(f"{DATA}/{t}.parquet")
+    return str(folder)
+
+
+def test_pairs_of_all_antennas(spark, tmp_path):
+    ids = [3, 64, 65, 70, 900]
+    sf = fixture(spark, tmp_path, supplier=([(i, i % 3, float(i * i)) for i in ids], "s_suppkey long, s_nationkey int, s_acctbal double"))
+    assert sorted(map(tuple, QUERIES["all_pairs_uvw"](spark, sf).collect())) == [(a, b, float(b * b - a * a), (b % 3 - a % 3) * 100.0) for a in ids for b in ids if a < b]
