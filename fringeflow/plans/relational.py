@@ -102,7 +102,7 @@ SQL = {
       SELECT user_id, min(event_id) - 5e-1 AS start, max(event_id) + 5e-1 AS stop FROM r GROUP BY user_id, run""",
     "time_on_target": "SELECT user_id, count(*) * 4 AS seconds FROM events WHERE event_type = 'click' GROUP BY user_id",
     "split_long_intervals": "WITH i AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT user_id, lo + (hi - lo) * k / 4e0 AS start, lo + (hi - lo) * (k + 1) / 4e0 AS stop FROM i CROSS JOIN k",
-    "status_left_default": "SELECT o_orderkey, coalesce(e.event_type, CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'masked' END) AS status FROM orders LEFT JOIN (SELECT event_id, event_type FROM events WHERE event_id % 3 = 0) e ON e.event_id = o_orderkey",
+    "status_left_default": "SELECT o_orderkey, CASE WHEN e.event_id IS NOT NULL THEN e.event_type WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'masked' END AS status FROM orders LEFT JOIN events e ON e.event_id = o_orderkey",
     "status_counts": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY ROLLUP (event_type)",
     "skip_done_antijoin": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = o.o_orderkey AND e.event_type = 'purchase')",
     "vis_limit": "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 100",

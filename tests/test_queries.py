@@ -55,3 +55,8 @@ def test_pairs_of_all_antennas(spark, tmp_path):
     ids = [3, 64, 65, 70, 900]
     sf = fixture(spark, tmp_path, supplier=([(i, i % 3, float(i * i)) for i in ids], "s_suppkey long, s_nationkey int, s_acctbal double"))
     assert sorted(map(tuple, QUERIES["all_pairs_uvw"](spark, sf).collect())) == [(a, b, float(b * b - a * a), (b % 3 - a % 3) * 100.0) for a in ids for b in ids if a < b]
+
+
+def test_default_only_without_status(spark, tmp_path):
+    sf = fixture(spark, tmp_path, events=([(i, f"type{i}") for i in range(6)], "event_id long, event_type string"), orders=([(i,) for i in range(8)], "o_orderkey long"))
+    assert dict(map(tuple, QUERIES["status_left_default"](spark, sf).collect())) == {i: f"type{i}" for i in range(6)} | {6: "failed", 7: "masked"}
