@@ -40,12 +40,17 @@ def clean(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, minor: int = 10
 
 
 def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple[float, float, float]:
-    """FWHM of the major and minor axis in pixels and the angle in [0, pi) of a Gaussian with unit peak at the centre, by damped least squares."""
+    """FWHM of the major and minor axis in pixels and the angle in [0, pi) of a Gaussian with unit peak at the centre, by damped least squares.
+
+    All three are NaN where the pixels above the threshold don't determine a Gaussian: none, too few, or a fit that doesn't fall off in all directions.
+    """
     h, w = psf.shape
     y, x = np.mgrid[:h, :w]
     y, x, v = y - h // 2, x - w // 2, psf
     use = v > threshold
     y, x, v = y[use].astype(float), x[use].astype(float), v[use].astype(float)
+    if not use.any() or np.linalg.matrix_rank(np.stack([x * x, x * y, y * y], 1)) < 3:
+        return (np.nan,) * 3
     p, damp = np.array([0.5, 0.0, 0.5]), 1e-3  # v = exp(-(a x^2 + 2 b x y + c y^2) / 2)
     model = lambda p: np.exp(-0.5 * (p[0] * x * x + 2 * p[1] * x * y + p[2] * y * y))
     for _ in range(rounds):
@@ -57,11 +62,18 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple
         else:
             damp *= 5
     values, axes = np.linalg.eigh(np.array([[p[0], p[1]], [p[1], p[2]]]))
-    values = np.maximum(values, 1e-12)
+    if values[0] <= 1e-12:
+        return (np.nan,) * 3
     fwhm = np.sqrt(8 * np.log(2) / values)
     return float(fwhm[0]), float(fwhm[1]), float(np.arctan2(axes[1, 0], axes[0, 0]) % np.pi)
 
 
+def fit_image(image: np.ndarray) -> np.ndarray:
+    """The beam of an image as one row, its centre pixel taken as the peak; NaN (null in the query) where that is 0 or not finite."""
+    peak = image[image.shape[0] // 2, image.shape[1] // 2]
+    return np.array([fit_beam(image / peak if peak and np.isfinite(peak) else np.zeros(image.shape))])
+
+
 def convolve(model: np.ndarray, major: float, minor: float, angle: float) -> np.ndarray:
     """Restore a model with a Gaussian beam, by its transform (wraps around)."""
     h, w = model.shape
@@ -95,9 +107,9 @@ _y, _x = np.mgrid[-4:5, -4:5]
 PSF = np.exp(-(_y**2 + _x**2) / 2.0)[None]
 
 QUERIES = {
-    "clean_minor_loop": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF, minor=50)[0][0]),
-    "clean_residual": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF, minor=50)[1][0]),
+    "clean_minor_loop": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF)[0][0]),
+    "clean_residual": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF)[1][0]),
     "convolve_beam": lambda s, d: per_image(_pixels(s, d), lambda i: convolve(i, 3.0, 2.0, 0.5)),
-    "fit_beam": lambda s, d: per_image(_pixels(s, d), lambda i: np.array([fit_beam(np.exp(-((np.mgrid[-4:4, -4:4] ** 2).sum(0)) / (2 + abs(i[0, 0]))))])),
+    "fit_beam": lambda s, d: per_image(_pixels(s, d), fit_image),
     "fft_image_to_grid": lambda s, d: per_image(_pixels(s, d), lambda i: np.abs(image_to_grid(i))),
 }

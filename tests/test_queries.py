@@ -60,3 +60,18 @@ def test_pairs_of_all_antennas(spark, tmp_path):
 def test_default_only_without_status(spark, tmp_path):
     sf = fixture(spark, tmp_path, events=([(i, f"type{i}") for i in range(6)], "event_id long, event_type string"), orders=([(i,) for i in range(8)], "o_orderkey long"))
     assert dict(map(tuple, QUERIES["status_left_default"](spark, sf).collect())) == {i: f"type{i}" for i in range(6)} | {6: "failed", 7: "masked"}
+
+
+def test_beam_and_clean_take_the_whole_image(spark, tmp_path):
+    """A rotated ellipse of any peak is fitted; no fit where nothing or one pixel clears the threshold; CLEAN goes on past 50 cycles."""
+    y, x = np.mgrid[-4:4, -4:4]
+    a, b, one = x * np.cos(0.6) + y * np.sin(0.6), -x * np.sin(0.6) + y * np.cos(0.6), np.zeros((8, 8))
+    one[4, 4] = 1
+    images = [5 * np.exp(-(a**2 / 8 + b**2 / 2)), one * 0, one, sum(k * np.exp(-((x - k) ** 2 + (y + k) ** 2) / 2) for k in (-3, 1, 2))]
+    sf = fixture(spark, tmp_path, embeddings=([(i, v.ravel().tolist(), 0) for i, v in enumerate(images)], "vec_id long, embedding array<float>, label int"))
+    beam = {(r.img, r.x): r.value for r in imaging.QUERIES["fit_beam"](spark, sf).collect()}
+    np.testing.assert_allclose([beam[0, k] for k in range(3)], [2 * np.sqrt(8 * np.log(2)), np.sqrt(8 * np.log(2)), 0.6], rtol=1e-3)
+    assert all(beam[i, k] is None for i in (1, 2) for k in range(3))
+    left = [abs(r.value) for r in imaging.QUERIES["clean_residual"](spark, sf).where("img = 3").collect()]
+    model = {(r.y, r.x): r.value for r in imaging.QUERIES["clean_minor_loop"](spark, sf).where("img = 3").collect()}
+    assert max(left) < 1e-3 and all(abs(model[4 - k, 4 + k] - k) < 1e-2 for k in (-3, 1, 2))
