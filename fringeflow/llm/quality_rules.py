@@ -30,7 +30,7 @@ RULES = {
     "repeats": "n_repeat_words / n_words",
 }
 GRID_FLOOR, GRID_STEP, GRID_TOP = 0.002, 1.15, 60
-PACK_BITS = 24
+PACK_BITS = 31  # any index of an array
 
 
 def measures(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
@@ -52,12 +52,14 @@ def measures(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
     same = lambda x, y: F.coalesce(F.shiftright(x, PACK_BITS) == F.shiftright(y, PACK_BITS), F.lit(False))
     close = F.filter("sorted", lambda x, j: same(x, at(j - 1)) | same(x, at(j + 1)))
     d = d.withColumn("close", F.coalesce(close, F.expr("array()").cast("array<bigint>")))
-    # runs with equal bits are compared word by word before they count
-    word = lambda x, k: F.get("w", (x.bitwiseAND(low) + k).cast("int"))
-    equal = lambda x, y: same(x, y) & F.coalesce((word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2)), F.lit(False))
-    near = lambda j: F.get("close", j)
-    sure = F.filter("close", lambda x, j: equal(x, near(j - 1)) | equal(x, near(j + 1)))
-    covered = F.array_distinct(F.flatten(F.transform(sure, lambda x: F.array(*[x.bitwiseAND(low) + k for k in range(3)]))))
+    # equal bits only nominate: these windows are sorted by their words, so that equal ones are neighbours whatever else shares the bits
+    place = lambda x: x.bitwiseAND(low)
+    word = lambda x, k: F.get("w", (place(x) + k).cast("int"))
+    d = d.withColumn("exact", F.sort_array(F.transform("close", lambda x: F.struct(word(x, 0).alias("a"), word(x, 1).alias("b"), word(x, 2).alias("c"), place(x).alias("at")))))
+    equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    near = lambda j: F.get("exact", j)
+    sure = F.filter("exact", lambda x, j: equal(x, near(j - 1)) | equal(x, near(j + 1)))
+    covered = F.array_distinct(F.flatten(F.transform(sure, lambda x: F.array(*[x["at"] + k for k in range(3)]))))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
     return d.select(
         "doc_id", "stratum", "n_words",

@@ -168,6 +168,13 @@ def test_binomial_bound(spark):
         assert got == pytest.approx(sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)), rel=1e-9)
 
 
+def test_repeats_with_equal_hash_bits(spark, monkeypatch):
+    """Windows that share their hash bits in the order A B A: the count stays exact."""
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: quality_rules.F.lit(0).cast("long"))
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.measures(frame(spark, [(1, "a b c x a b c"), (2, "a b c d e f"), (3, "a a a a y b c d z b c d")])).collect()}
+    assert got == {1: 6, 2: 0, 3: 10} and quality_rules.PACK_BITS >= 31
+
+
 def F_lit(x):
     from pyspark.sql import functions as F
 
