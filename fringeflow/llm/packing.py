@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table, texts
-from .words import Words, words_of
+from .words import Memo, Words, words_of
 
 WINDOW, END_ID, OPEN_TOKENS, MEMO_WORDS = 2048, 1, 4 << 20, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,8 +40,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.parts = self.tokenizer.model, {}
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memo = Memo(self.word, np.uint32, MEMO_WORDS)
 
     def word(self, word: str) -> list[int]:
         if not _PLAIN.fullmatch(word) or "<|" in word:
@@ -58,34 +57,16 @@ class WordEncoder:
 
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with ``end_id`` last, and the offset of each row."""
-        hashes = words.hashes()
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, unique)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == unique[hit]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            if len(self.known) + len(new) > MEMO_WORDS:
-                self.known, self.slot, self.flat, self.offsets = self.known[:0], self.slot[:0], self.flat[:0], self.offsets[:1]
-                new = np.arange(len(unique))
-            ids = [self.word(w) for w in words.strings(first[new]).to_pylist()]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lengths.sum())
-            base = len(self.offsets) - 1
-            self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, total)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            place = np.searchsorted(self.known, unique[new])
-            self.known, self.slot = np.insert(self.known, place, unique[new]), np.insert(self.slot, place, base + np.arange(len(new)))
-            at = np.searchsorted(self.known, unique)
-        slot = self.slot[at][inverse] if len(unique) else np.zeros(0, np.int64)
-        lengths = self.offsets[slot + 1] - self.offsets[slot]
+        memo = self.memo
+        slot = memo.slots(words.data, words.starts, words.ends)
+        lengths = memo.offsets[slot + 1] - memo.offsets[slot]
         total = np.concatenate([[0], np.cumsum(lengths)])
         rows = len(words.first) - 1
         row_start = total[words.first[:-1]] + np.arange(rows)
         offsets = np.append(row_start, total[-1] + rows).astype(np.int64)
         out = np.full(int(offsets[-1]), end_id, np.uint32)
         each = np.arange(int(total[-1]))
-        out[each + np.repeat(words.row, lengths)] = self.flat[np.repeat(self.offsets[slot] - total[:-1], lengths) + each]
+        out[each + np.repeat(words.row, lengths)] = memo.flat[np.repeat(memo.offsets[slot] - total[:-1], lengths) + each]
         return out, offsets
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table, texts
-from .words import buffer_of, gather, run_hashes
+from .words import Memo, buffer_of
 
 SPACE, MEMO_UNITS = "▁", 1 << 20
 
@@ -143,11 +143,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.reset()
-
-    def reset(self):
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.memo = Memo(lambda unit: pieces.encode_unit(unit.replace(" ", SPACE)), np.int32, MEMO_UNITS)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with the end id last, and the offset of each row."""
@@ -169,33 +165,15 @@ class Encoder:
             opens[bounds[:-1][filled]] = True
         starts = np.flatnonzero(opens)
         ends = np.append(starts[1:], n)[: len(starts)]
-        hashes = run_hashes(padded, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, unique)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == unique[hit]
-        new = np.flatnonzero(~hit)
-        if len(new):
-            if len(self.known) + len(new) > MEMO_UNITS:
-                self.reset()
-                new = np.arange(len(unique))
-            encode = self.pieces.encode_unit
-            ids = [encode(u.replace(" ", SPACE)) for u in gather(padded, starts[first[new]], ends[first[new]]).to_pylist()]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.offsets) - 1
-            self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.int32, int(lengths.sum()))])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            place = np.searchsorted(self.known, unique[new])
-            self.known, self.slot = np.insert(self.known, place, unique[new]), np.insert(self.slot, place, base + np.arange(len(new)))
-            at = np.searchsorted(self.known, unique)
-        slot = self.slot[at][inverse] if len(unique) else np.zeros(0, np.int64)
-        lengths = self.offsets[slot + 1] - self.offsets[slot]
+        memo = self.memo
+        slot = memo.slots(padded, starts, ends)
+        lengths = memo.offsets[slot + 1] - memo.offsets[slot]
         total = np.concatenate([[0], np.cumsum(lengths)])
         row = np.searchsorted(bounds, starts, side="right") - 1
         offsets = total[np.searchsorted(starts, bounds)] + np.arange(rows + 1)
         out = np.full(int(offsets[-1]), self.pieces.end, np.int32)
         each = np.arange(int(total[-1]))
-        out[each + np.repeat(row, lengths)] = self.flat[np.repeat(self.offsets[slot] - total[:-1], lengths) + each]
+        out[each + np.repeat(row, lengths)] = memo.flat[np.repeat(memo.offsets[slot] - total[:-1], lengths) + each]
         return out, offsets
 
 
