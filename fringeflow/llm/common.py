@@ -43,7 +43,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     del df
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the finished shuffles
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of frames that ``materialise`` gave and that nothing reads any more, whether to run or to run again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(column: Column, n: int) -> Column:

@@ -1,35 +1,36 @@
 """N-gram Jaccard join by prefix trees, and the components of its links.
 
-Documents with equal n-gram sets are one class. Classes are dealt to shards so
-that each pair that links shares one: sets whose sizes are within a factor of
-1 / 0.9 differ in at most k n-grams, so of k + 1 parts of a set (n-grams dealt by
-hash) one at least is the same in both; each part of a set is a shard key. A
-shard whose members are all in one larger shard is left out, and shards that
-share members are made one while they are small.
-
-In a shard, sets in global n-gram order form a trie. A search walks the trie
-once for all members, sharing the overlap found so far on common paths, and
-leaves a subtree as soon as what remains of either side can't reach the overlap
-needed. Members already known to be connected are not compared again. Shards of
-more than ``BLOCK`` members first compare each member with a few centres. These
-links give components over all shards; only members outside the largest
-component of their shard are then searched, block by block.
+Documents with equal n-gram sets are one class. N-grams have one global order:
+the rarer first, and those of one class alone before all others. A set that
+links has at least ``need`` percent of its n-grams in common with another, so
+sets with too few shared n-grams are set aside at once, and two sets that link
+share an n-gram of their prefixes (the first ones of each, all but as many as
+must be common). Sets that share a prefix n-gram, directly or through others,
+are a group; no pair in two groups links.
+
+A group's sets form a trie in global order. A search walks the trie once for all
+its queries, sharing the overlap found so far on common paths, and leaves a
+subtree as soon as what remains of either side can't reach the overlap needed.
+Members already known to be connected are not compared again. In a group of more
+than ``block`` sets each set first meets one centre: of those that share a
+prefix n-gram with it, the one whose n-grams are the most widely shared. Then
+only prefix n-grams whose sets are not yet connected are left, and the sets
+outside the largest connected part there are searched for, block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table, texts
-from .words import LOWER, mix, signed, window_hashes, words_of
+from .common import discard, materialise, small_batches, table, texts
+from .words import LOWER, signed, window_hashes, words_of
 
-SIZE, NEED, BLOCK, CENTRES, CELLS = 3, 90, 400, 8, 1 << 23
+SIZE, NEED, BLOCK, CELLS = 3, 90, 400, 1 << 23
 
 
 def sets_of(column, size: int = SIZE) -> list[np.ndarray]:
@@ -51,106 +52,122 @@ def overlap_needed(a: int, b: int, need: int = NEED) -> int:
     return -(-need * (a + b) // (100 + need))
 
 
-def _band(n: int, need: int) -> int:
-    return math.floor(math.log(n) / math.log(100 / need) + 1e-9)
-
-
-def _band_top(band: int, need: int) -> int:
-    return math.floor((100 / need) ** (band + 1) + 1e-6)
-
-
-def keys_of(grams: np.ndarray, need: int = NEED) -> np.ndarray:
-    """Shard keys of a set: its parts as cut for its own band of sizes and for the next one up."""
-    out = []
-    value, deal = mix(grams + np.uint64(0xA0761D6478BD642F)), mix(grams ^ np.uint64(0xE7037ED1A0B428DB))
-    for band in (b := _band(len(grams), need), b + 1):
-        parts = 2 * _band_top(band, need) * (100 - need) // (100 + need) + 1
-        part = (deal % np.uint64(parts)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, value)
-        out.append(mix(sums + mix(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))))
-    return np.concatenate(out)
+def _mark(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
 def _prints(size: int):
     def run(batches):
         for batch in batches:
             sets = sets_of(batch.column(1), size)
-            marks = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            marks = np.frombuffer(b"".join(_mark(s) for s in sets), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], ["doc_id", "n", "f1", "f2"])
 
     return run
 
 
-def _shard_keys(size: int, need: int):
+def _rows(size: int, need: int):
+    """(gram, f1, f2) of all sets that a different set can link with: a set of n and one of n + 1 n-grams share n at most."""
+
     def run(batches):
         for batch in batches:
-            keys, nodes, odd = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for s, own, repeats in zip(sets_of(batch.column(0), size), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                if len(s) and node == own:  # a repeated doc_id may have another text
-                    keys.append(keys_of(s, need))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-                    odd.append(np.full(len(keys[-1]), repeats, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(odd))], ["key", "node", "odd"])
+            sets = [x for x in sets_of(batch.column(0), size) if 100 * len(x) >= need * (len(x) + 1)]
+            marks = np.frombuffer(b"".join(_mark(x) for x in sets), np.int64).reshape(-1, 2)
+            lengths = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *sets]))), *(pa.array(np.repeat(marks[:, i], lengths)) for i in (0, 1))], ["gram", "f1", "f2"])
 
     return run
 
 
-def _sets(size: int):
+NODE = "node long, n long, spread double, grams array<long>, dfs array<int>"
+
+
+def _nodes(need: int):
+    """Rows (f1, f2, df, gram) in that order, each set's first one with df = -n and gram = doc_id: the sets with enough shared n-grams."""
+
+    def build(f1, f2, df, gram):
+        starts = np.flatnonzero(np.append(True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))) if len(f1) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(f1))
+        n, shared = -df[starts], ends - starts - 1
+        keep = 100 * shared >= need * n
+        inside = np.repeat(keep, shared + 1)
+        inside[starts] = False
+        spread = np.add.reduceat(df, starts)[keep] + n[keep] if len(starts) else np.zeros(0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(shared[keep])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (gram[inside], df[inside].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(gram[starts][keep]), pa.array(n[keep]), pa.array(spread / n[keep]), *lists], ["node", "n", "spread", "grams", "dfs"])
+
     def run(batches):
+        held, count = [], 0
         for batch in batches:
-            sets = sets_of(batch.column(1), size)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *sets]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "grams"])
+            held.append([batch.column(c).to_numpy() for c in ("f1", "f2", "df", "gram")])
+            count += batch.num_rows
+            if count < 1 << 16:
+                continue
+            f1, f2, df, gram = (np.concatenate(c) for c in zip(*held))
+            cut = int(np.flatnonzero(df < 0)[-1])  # the last set may go on
+            yield build(f1[:cut], f2[:cut], df[:cut], gram[:cut])
+            held, count = [[x[cut:] for x in (f1, f2, df, gram)]], len(f1) - cut
+        if held:
+            yield build(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
 class Trie:
-    """A prefix tree over sorted sets, with chains of single children joined to one edge. N-grams are numbered in their order."""
+    """A prefix tree over sets in global order, with chains of single children joined to one edge. N-grams are numbered in that order.
+
+    ``sets`` are pairs (n-grams, frequencies) of shared n-grams in global order; ``sizes`` count those of one class alone too.
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.grams = np.unique(np.concatenate(sets))
-        self.sets = [np.searchsorted(self.grams, s) for s in sets]
-        order = sorted(range(len(sets)), key=lambda i: self.sets[i].tolist())
-        self.root = self._node(order, 0)
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]], sizes: list[int]):
+        grams, dfs = (np.concatenate(x) for x in zip(*sets))
+        unique, first, number = np.unique(grams, return_index=True, return_inverse=True)
+        rank = np.empty(len(unique), np.int64)
+        rank[np.lexsort((unique, dfs[first]))] = np.arange(len(unique))
+        self.sets, self.sizes, self.width = np.split(rank[number], np.cumsum([len(g) for g, _ in sets])[:-1]), np.array(sizes), len(unique)
+        order, top = sorted(range(len(sets)), key=lambda i: self.sets[i].tolist()), []
+        todo = [(order, 0, top)]
+        while todo:
+            ids, depth, siblings = todo.pop()
+            node, groups, upto = self._node(ids, depth)
+            siblings.append(node)
+            todo += [(group, upto, node[2]) for group in groups]
+        self.root = top[0]
 
     def _node(self, ids: list[int], depth: int):
-        """(edge, ids that end here, children, smallest and largest size below); ids share the first ``depth`` n-grams."""
+        """((edge, ids that end here, children, least and most size below, longest list below), the children's ids, depth below); ids share the first ``depth`` n-grams."""
         sets = self.sets
         first, last = sets[ids[0]], sets[ids[-1]]
         m = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:m] != last[depth:m])
         upto = depth + int(differ[0]) if len(differ) else m
-        sizes = [len(sets[i]) for i in ids]
+        sizes = self.sizes[ids]
         ends = [i for i in ids if len(sets[i]) == upto]
-        children, group = [], []
+        groups = []
         for i in ids:
             if len(sets[i]) > upto:
-                if group and sets[group[-1]][upto] != sets[i][upto]:
-                    children.append(self._node(group, upto))
-                    group = []
-                group.append(i)
-        if group:
-            children.append(self._node(group, upto))
-        return first[depth:upto], ends, children, min(sizes), max(sizes)
+                if not groups or sets[groups[-1][-1]][upto] != sets[i][upto]:
+                    groups.append([])
+                groups[-1].append(i)
+        return (first[depth:upto], ends, [], int(sizes.min()), int(sizes.max()), max(len(sets[i]) for i in ids)), groups, upto
 
     def search(self, queries: list[int], need: int):
         """(set, queries that link with it): one walk for all queries that fit in ``CELLS``, each node with those still alive there."""
-        step = max(1, CELLS // len(self.grams))
+        step = max(1, CELLS // max(1, self.width))
         for k in range(0, len(queries), step):
             yield from self._walk(np.array(queries[k : k + step]), need)
 
     def _walk(self, queries: np.ndarray, need: int):
-        has = np.zeros((len(queries), len(self.grams)), bool)
+        has = np.zeros((len(queries), self.width), bool)
         for k, q in enumerate(queries):
             has[k, self.sets[q]] = True
-        upto, n = has.cumsum(axis=1, dtype=np.int32), has.sum(axis=1)
+        upto, n = has.cumsum(axis=1, dtype=np.int32), self.sizes[queries]
+        total = has.sum(axis=1)
         shortest = -(-need * n // 100)
         stack = [(self.root, 0, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while stack:
-            (edge, ends, children, least, most), depth, live, overlap = stack.pop()
+            (edge, ends, children, least, most, longest), depth, live, overlap = stack.pop()
             fits = 100 * np.minimum(n[live], most) >= need * np.maximum(n[live], least)
             live, overlap = live[fits], overlap[fits]
             if not len(live):
@@ -160,13 +177,14 @@ class Trie:
                 overlap = overlap + has[np.ix_(live, edge)].sum(axis=1)
                 used, depth = upto[live, edge[-1]], depth + len(edge)
             # the best that is left: all of the query beyond this path, or all of the longest set below
-            able = overlap + np.minimum(n[live] - used, most - depth) >= overlap_needed(n[live], np.maximum(least, shortest[live]), need)
+            able = overlap + np.minimum(total[live] - used, longest - depth) >= overlap_needed(n[live], np.maximum(least, shortest[live]), need)
             live, overlap = live[able], overlap[able]
             if not len(live):
                 continue
-            if ends:
-                hits = queries[live[overlap >= overlap_needed(n[live], depth, need)]].tolist()
-                yield from ((i, hits) for i in ends)
+            for i in ends:
+                hits = live[(overlap >= overlap_needed(n[live], self.sizes[i], need)) & (100 * np.minimum(n[live], self.sizes[i]) >= need * np.maximum(n[live], self.sizes[i]))]
+                if len(hits):
+                    yield i, queries[hits].tolist()
             stack += [(child, depth, live, overlap) for child in children]
 
 
@@ -187,10 +205,11 @@ class Forest:
             self.parts -= 1
 
 
-def link(ids: list[int], sets: list[np.ndarray], queries: list[int], need: int = NEED, known: list[int] | None = None) -> list[tuple[int, int]]:
+def link(ids: list[int], sets: list, sizes: list[int], queries: list[int], need: int = NEED, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever links between a query and any member: (doc, smaller doc) pairs, a forest. Members of one ``known`` component are connected already."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
-    ids, sets, place = [ids[i] for i in order], [sets[i] for i in order], {p: k for k, p in enumerate(order)}
+    place = {p: k for k, p in enumerate(order)}
+    ids, sets, sizes = [ids[i] for i in order], [sets[i] for i in order], [sizes[i] for i in order]
     forest, trie, todo, asked = Forest(ids), None, {place[q] for q in queries}, len(queries)
     first = {}
     for k, p in enumerate(order if known else ()):
@@ -207,142 +226,160 @@ def link(ids: list[int], sets: list[np.ndarray], queries: list[int], need: int =
             now = sorted(todo)
         now = now[:step]
         todo.difference_update(now)
-        trie, step = trie or Trie(sets), 2 * step
+        trie, step = trie or Trie(sets, sizes), 2 * step
         for i, linked in trie.search(now, need):
             for q in linked:
                 forest.join(q, i)
     return [(ids[i], ids[forest.find(i)]) for i in range(len(ids)) if forest.find(i) != i]
 
 
-def _blocks(need: int):
-    """Rows sorted by (key, part): trie search within each block of a shard."""
+def _edges(pairs):
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _groups(need: int):
+    """Rows sorted by (key, part): trie search within each group of at most two blocks."""
 
     def run(batches):
-        now, members = None, {}
+        now, members = None, []
 
         def done():
-            ids = list(members)
-            return link(ids, [members[i][0] for i in ids], [k for k, i in enumerate(ids) if members[i][1]], need, [members[i][2] for i in ids]) if len(ids) > 1 else []
+            if len(members) < 2 or not any(m[2] for m in members):
+                return []
+            return link([m[0] for m in members], [m[4] for m in members], [m[1] for m in members], [k for k, m in enumerate(members) if m[2]], need, [m[3] for m in members])
 
-        out = []
         for batch in batches:
-            grams = batch.column("grams")
-            values, offsets = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
-            for i, row in enumerate(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("query").to_pylist(), batch.column("comp").to_pylist())):
-                if row[:2] != now:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("node", "n", "query", "known")]
+            grams, dfs = batch.column("grams"), batch.column("dfs")
+            values, counts, offsets = grams.values.to_numpy(), dfs.values.to_numpy(), grams.offsets.to_numpy()
+            for i, (group, row) in enumerate(zip(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist()), zip(*columns))):
+                if group != now:
                     out += done()
-                    now, members = row[:2], {}
-                members[row[2]] = (values[offsets[i] : offsets[i + 1]].copy(), row[3] or members.get(row[2], (0, False))[1], row[4])
+                    now, members = group, []
+                members.append((*row, (values[offsets[i] : offsets[i + 1]].copy(), counts[offsets[i] : offsets[i + 1]].copy())))
             yield _edges(out)
-            out = []
         yield _edges(done())
 
     return run
 
 
-def _edges(pairs):
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-
-def _links(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    if 100 * min(len(x), len(y)) < need * max(len(x), len(y)):
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(len(x), len(y), need)
-
-
-def _stars(need: int):
-    """Links between members of large shards and the shard's centres."""
-
-    def run(batches):
-        now, centres = None, []
-        for batch in batches:
-            keys, docs, sets, heads = (batch.column(c).to_pylist() for c in ("key", "doc_id", "centre_sets", "centres"))
-            grams = batch.column("grams")
-            values, offsets = grams.values.to_numpy().view(np.uint64), grams.offsets.to_numpy()
-            out = []
-            for i, (key, doc, around, ids) in enumerate(zip(keys, docs, sets, heads)):
-                if key != now:
-                    now, centres = key, [(c, np.array(g, np.int64).view(np.uint64)) for c, g in zip(ids, around)]
-                own = values[offsets[i] : offsets[i + 1]]
-                out += [(doc, c) for c, g in centres if _links(own, g, need)]
-            yield _edges(out)
-
-    return run
+def _search(rows: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
+    """Links (a, b) within the groups of rows (key, part, node, query, known)."""
+    rows = rows.join(nodes.select("node", "n", "grams", "dfs"), "node").select("key", "part", "node", "n", "query", "known", "grams", "dfs")
+    return materialise(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_groups(need), "a long, b long").where("a <> b"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable by edges (a, b), for every node of an edge.
 
-    Each round takes the least label among neighbours, then jumps to the label's label; rounds grow with the logarithm of a component's width. State is
-    written to the shared folder each round.
+    Each round, a node, and the node that its label names, take the least label of a neighbour's label, and labels jump to the label's label; rounds grow
+    with the logarithm of a component's width. State is written to the shared folder each round.
     """
-    both = materialise(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    pairs = edges.where("a <> b")
+    both = materialise(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = materialise(step.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"), "labels")
-        if not new.where("comp <> old").limit(1).count():
+        further = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        jumped = labels.join(further, "comp").select("node", "comp", "far")
+        near = both.join(jumped.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("m"))
+        met = jumped.join(near, "node").select("node", "comp", F.least("far", "m").alias("m"))
+        news = met.select("node", "m", F.col("comp").alias("own")).union(met.select(F.col("comp").alias("node"), "m", F.lit(None).cast("long")))
+        new = materialise(news.groupBy("node").agg(F.min("m").alias("m"), F.max("own").alias("own")).select("node", F.least("own", "m").alias("comp"), "own"), "labels")
+        moved = new.where("comp <> own").limit(1).count()
+        discard(labels)
+        labels = new
+        if not moved:
+            discard(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
-
-
-def shards(d: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
-    """(key, node, n): members of the shards to search, n members each."""
-    # only a class's first document gives keys, 2 * (1 + 2 n / 19) of them or so: rows here are a fraction of the n-grams
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("own"), (F.col("rows") > 1).alias("repeats"))
-    rows = d.join(reps, "doc_id").select("text", "own", "repeats").mapInArrow(_shard_keys(size, need), "key long, node long, odd boolean")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("all"), F.max("odd").alias("odd")).where("n > 1")
-    # keys of the same members are one shard; nodes are hashes, so their number and xor tell members apart, unless a row repeats
-    shared = shared.groupBy("n", "all", F.when(F.col("odd"), F.col("key")).alias("odd")).agg(F.min("key").alias("key")).select("key")
-    shared = materialise(shared, "shared")
-    members = materialise(rows.select("key", "node").join(shared, "key", "left_semi").distinct(), "members")
-    counts = members.groupBy("key").agg(F.count("*").alias("n"))
-    sized = members.join(counts, "key")
-    best = sized.groupBy("node").agg(F.max_by("key", "n").alias("best"))
-    inside = members.join(best, "node").groupBy("key").agg(F.min("best").alias("low"), F.max("best").alias("high"), F.count("*").alias("n"))
-    kept = inside.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("key"))).select("key", "n")
-    return materialise(members.join(kept, "key"), "shards")
-
-
-def merged(found: DataFrame, block: int) -> DataFrame:
-    """Shards that share members made one, where at most ``block`` sets are so connected: a set then moves once. Larger ones stay as they are."""
-    low = found.groupBy("key").agg(F.min("node").alias("b"))
-    joint = components(found.join(low, "key").select(F.col("node").alias("a"), "b"))
-    sizes = joint.groupBy("comp").agg(F.count("*").alias("size"))
-    joint = materialise(joint.join(sizes, "comp"), "joint")
-    small = joint.where(F.col("size") <= block).select(F.col("comp").alias("key"), "node", F.col("size").alias("n"))
-    large = found.join(joint.where(F.col("size") > block).select("node"), "node", "left_semi").select("key", "node", "n")
-    return small.union(large)
+
+
+def _shared(d: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
+    """The sets with enough n-grams that another class has too: node (the class's first doc_id), n, spread (mean frequency), shared n-grams in global order and their frequencies."""
+    rows = d.select("text").mapInArrow(_rows(size, need), "gram long, f1 long, f2 long")
+    common = rows.groupBy("gram").agg(F.count("*").alias("df"), F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("gram", F.least("df", F.lit((1 << 31) - 1)).alias("df"))
+    shared = rows.join(common.hint("shuffle_hash"), "gram").select("f1", "f2", "df", "gram").distinct()
+    heads = classes.where(F.lit(100) * F.col("n") >= need * (F.col("n") + 1)).select("f1", "f2", (-F.col("n")).alias("df"), F.col("rep").alias("gram"))
+    rows = shared.union(heads).repartition("f1", "f2").sortWithinPartitions("f1", "f2", "df", "gram")
+    return materialise(rows.mapInArrow(_nodes(need), NODE), "nodes")
+
+
+def links(nodes: DataFrame, need: int = NEED, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all sets whose links connect them."""
+    least = F.ceil(F.lit(need) * F.col("n") / F.lit(100)).cast("int")
+    members = nodes.select("node", "spread", F.explode(F.slice("grams", F.lit(1), F.size("grams") - least + 1)).alias("key"))
+    heads = members.groupBy("key").agg(F.max_by("node", F.struct("spread", "node")).alias("head"), F.max("spread").alias("top"), F.count("*").alias("n")).where("n > 1")
+    met = members.join(heads.select("key", "head", "top"), "key")
+    near = materialise(met.select(F.col("node").alias("a"), F.col("head").alias("b"), "top").distinct(), "near")
+    groups = components(near)
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("size"))
+    groups = materialise(groups.join(sizes, "comp"), "groups")
+
+    small = groups.where(F.col("size") <= block).select(F.col("comp").alias("key"), F.lit(0).cast("long").alias("part"), "node", F.lit(True).alias("query"), F.col("node").alias("known"))
+    found = _search(small, nodes, need)
+    large = groups.where(F.col("size") > block).select("node")
+    if not large.limit(1).count():
+        return found
+
+    # each set meets the best of its centres
+    best = near.join(large.withColumnRenamed("node", "a"), "a", "left_semi").groupBy("a").agg(F.max_by("b", F.struct("top", "b")).alias("b")).where("a <> b")
+    best = materialise(best, "best")
+    parts = best.groupBy("b").agg(F.ceil(F.count("*") / F.lit(block)).cast("long").alias("parts"))
+    own = best.join(parts, "b").select(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.col("a").alias("node"), F.lit(False).alias("query"), F.col("a").alias("known"))
+    centres = parts.select(F.col("b").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), F.lit(True).alias("query"), F.col("b").alias("known"))
+    found = found.union(_search(own.union(centres), nodes, need))
+    out = found.union(_rest(members.join(large, "node", "left_semi").select("key", "node"), found, nodes, need, block))
+    discard(near, groups, best)
+    return out
+
+
+def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, need: int, block: int) -> DataFrame:
+    """Links between the sets of one key that ``found`` doesn't connect."""
+    comps = components(found)
+    each = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    each = materialise(each, "each")
+    apart = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("key", "first")
+    each, before = materialise(each.join(apart, "key"), "apart"), each
+    discard(before)
+    if not each.limit(1).count():
+        return found.limit(0)
+    groups = components(each.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("comp", "unit")
+    whole = each.select("node", "comp").distinct().join(groups, "node").select("unit", "node", "comp")
+    # a key's sets among themselves where that is less work than the whole group's
+    work = lambda x, by: x.groupBy(by, "comp").agg(F.count("*").alias("c")).groupBy(by).agg(F.sum("c").alias("n"), F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("left"))
+    by_unit, by_key = work(whole, "unit"), work(each, "key")
+    first = each.groupBy("key").agg(F.min("node").alias("node")).join(groups, "node").select("key", "unit")
+    cost = by_key.join(first, "key").groupBy("unit").agg(F.sum(F.col("n") * F.col("left")).alias("cost"))
+    chosen = materialise(by_unit.join(cost, "unit").select("unit", "n", "main", "left", (F.col("n") * F.col("left") <= F.col("cost")).alias("whole")), "chosen")
+    units = whole.join(chosen.where("whole"), "unit").select(F.col("unit").alias("key"), "node", "comp", "n", "main", "left")
+    keys = each.select("key", "node", "comp").join(by_key, "key").join(first.join(chosen.where("not whole").select("unit"), "unit").select("key"), "key", "left_semi")
+    todo = materialise(units.union(keys.select(*units.columns)), "todo")
+    # block i of all members meets block j of those to search for
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
+    deal = lambda c: F.pmod(F.xxhash64("node"), blocks(c))
+    span = lambda c: F.sequence(F.lit(0).cast("long"), blocks(c) - 1)
+    row = lambda part, query: ("key", F.explode(part).alias("part"), "node", F.lit(query).alias("query"), F.col("comp").alias("known"))
+    every = todo.select(*row(F.transform(span("left"), lambda j: deal("n") * blocks("left") + j), False))
+    lost = todo.where("comp <> main").select(*row(F.transform(span("n"), lambda i: i * blocks("left") + deal("left")), True))
+    rows = every.union(lost).groupBy("key", "part", "node", "known").agg(F.max("query").alias("query"))
+    out = _search(rows.select("key", "part", "node", "query", "known"), nodes, need)
+    discard(each, chosen, todo)
+    return out
 
 
 def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of ``docs`` with a doc_id.
 
     Words are compared without the case of A-Z; null and empty texts have no n-gram and are linked with nothing, not even each other. Rows that repeat a
-    doc_id and text are in one component. N-grams are compared by 64-bit hashes.
+    doc_id and text are in one component; one with another text is linked by that text. N-grams are compared by 64-bit hashes, sets by 128-bit ones.
     """
     small_batches(docs.sparkSession)
     d = texts(docs)
     prints = materialise(d.mapInArrow(_prints(size), "doc_id long, n long, f1 long, f2 long"), "prints")
-    classes = prints.where("n > 0").groupBy("f1", "f2", "doc_id").agg(F.count("*").alias("rows")).groupBy("f1", "f2")
-    classes = classes.agg(F.min(F.struct("doc_id", "rows")).alias("first"), F.sum("rows").alias("copies"))
-    classes = materialise(classes.select("f1", "f2", F.col("first.doc_id").alias("rep"), F.col("first.rows").alias("rows"), "copies"), "classes")
-
-    found = merged(shards(d, classes, size, need), block).join(classes.select(F.col("f1").alias("node"), F.col("rep").alias("doc_id")), "node").select("key", "doc_id", "n")
-    wanted = found.select("doc_id").distinct()
-    first = d.join(wanted, "doc_id", "left_semi")  # a repeated doc_id with another text gives a set of its own
-    grams = materialise(first.mapInArrow(_sets(size), "doc_id long, grams array<long>"), "grams")
-    found = materialise(found, "found")
-    member = found.join(grams, "doc_id")
-
-    small = member.where(F.col("n") <= block).select("key", F.lit(0).cast("long").alias("part"), "doc_id", F.lit(True).alias("query"), F.col("doc_id").alias("comp"), "grams")
-    large = found.where(F.col("n") > block)
-    links = materialise(_search(small, need), "links")
-    if large.limit(1).count():
-        links = _large(large, grams, links, need, block)
-    comps = components(links)
+    classes = materialise(prints.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
+    nodes = _shared(d, classes, size, need)
+    comps = components(links(nodes, need, block))
+    discard(nodes)
 
     moved = classes.join(comps, classes["rep"] == comps["node"], "left").select("f1", "f2", "copies", "rep", F.coalesce("comp", "rep").alias("comp"))
     moved = moved.where((F.col("copies") > 1) | (F.col("comp") != F.col("rep"))).select("f1", "f2", "comp")
@@ -350,45 +387,15 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _search(rows: DataFrame, need: int) -> DataFrame:
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id").mapInArrow(_blocks(need), "a long, b long")
-
-
-def _large(large: DataFrame, grams: DataFrame, links: DataFrame, need: int, block: int) -> DataFrame:
-    """``links`` and those among the members of large shards."""
-    # keyed by hash the centres are any members; a bounded few of each shard
-    part = F.pmod(F.xxhash64("doc_id", "key"), F.greatest(F.col("n") / F.lit(4 * CENTRES), F.lit(1)).cast("long"))
-    some = large.where(part == 0).select("key", "doc_id").join(grams, "doc_id")
-    some = some.groupBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(CENTRES)).alias("slot")).agg(F.min_by("grams", "doc_id").alias("g"), F.min("doc_id").alias("id"))
-    heads = some.groupBy("key").agg(F.collect_list("id").alias("centres"), F.collect_list("g").alias("centre_sets"))
-    stars = large.join(grams, "doc_id").select("key", "doc_id", "grams").join(heads, "key")
-    stars = materialise(stars.select("doc_id", "grams", "centre_sets", "centres", "key").mapInArrow(_stars(need), "a long, b long").where("a <> b"), "stars")
-    links = links.union(stars)
-
-    # what one shard left apart another may have connected: only members outside a shard's largest component are searched
-    comps = components(links)
-    each = large.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    each = materialise(each.select("key", "doc_id", "n", "comp"), "parts")
-    most = each.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    lost = materialise(each.join(most, "key").where("comp <> main").select("key", "doc_id", "n", "comp"), "lost")
-    sizes = lost.groupBy("key").agg(F.count("*").alias("left"))
-    if not sizes.limit(1).count():
-        return links
-    n_blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
-    deal = lambda c: F.pmod(F.xxhash64("doc_id"), n_blocks(c))
-    # block i of all members meets block j of those to search
-    all_rows = each.join(sizes, "key").select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("left") - 1), lambda j: deal("n") * n_blocks("left") + j)).alias("part"), F.lit(False).alias("query"), "comp")
-    lost_rows = lost.join(sizes, "key")
-    lost_rows = lost_rows.select("key", "doc_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks("n") - 1), lambda i: i * n_blocks("left") + deal("left"))).alias("part"), F.lit(True).alias("query"), "comp")
-    pairs = all_rows.union(lost_rows).join(grams, "doc_id").select("key", "part", "doc_id", "query", "comp", "grams")
-    return links.union(materialise(_search(pairs, need), "links"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id."""
-    kept = cluster(docs, size=5, need=80).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each component of near duplicates (five words, similarity 0.8): the one with the smallest doc_id.
+
+    Documents without words are linked with nothing and stay. Rows without a doc_id have no place in the result and go; rows that repeat a doc_id share its
+    fate. All columns pass unchanged.
+    """
+    kept = cluster(docs, size=5, need=80).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long") == kept["kept"], "left_semi")
