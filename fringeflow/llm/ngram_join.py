@@ -3,9 +3,10 @@
 Documents with equal n-gram sets are one class. N-grams have one global order:
 the rarer first, and those of one class alone before all others. A set that
 links has at least ``need`` percent of its n-grams in common with another, so
-sets with too few shared n-grams are set aside at once, and two sets that link
-share an n-gram of their prefixes (the first ones of each, all but as many as
-must be common). Sets that share a prefix n-gram, directly or through others,
+sets with too few shared n-grams are set aside: at first by a part of each set
+(its first n-grams by hash, of which a link leaves a known number in common),
+then by all of it. Two sets that link share an n-gram of their prefixes (the
+first ones in global order, all but as many as must be common). Sets that share a prefix n-gram, directly or through others,
 are a group; no pair in two groups links.
 
 A group's sets form a trie in global order. A search walks the trie once for all
@@ -56,22 +57,38 @@ def _mark(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _prints(size: int):
+def _spare(n, need: int):
+    """How many n-grams a set of size n may lack and still link."""
+    return n - -(-need * n // 100)
+
+
+def _prints(size: int, need: int):
+    """Each text's set: its size, its mark, and its first n-grams by hash. If two sets link, the first 2 * _spare(n) + 1 of each have _spare(m) + 1 in common, m being the smaller size."""
+
     def run(batches):
         for batch in batches:
             sets = sets_of(batch.column(1), size)
             marks = np.frombuffer(b"".join(_mark(s) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], ["doc_id", "n", "f1", "f2"])
+            heads = [s[: 2 * _spare(len(s), need) + 1] if _linkable(len(s), need) else s[:0] for s in sets]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in heads])]).astype(np.int32))
+            first = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *heads]))))
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "first"])
 
     return run
 
 
+def _linkable(n: int, need: int) -> bool:
+    """Whether a different set can link with one of size n: one of n + 1 shares n at most."""
+    return 100 * n >= need * (n + 1)
+
+
 def _rows(size: int, need: int):
-    """(gram, f1, f2) of all sets that a different set can link with: a set of n and one of n + 1 n-grams share n at most."""
+    """(gram, f1, f2) of all sets that a different set can link with."""
 
     def run(batches):
         for batch in batches:
-            sets = [x for x in sets_of(batch.column(0), size) if 100 * len(x) >= need * (len(x) + 1)]
+            sets = [x for x in sets_of(batch.column(0), size) if _linkable(len(x), need)]
             marks = np.frombuffer(b"".join(_mark(x) for x in sets), np.int64).reshape(-1, 2)
             lengths = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *sets]))), *(pa.array(np.repeat(marks[:, i], lengths)) for i in (0, 1))], ["gram", "f1", "f2"])
@@ -98,16 +115,17 @@ def _nodes(need: int):
         return pa.RecordBatch.from_arrays([pa.array(gram[starts][keep]), pa.array(n[keep]), pa.array(spread / n[keep]), *lists], ["node", "n", "spread", "grams", "dfs"])
 
     def run(batches):
-        held, count = [], 0
+        held, count, upto = [], 0, 1 << 16
         for batch in batches:
             held.append([batch.column(c).to_numpy() for c in ("f1", "f2", "df", "gram")])
             count += batch.num_rows
-            if count < 1 << 16:
+            if count < upto:
                 continue
             f1, f2, df, gram = (np.concatenate(c) for c in zip(*held))
             cut = int(np.flatnonzero(df < 0)[-1])  # the last set may go on
             yield build(f1[:cut], f2[:cut], df[:cut], gram[:cut])
             held, count = [[x[cut:] for x in (f1, f2, df, gram)]], len(f1) - cut
+            upto = max(1 << 16, 2 * count)
         if held:
             yield build(*(np.concatenate(c) for c in zip(*held)))
 
@@ -294,14 +312,33 @@ def components(edges: DataFrame) -> DataFrame:
             return new.select("node", "comp")
 
 
-def _shared(d: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
+    """(gram, df) of n-grams that rows (gram, f1) have from more than one class."""
+    found = rows.groupBy("gram").agg(F.count("*").alias("df"), F.min("f1").alias("low"), F.max("f1").alias("high"))
+    return found.where("low <> high").select("gram", F.least("df", F.lit((1 << 31) - 1)).alias("df"))
+
+
+def _hopeful(prints: DataFrame, classes: DataFrame, need: int) -> DataFrame:
+    """The classes of which as many first n-grams are found in other classes as a link needs."""
+    rows = prints.select("f1", "n", F.explode("first").alias("gram"))
+    met = rows.join(_met(rows).select("gram").hint("shuffle_hash"), "gram").distinct().groupBy("f1", "n").agg(F.count("*").alias("met"))
+    m = F.ceil(F.lit(need) * F.col("n") / F.lit(100))  # no smaller set links
+    enough = met.where(F.col("met") > m - F.ceil(F.lit(need) * m / F.lit(100))).select("f1").distinct()
+    return materialise(classes.join(enough, "f1", "left_semi"), "hopeful")
+
+
+def _shared(d: DataFrame, prints: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
     """The sets with enough n-grams that another class has too: node (the class's first doc_id), n, spread (mean frequency), shared n-grams in global order and their frequencies."""
-    rows = d.select("text").mapInArrow(_rows(size, need), "gram long, f1 long, f2 long")
-    common = rows.groupBy("gram").agg(F.count("*").alias("df"), F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("gram", F.least("df", F.lit((1 << 31) - 1)).alias("df"))
-    shared = rows.join(common.hint("shuffle_hash"), "gram").select("f1", "f2", "df", "gram").distinct()
-    heads = classes.where(F.lit(100) * F.col("n") >= need * (F.col("n") + 1)).select("f1", "f2", (-F.col("n")).alias("df"), F.col("rep").alias("gram"))
-    rows = shared.union(heads).repartition("f1", "f2").sortWithinPartitions("f1", "f2", "df", "gram")
-    return materialise(rows.mapInArrow(_nodes(need), NODE), "nodes")
+    hopeful = _hopeful(prints, classes, need)
+    own = materialise(d.join(hopeful.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "own")
+    rows = own.select("text").mapInArrow(_rows(size, need), "gram long, f1 long, f2 long")
+    shared = rows.join(_met(rows).hint("shuffle_hash"), "gram").select("f1", "f2", "df", "gram").distinct()
+    heads = hopeful.select("f1", "f2", (-F.col("n")).alias("df"), F.col("rep").alias("gram"))
+    # a repeated doc_id may have another text, of a class that isn't hopeful and has no head row
+    rows = shared.join(hopeful.select("f1", "f2"), ["f1", "f2"], "left_semi").union(heads).repartition("f1", "f2").sortWithinPartitions("f1", "f2", "df", "gram")
+    out = materialise(rows.mapInArrow(_nodes(need), NODE), "nodes")
+    discard(hopeful, own)
+    return out
 
 
 def links(nodes: DataFrame, need: int = NEED, block: int = BLOCK) -> DataFrame:
@@ -375,9 +412,9 @@ def cluster(docs: DataFrame, size: int = SIZE, need: int = NEED, block: int = BL
     """
     small_batches(docs.sparkSession)
     d = texts(docs)
-    prints = materialise(d.mapInArrow(_prints(size), "doc_id long, n long, f1 long, f2 long"), "prints")
+    prints = materialise(d.mapInArrow(_prints(size, need), "doc_id long, n long, f1 long, f2 long, first array<long>"), "prints")
     classes = materialise(prints.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
-    nodes = _shared(d, classes, size, need)
+    nodes = _shared(d, prints, classes, size, need)
     comps = components(links(nodes, need, block))
     discard(nodes)
 
