@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, small_batches, table, texts
 from .words import LOWER, signed, window_hashes, words_of
 
-SIZE, NEED, BLOCK, CELLS = 3, 90, 400, 1 << 23
+SIZE, NEED, BLOCK, CELLS, OPEN = 3, 90, 400, 1 << 23, 1 << 20
 
 
 def sets_of(column, size: int = SIZE) -> list[np.ndarray]:
@@ -282,6 +282,54 @@ def _groups(need: int):
     return run
 
 
+def _open(need: int):
+    """Rows sorted by key: those of sets that may link with one of another component whose first n-gram in common is the key. ``left`` counts n-grams from the key on.
+
+    Keys of more than ``OPEN`` sets pass whole.
+    """
+
+    def able(n, left, comp):
+        order = np.lexsort((-left, n))
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.arange(len(order))
+        sizes, start, which = np.unique(n[order], return_index=True, return_inverse=True)
+        first = comp[order][start]  # the best of each size, and the best of another component than that
+        best, other = left[order][start], np.maximum.reduceat(np.where(comp[order] != first[which], left[order], -1), start)
+        out = np.zeros(len(n), bool)
+        for size, one, two, c in zip(sizes.tolist(), best.tolist(), other.tolist(), first.tolist()):
+            t = overlap_needed(n, size, need)
+            out |= (100 * np.minimum(n, size) >= need * np.maximum(n, size)) & (left >= t) & (np.where(comp == c, two, one) >= t)
+        return out
+
+    def run(batches):
+        now, held, count = None, [], 0
+
+        def done():
+            rows = [np.concatenate(c) for c in zip(*held)]
+            keep = able(rows[2], rows[3], rows[4]) if 1 < count <= OPEN else np.full(len(rows[0]), count > 1)
+            return pa.RecordBatch.from_arrays([pa.array(rows[i][keep]) for i in (0, 1, 4)], ["key", "node", "comp"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("key", "node", "n", "left", "comp")]
+            cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if columns[0][lo] != now and held:
+                    yield done()
+                    held.clear()
+                    count = 0
+                now, count = columns[0][lo], count + hi - lo
+                held.append([c[lo:hi] for c in columns])
+                if count > OPEN:  # what is held goes on as it is
+                    yield done()
+                    held.clear()
+        if held:
+            yield done()
+
+    return run
+
+
 def _search(rows: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     """Links (a, b) within the groups of rows (key, part, node, query, known)."""
     rows = rows.join(nodes.select("node", "n", "grams", "dfs"), "node").select("key", "part", "node", "n", "query", "known", "grams", "dfs")
@@ -344,7 +392,7 @@ def _shared(d: DataFrame, prints: DataFrame, classes: DataFrame, size: int, need
 def links(nodes: DataFrame, need: int = NEED, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all sets whose links connect them."""
     least = F.ceil(F.lit(need) * F.col("n") / F.lit(100)).cast("int")
-    members = nodes.select("node", "spread", F.explode(F.slice("grams", F.lit(1), F.size("grams") - least + 1)).alias("key"))
+    members = nodes.select("node", "spread", "n", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", F.lit(1), F.size("grams") - least + 1)).alias("pos", "key"))
     heads = members.groupBy("key").agg(F.max_by("node", F.struct("spread", "node")).alias("head"), F.max("spread").alias("top"), F.count("*").alias("n")).where("n > 1")
     met = members.join(heads.select("key", "head", "top"), "key")
     near = materialise(met.select(F.col("node").alias("a"), F.col("head").alias("b"), "top").distinct(), "near")
@@ -365,7 +413,7 @@ def links(nodes: DataFrame, need: int = NEED, block: int = BLOCK) -> DataFrame:
     own = best.join(parts, "b").select(F.col("b").alias("key"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.col("a").alias("node"), F.lit(False).alias("query"), F.col("a").alias("known"))
     centres = parts.select(F.col("b").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("b").alias("node"), F.lit(True).alias("query"), F.col("b").alias("known"))
     found = found.union(_search(own.union(centres), nodes, need))
-    out = found.union(_rest(members.join(large, "node", "left_semi").select("key", "node"), found, nodes, need, block))
+    out = found.union(_rest(members.join(large, "node", "left_semi").select("key", "node", "n", (F.col("shared") - F.col("pos")).cast("long").alias("left")), found, nodes, need, block))
     discard(near, groups, best)
     return out
 
@@ -373,26 +421,30 @@ def links(nodes: DataFrame, need: int = NEED, block: int = BLOCK) -> DataFrame:
 def _rest(members: DataFrame, found: DataFrame, nodes: DataFrame, need: int, block: int) -> DataFrame:
     """Links between the sets of one key that ``found`` doesn't connect."""
     comps = components(found)
-    each = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    each = members.join(comps, "node", "left").select("key", "node", "n", "left", F.coalesce("comp", "node").alias("comp"))
     each = materialise(each, "each")
-    apart = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low <> high").select("key", "first")
-    each, before = materialise(each.join(apart, "key"), "apart"), each
-    discard(before)
+    apart = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    still = each.join(apart, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInArrow(_open(need), "key long, node long, comp long")
+    still = materialise(still, "open")
+    firsts = still.groupBy("key").agg(F.min("node").alias("first"))
+    each, before = materialise(still.join(firsts, "key"), "apart"), (each, still)
+    discard(*before)
     if not each.limit(1).count():
         return found.limit(0)
     groups = components(each.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("comp", "unit")
     whole = each.select("node", "comp").distinct().join(groups, "node").select("unit", "node", "comp")
-    # a key's sets among themselves where that is less work than the whole group's
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
+    # a key's sets among themselves where fewer sets move so than for the whole group
     work = lambda x, by: x.groupBy(by, "comp").agg(F.count("*").alias("c")).groupBy(by).agg(F.sum("c").alias("n"), F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("left"))
+    moves = F.col("n") * blocks("left") + F.col("left") * blocks("n")
     by_unit, by_key = work(whole, "unit"), work(each, "key")
     first = each.groupBy("key").agg(F.min("node").alias("node")).join(groups, "node").select("key", "unit")
-    cost = by_key.join(first, "key").groupBy("unit").agg(F.sum(F.col("n") * F.col("left")).alias("cost"))
-    chosen = materialise(by_unit.join(cost, "unit").select("unit", "n", "main", "left", (F.col("n") * F.col("left") <= F.col("cost")).alias("whole")), "chosen")
+    cost = by_key.join(first, "key").groupBy("unit").agg(F.sum(moves).alias("cost"))
+    chosen = materialise(by_unit.join(cost, "unit").select("unit", "n", "main", "left", (moves <= F.col("cost")).alias("whole")), "chosen")
     units = whole.join(chosen.where("whole"), "unit").select(F.col("unit").alias("key"), "node", "comp", "n", "main", "left")
     keys = each.select("key", "node", "comp").join(by_key, "key").join(first.join(chosen.where("not whole").select("unit"), "unit").select("key"), "key", "left_semi")
     todo = materialise(units.union(keys.select(*units.columns)), "todo")
     # block i of all members meets block j of those to search for
-    blocks = lambda c: F.ceil(F.col(c) / F.lit(block)).cast("long")
     deal = lambda c: F.pmod(F.xxhash64("node"), blocks(c))
     span = lambda c: F.sequence(F.lit(0).cast("long"), blocks(c) - 1)
     row = lambda part, query: ("key", F.explode(part).alias("part"), "node", F.lit(query).alias("query"), F.col("comp").alias("known"))

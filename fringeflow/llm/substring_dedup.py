@@ -4,17 +4,20 @@ A window is 20 consecutive words. Its anchor is the six-word run in it with the
 smallest hash, so equal windows have equal anchors, and neighbouring windows
 mostly share one. Anchors that occur once hold no repeated window. For the
 others, the words around each occurrence (a segment) go to a shard by anchor.
-There, windows seen twice are confirmed, an Aho-Corasick automaton is compiled
-from them, and all segments of the shard stream through it; every occurrence
-but the first of each window is covered. Anchors of more than ``HOT`` segments
-have their windows confirmed by aggregation instead and their segments spread
-over tasks, each with automata of at most ``PATTERNS`` windows.
+There, passages are confirmed (runs of windows that always recur together), an
+Aho-Corasick automaton is compiled from them, and all segments of the shard
+stream through it; every occurrence but the first of each passage is covered.
+
+Segments of an anchor that occurs more than ``HOT`` times meet by content: of
+equal segments all but the first are covered, and the first ones are cut anew
+by a finer anchor, the ``2``, ``4``, ``8`` or all six-word runs of a window with
+the smallest hashes, until no anchor is so frequent. A window thus moves once a
+step and meets only windows that may equal it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -23,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table, texts
-from .words import mix, signed, window_hashes, words_of
+from .common import discard, materialise, small_batches, spare, table, texts
+from .words import gather, mix, signed, window_hashes, words_of
 
-WINDOW, ANCHOR, HOT, PATTERNS, BATCH_PATTERNS = 20, 6, 3000, 2000, 20_000
+WINDOW, ANCHOR, HOT, SHARD_ROWS = 20, 6, 3000, 8000
+FINER = (2, 4, 8, WINDOW - ANCHOR + 1)
 ALL = (1 << 31) - 1
 
 
@@ -81,33 +85,48 @@ def _anchor_rows(batches):
 
 
 SEGMENT = "h long, hot boolean, doc_id long, th long, lo int, n int, words string"
+GONE = "doc_id long, th long, lo int, hi int"
 
 
-def _segments(batches):
-    """Words around each repeated anchor, with one space before, between and after them."""
-    for batch in batches:
-        words = words_of(batch.column("text"))
-        data = words.data.tobytes()
-        out = []
-        for i, (doc_id, th, runs) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("runs").to_pylist())):
-            a, b = int(words.first[i]), int(words.first[i + 1])
-            mine = [data[s:e].decode() for s, e in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist())]
-            for r in runs:
-                out.append((r["h"], r["hot"], doc_id, th, r["lo"], r["hi"] - r["lo"] + 1, f" {' '.join(mine[r['lo'] : r['hi'] + WINDOW])} "))
-            if len(out) > 5000:
-                yield _segment_rows(out)
-                out = []
-        yield _segment_rows(out)
+def _spaced(words) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space before, between and after them, and the place of the space before each word (and of the last space)."""
+    lengths = words.ends - words.starts
+    before = np.concatenate([[0], np.cumsum(lengths + 1)])
+    out = np.full(int(before[-1]) + 1, 32, np.uint8)
+    each = np.arange(int(lengths.sum()), dtype=np.int64)
+    each += np.repeat(words.starts - (np.cumsum(lengths) - lengths), lengths)
+    out[each + np.repeat(before[:-1] + 1 - words.starts, lengths)] = words.data[each]
+    return out, before
 
 
-def _segment_rows(out):
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], [f.split()[0] for f in SEGMENT.split(", ")])
+def _batch(schema: str, *columns):
+    names, kinds = zip(*(f.split() for f in schema.split(", ")))
+    arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(arrow[k]) for c, k in zip(columns, kinds)], list(names))
 
 
-def windows_in(segment: str, n: int) -> list[str]:
-    cut = [i for i, c in enumerate(segment) if c == " "]
-    return [segment[cut[i] : cut[i + WINDOW] + 1] for i in range(n)]
+def _segments(batches):
+    """Words around each repeated anchor, with one space before, between and after them."""
+    for batch in batches:
+        words = words_of(batch.column("text"))
+        spaced, before = _spaced(words)
+        runs = batch.column("runs")
+        counts, runs = np.diff(runs.offsets.to_numpy()), runs.flatten()
+        of = lambda name: runs.field(name).to_numpy(zero_copy_only=False)
+        lo, hi, row = of("lo").astype(np.int64), of("hi").astype(np.int64), np.repeat(np.arange(len(counts)), counts)
+        for k in range(0, len(lo), 1 << 16):
+            c = slice(k, k + (1 << 16))
+            base = words.first[row[c]]
+            text = gather(spaced, before[base + lo[c]], before[base + hi[c] + WINDOW] + 1)
+            own = [batch.column(name).to_numpy()[row[c]] for name in ("doc_id", "th")]
+            yield _batch(SEGMENT, of("h")[c], of("hot")[c], *own, lo[c], hi[c] - lo[c] + 1, text)
+
+
+def _windows(words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and row of all windows of segments."""
+    n = len(words.starts) - WINDOW + 1
+    start = np.flatnonzero(words.row[: max(n, 0)] == words.row[WINDOW - 1 :]) if n > 0 else np.zeros(0, np.int64)
+    return start, words.row[start]
 
 
 class Automaton:
@@ -124,107 +143,117 @@ class Automaton:
             yield k, segment.count(" ", 0, end + 1 - length)
 
 
-def _ranges(doc_id, th, starts):
-    """Rows (doc_id, th, lo, hi) of consecutive covered window starts."""
-    starts = sorted(starts)
-    out, lo = [], None
-    for i, s in enumerate(starts):
-        lo = s if lo is None else lo
-        if i + 1 == len(starts) or starts[i + 1] > s + 1:
-            out.append((doc_id, th, lo, s))
-            lo = None
-    return out
-
+def passages(words) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Phrases that recur among segments, how many windows each holds, and the rows where one may occur.
 
-def _gone_rows(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["doc_id", "th", "lo", "hi"])
+    Windows that occur more than once are confirmed; two neighbours are of one phrase if neither ever occurs without the other beside it.
+    """
+    start, row = _windows(words)
+    if not len(start):
+        return [], start, row
+    hashes = window_hashes(words.hashes(), WINDOW)[start]
+    _, first, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    n = count[which]
+    beside = np.flatnonzero((start[1:] == start[:-1] + 1) & (row[1:] == row[:-1]) & (n[1:] == n[:-1]) & (n[1:] > 1))
+    _, pair, pairs = np.unique(mix(hashes[beside] * np.uint64(0x9E3779B97F4A7C15) + hashes[beside + 1]), return_inverse=True, return_counts=True)
+    joined = np.zeros(len(start) + 1, bool)  # a window that goes on with the one before
+    joined[beside[pairs[pair] == n[beside]] + 1] = True
+    head = np.zeros(len(start), bool)
+    head[first] = True  # the first place of each window
+    opens = np.flatnonzero(head & (n > 1) & ~joined[:-1])
+    ends = np.flatnonzero(~joined[1:])  # last windows of runs
+    length = ends[np.searchsorted(ends, opens)] - opens + 1
+    spaced, before = _spaced(words)
+    a = start[opens]
+    return gather(spaced, before[a], before[a + length - 1 + WINDOW] + 1).to_pylist(), length, np.unique(row[n > 1])
 
 
 def _shard(batches):
-    """Rows in the order of (h, doc_id, lo): compile the phrases of a run of anchors, then stream their segments."""
-    groups, phrases = [], []
-
-    def add(group):
-        """group: rows (doc_id, th, lo, n, words) of one anchor"""
-        if len({r[4] for r in group}) == 1:
-            mine = [group[0][4]] if len({r[:3] for r in group}) > 1 else []
-        else:
-            each = Counter(w for key in {r for r in group} for w in windows_in(key[4], key[3]))
-            mine = [w for w, n in each.items() if n > 1]
-        if mine:
-            groups.append(group)
-            phrases.extend(mine)
-
-    def search():
-        automaton, out, first = Automaton(phrases), [], {}
-        for group in groups:
-            for doc_id, th, lo, n, words in group:
-                starts = set()
-                for k, at in automaton.places(words):
-                    here = (doc_id, lo + at)
-                    if first.setdefault(k, here) != here:
-                        starts.update(range(lo, lo + n) if phrases[k] == words else (lo + at,))
-                out += _ranges(doc_id, th, starts)
-        groups.clear()
-        phrases.clear()
-        return out
-
-    now, group = None, []
-    for batch in batches:
-        out = []
-        for h, *row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "th", "lo", "n", "words"))):
-            if h != now:
-                add(group) if len(group) > 1 else None
-                now, group = h, []
-                if len(phrases) > BATCH_PATTERNS:
-                    out += search()
-            group.append(tuple(row))
-        yield _gone_rows(out)
-    add(group) if len(group) > 1 else None
-    yield _gone_rows(search() if phrases else [])
-
-
-def _hot_windows(batches):
-    for batch in batches:
-        rows = []
-        for doc_id, lo, n, words, h in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "n", "words", "h"))):
-            rows += [(h, w, doc_id, lo + i) for i, w in enumerate(windows_in(words, n))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int32()))], ["h", "phrase", "doc_id", "start"])
-
-
-def _hot_search(batches):
-    """Rows sorted by (h, chunk, salt, kind): the phrases of a chunk come before the segments that stream through it."""
-    now, phrases, firsts, automaton = None, [], [], None
+    """Rows in the order of (h, doc_id, lo): compile the phrases of some anchors, then stream their segments."""
+
+    def search(rows):
+        column = pa.concat_arrays([r.column("words") for r in rows])
+        phrases, length, where = passages(words_of(column))
+        ids, ths, los = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("doc_id", "th", "lo"))
+        if not phrases:
+            return _batch(GONE, *[np.zeros(0, np.int64)] * 4)
+        automaton, first, length, out = Automaton(phrases), {}, length.tolist(), []
+        for doc_id, th, lo, words in zip(ids[where].tolist(), ths[where].tolist(), los[where].tolist(), column.take(pa.array(where)).to_pylist()):
+            a, b = -2, -2
+            for start, end in sorted((lo + at, lo + at + length[k] - 1) for k, at in automaton.places(words) if first.setdefault(k, (doc_id, lo + at)) != (doc_id, lo + at)):
+                if start <= b + 1:
+                    b = max(b, end)
+                    continue
+                if b >= 0:
+                    out.append((doc_id, th, a, b))
+                a, b = start, end
+            if b >= 0:
+                out.append((doc_id, th, a, b))
+        return _batch(GONE, *(np.array(out, np.int64).reshape(-1, 4).T))
+
+    held, count = [], 0
     for batch in batches:
-        out = []
-        for key, kind, doc_id, th, lo, words in zip(zip(*(batch.column(c).to_pylist() for c in ("h", "chunk", "salt"))), *(batch.column(c).to_pylist() for c in ("kind", "doc_id", "th", "lo", "words"))):
-            if key != now:
-                now, phrases, firsts, automaton = key, [], [], None
-            if kind == 0:
-                phrases.append(words)
-                firsts.append((doc_id, lo))
-            elif phrases:
-                automaton = automaton or Automaton(phrases)
-                out += _ranges(doc_id, th, [lo + at for k, at in automaton.places(words) if (doc_id, lo + at) > firsts[k]])
-        yield _gone_rows(out)
-
-
-def _hot(hot: DataFrame) -> DataFrame:
-    """Covered ranges among the segments of very frequent anchors: phrases in chunks, segments in salted shares, each share with its chunk's phrases."""
-    confirmed = hot.mapInArrow(_hot_windows, "h long, phrase string, doc_id long, start int").groupBy("h", "phrase").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    confirmed = materialise(confirmed.where("n > 1").select("h", "phrase", "first"), "confirmed")
-    long = lambda c: c.cast("long")
-    chunks = confirmed.groupBy("h").agg(long(F.ceil(F.count("*") / F.lit(PATTERNS))).alias("chunks"))
-    salts = hot.groupBy("h").agg(long(F.ceil(F.count("*") / F.lit(HOT))).alias("salts"))
-    shape = materialise(chunks.join(salts, "h"), "shape")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["h", "chunk", "salt", "kind", "doc_id", "th", "lo", "words"]
-    rules = confirmed.join(shape, "h").withColumn("chunk", F.pmod(F.xxhash64("phrase"), "chunks")).withColumn("salt", each("salts"))
-    rules = rules.select("h", "chunk", "salt", F.lit(0).alias("kind"), F.col("first.doc_id").alias("doc_id"), F.lit(0).cast("long").alias("th"), F.col("first.start").alias("lo"), F.col("phrase").alias("words"))
-    streams = hot.join(shape, "h").withColumn("salt", F.pmod(F.xxhash64("doc_id", "lo"), "salts")).withColumn("chunk", each("chunks")).withColumn("kind", F.lit(1))
-    rows = rules.union(streams.select(*columns)).repartition("h", "chunk", "salt").sortWithinPartitions("h", "chunk", "salt", "kind")
-    return rows.mapInArrow(_hot_search, "doc_id long, th long, lo int, hi int")
+        held.append(batch)
+        count += batch.num_rows
+        if count < SHARD_ROWS:
+            continue
+        h = np.concatenate([r.column("h").to_numpy() for r in held])
+        cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+        table = pa.Table.from_batches(held).combine_chunks()
+        if cut:
+            yield search(table.slice(0, cut).to_batches())
+            table = table.slice(cut)
+        held, count = table.to_batches(), table.num_rows
+    if held:
+        yield search(held)
+
+
+def _finer(grams: int):
+    """Segments cut at the windows whose ``grams`` smallest six-word runs differ, keyed by these."""
+
+    def run(batches):
+        for batch in batches:
+            words = words_of(batch.column("words"))
+            start, row = _windows(words)
+            if not len(start):
+                continue
+            view = np.lib.stride_tricks.sliding_window_view(window_hashes(words.hashes(), ANCHOR), WINDOW - ANCHOR + 1)
+            key = mix(batch.column("h").to_numpy().view(np.uint64)[row])
+            for g in np.sort(view[start], axis=1)[:, :grams].T:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + g)
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+            a, length, row = start[new], np.diff(np.append(new, len(start))), row[new]
+            spaced, before = _spaced(words)
+            text = gather(spaced, before[a], before[a + length - 1 + WINDOW] + 1)
+            own = [batch.column(name).to_numpy()[row] for name in ("doc_id", "th", "lo")]
+            yield _batch(SEGMENT, signed(key[new]), np.ones(len(a), bool), own[0], own[1], own[2] + a - words.first[row], length, text)
+
+    return run
+
+
+def _hot(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The segments of very frequent anchors: those left to search, keyed by finer anchors, and the ranges (doc_id, th, lo, hi) that equal segments cover."""
+    cold, gone = None, []
+    for grams in (*FINER, 0):
+        same = hot.withColumn("mark", F.xxhash64("words"))
+        first = same.groupBy("h", "mark").agg(F.min(F.struct("doc_id", "lo", "th", "n", "words")).alias("first"), F.count("*").alias("c"))
+        first = materialise(first.select("h", "mark", "first", "c"), "first")
+        heads = first.where("c > 1").select("h", "mark", F.col("first.doc_id").alias("d"), F.col("first.lo").alias("l"))
+        later = same.join(heads, ["h", "mark"]).where("doc_id > d or lo > l").select("doc_id", "th", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
+        gone.append(materialise(later, "later"))
+        if not grams:
+            return cold, gone
+        cut = first.select("h", F.lit(True).alias("hot"), "first.doc_id", "first.th", "first.lo", "first.n", "first.words").mapInArrow(_finer(grams), SEGMENT)
+        finer = materialise(cut, "finer")
+        counts = finer.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+        cut = finer.join(counts, "h").select("h", (F.col("c") > HOT).alias("hot"), "doc_id", "th", "lo", "n", "words")
+        cut = materialise(cut, "cut")
+        discard(first, finer)
+        more = cut.where("not hot")
+        cold = more if cold is None else cold.union(more)
+        hot = cut.where("hot")
+        if not hot.limit(1).count():
+            return cold, gone
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -244,13 +273,18 @@ def covered(docs: DataFrame) -> DataFrame:
     held = d.join(runs, ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(_segments, SEGMENT)
     segments = materialise(held, "segments")
 
-    cold = segments.where("not hot").select("h", "doc_id", "th", "lo", "n", "words")
-    gone = cold.repartition("h").sortWithinPartitions("h", "doc_id", "lo").mapInArrow(_shard, "doc_id long, th long, lo int, hi int")
-    hot = segments.where("hot").distinct()
-    if segments.where("hot").limit(1).count():
-        gone = gone.union(_hot(materialise(hot, "hot")))
-    gone = gone.union(copies.select("doc_id", "th", F.lit(0).alias("lo"), F.lit(ALL).alias("hi")))
-    return materialise(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "gone")
+    cold, gone = segments.where("not hot"), [copies.select("doc_id", "th", F.lit(0).alias("lo"), F.lit(ALL).alias("hi"))]
+    hot = segments.where("hot")
+    if hot.limit(1).count():
+        more, ranges = _hot(hot)
+        cold, gone = cold.union(more), gone + ranges
+    cold = cold.select("h", "doc_id", "th", "lo", "words").repartition("h").sortWithinPartitions("h", "doc_id", "lo")
+    found = cold.mapInArrow(_shard, GONE)
+    for ranges in gone:
+        found = found.union(ranges)
+    out = materialise(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")), "gone")
+    discard(prints, copies, repeated, runs, segments)
+    return out
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept string"
@@ -281,17 +315,18 @@ def _cut(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def strip(docs: DataFrame) -> DataFrame:
-    """All of docs' columns and ``cut``: n_words, n_removed, kept_sha256 (kept words joined by one space) and kept, the text without repeated windows.
+def strip(docs: DataFrame, cut: str = "cut") -> DataFrame:
+    """All of docs' columns and a column named ``cut``: n_words, n_removed, kept_sha256 (kept words joined by one space) and kept, the text without repeated windows.
 
     Words are runs outside white space, unchanged; runs of kept words on both sides of a cut are joined by a line feed, and a text without a cut stays as
     it is (null: as empty). Texts under 20 words have no window. Rows that repeat a doc_id and text are treated alike, as one document; rows without a
-    doc_id are left out.
+    doc_id are left out. Other columns pass as they are, whatever their names.
     """
-    gone = covered(docs).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+    doc, th, at = spare(docs, "_doc"), spare(docs, "_th"), spare(docs, "_gone")
+    gone = covered(docs).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("gone").alias(at))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.where(F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_th")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.pandas_udf(_cut, RESULT)(text, F.col("_gone")).alias("cut"))
+    joined = docs.where(F.col("doc_id").isNotNull()).join(gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.pandas_udf(_cut, RESULT)(text, F.col(at)).alias(cut))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +335,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that repeat; those of which no word is left go. n_chars follows the text."""
-    out = strip(docs).where((F.col("cut.n_removed") == 0) | (F.col("cut.n_removed") < F.col("cut.n_words")))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(F.col("cut.n_removed") > 0, F.col("cut.kept")).otherwise(F.col("text"))}
+    """Documents without passages that repeat; those of which no word is left go. n_chars follows the text.
+
+    Texts without words stay, null texts stay null; rows without a doc_id go, repeated rows are treated alike, other columns pass unchanged.
+    """
+    cut = spare(docs, "cut")
+    out = strip(docs, cut).where((F.col(f"{cut}.n_removed") == 0) | (F.col(f"{cut}.n_removed") < F.col(f"{cut}.n_words")))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(F.col(f"{cut}.n_removed") > 0, F.col(f"{cut}.kept")).otherwise(F.col("text"))}
     out = out.select(*[v.alias(c) for c, v in columns.items()])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
