@@ -169,7 +169,7 @@ def passages(words) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def _shard(batches):
-    """Rows in the order of (h, doc_id, lo): compile the phrases of some anchors, then stream their segments."""
+    """Rows in the order of (h, doc_id, lo, th): compile the phrases of some anchors, then stream their segments."""
 
     def search(rows):
         column = pa.concat_arrays([r.column("words") for r in rows])
@@ -180,7 +180,7 @@ def _shard(batches):
         automaton, first, length, out = Automaton(phrases), {}, length.tolist(), []
         for doc_id, th, lo, words in zip(ids[where].tolist(), ths[where].tolist(), los[where].tolist(), column.take(pa.array(where)).to_pylist()):
             a, b = -2, -2
-            for start, end in sorted((lo + at, lo + at + length[k] - 1) for k, at in automaton.places(words) if first.setdefault(k, (doc_id, lo + at)) != (doc_id, lo + at)):
+            for start, end in sorted((lo + at, lo + at + length[k] - 1) for k, at in automaton.places(words) if first.setdefault(k, (doc_id, lo + at, th)) != (doc_id, lo + at, th)):
                 if start <= b + 1:
                     b = max(b, end)
                     continue
@@ -236,11 +236,12 @@ def _hot(hot: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     cold, gone = None, []
     for grams in (*FINER, 0):
         same = hot.withColumn("mark", F.xxhash64("words"))
-        first = same.groupBy("h", "mark").agg(F.min(F.struct("doc_id", "lo", "th", "n", "words")).alias("first"), F.count("*").alias("c"))
-        first = materialise(first.select("h", "mark", "first", "c"), "first")
-        heads = first.where("c > 1").select("h", "mark", F.col("first.doc_id").alias("d"), F.col("first.lo").alias("l"))
-        later = same.join(heads, ["h", "mark"]).where("doc_id > d or lo > l").select("doc_id", "th", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"))
-        gone.append(materialise(later, "later"))
+        first = same.groupBy("h", "mark").agg(F.min(F.struct("doc_id", "lo", "th", "n", "words")).alias("first"))
+        first = materialise(first.select("h", "first"), "first")
+        # all segments but the first of each kind, by aggregation: a frequent kind has many rows to a key
+        each = hot.select("doc_id", "th", "lo", "n", F.lit(False).alias("is_first")).union(first.select("first.doc_id", "first.th", "first.lo", "first.n", F.lit(True)))
+        later = each.groupBy("doc_id", "th", "lo", "n").agg(F.max("is_first").alias("is_first")).where("not is_first")
+        gone.append(materialise(later.select("doc_id", "th", "lo", (F.col("lo") + F.col("n") - 1).cast("int").alias("hi")), "later"))
         if not grams:
             return cold, gone
         cut = first.select("h", F.lit(True).alias("hot"), "first.doc_id", "first.th", "first.lo", "first.n", "first.words").mapInArrow(_finer(grams), SEGMENT)
@@ -278,7 +279,7 @@ def covered(docs: DataFrame) -> DataFrame:
     if hot.limit(1).count():
         more, ranges = _hot(hot)
         cold, gone = cold.union(more), gone + ranges
-    cold = cold.select("h", "doc_id", "th", "lo", "words").repartition("h").sortWithinPartitions("h", "doc_id", "lo")
+    cold = cold.select("h", "doc_id", "th", "lo", "words").repartition("h").sortWithinPartitions("h", "doc_id", "lo", "th")
     found = cold.mapInArrow(_shard, GONE)
     for ranges in gone:
         found = found.union(ranges)
@@ -319,8 +320,7 @@ def strip(docs: DataFrame, cut: str = "cut") -> DataFrame:
     """All of docs' columns and a column named ``cut``: n_words, n_removed, kept_sha256 (kept words joined by one space) and kept, the text without repeated windows.
 
     Words are runs outside white space, unchanged; runs of kept words on both sides of a cut are joined by a line feed, and a text without a cut stays as
-    it is (null: as empty). Texts under 20 words have no window. Rows that repeat a doc_id and text are treated alike, as one document; rows without a
-    doc_id are left out. Other columns pass as they are, whatever their names.
+    it is (null: as empty). Texts under 20 words have no window. Rows that repeat a doc_id and text are treated alike, as one document; those with another text are ordered by its hash; rows without a doc_id are left out. Other columns pass as they are, whatever their names.
     """
     doc, th, at = spare(docs, "_doc"), spare(docs, "_th"), spare(docs, "_gone")
     gone = covered(docs).select(F.col("doc_id").alias(doc), F.col("th").alias(th), F.col("gone").alias(at))
