@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, spare, table
 
 SITES, MIN_WORDS, LG_K = 5, 1, 10
 
@@ -44,22 +44,27 @@ def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K) -> DataF
     return found.where("not near").unionByName(common).select("doc_id", "th", "line_no", "h1", "h2", "first_doc")
 
 
-def strip(docs: DataFrame, site: str = "source", sites: int = SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
-    """All of docs' columns, ``text`` without boilerplate lines, and ``all_lines`` and ``removed_lines`` (long).
+def strip(docs: DataFrame, site: str = "source", sites: int = SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, counts: tuple[str, str] = ("all_lines", "removed_lines")) -> DataFrame:
+    """All of docs' columns, ``text`` without boilerplate lines, and two columns (long) named ``counts``: all lines and removed ones.
 
     Lines are split at \\n and compared with white space runs as one space; lines without a word, or of fewer than ``min_words``, always stay. Null texts stay null,
-    empty ones empty. Repeated rows (same doc_id and text) are treated alike. Rows without a doc_id pass unchanged.
+    empty ones empty. Repeated rows (same doc_id and text) are treated alike. Rows without a doc_id pass unchanged. Other columns pass as they are, whatever
+    their names; ``counts`` must be new ones.
     """
+    if {c.lower() for c in counts} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"{counts}: columns of the documents already")
     hits = boilerplate(_lines(docs, site, min_words), sites, lg_k)
     # a document's own lines: only the first place in the first document stays
     per_line = hits.groupBy("doc_id", "th", "h1", "h2").agg(F.min("line_no").alias("least"), F.min("first_doc").alias("first_doc"), F.collect_set("line_no").alias("at"))
     gone = F.when(F.col("doc_id") == F.col("first_doc"), F.array_except("at", F.array("least"))).otherwise(F.col("at"))
-    gone = per_line.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), gone.alias("at")).groupBy("_doc", "_th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_gone"))
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    hit = F.size(F.coalesce("_gone", F.array().cast("array<int>"))) > 0
+    doc, th, at = spare(docs, "_doc"), spare(docs, "_th"), spare(docs, "_gone")
+    gone = per_line.select(F.col("doc_id").alias(doc), F.col("th").alias(th), gone.alias("at")).groupBy(doc, th).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias(at))
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(th)), "left")
+    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(at, i))
+    hit = F.size(F.coalesce(at, F.array().cast("array<int>"))) > 0
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text"))}
-    return joined.select(*[v.alias(c) for c, v in out.items()], F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).cast("long").alias("all_lines"), F.when(hit, F.size("_gone")).otherwise(0).cast("long").alias("removed_lines"))
+    every = F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
+    return joined.select(*[v.alias(c) for c, v in out.items()], every.cast("long").alias(counts[0]), F.when(hit, F.size(at)).otherwise(0).cast("long").alias(counts[1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +89,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate; n_chars follows the text."""
-    out = strip(docs).drop("all_lines", "removed_lines")
+    """Documents without cross-site boilerplate; n_chars follows the text.
+
+    Nulls, empty texts, repeated rows and other columns are treated as in ``strip``; an empty table gives an empty one.
+    """
+    counts = spare(docs, "all_lines"), spare(docs, "removed_lines")
+    out = strip(docs, counts=counts).drop(*counts)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -3,9 +3,10 @@
 Each task streams its documents. Whole windows are cut off the front of a long
 document; what is left goes to the fill level that minimises the sum of squared
 counts of partially filled windows, kept in an array with one count a level.
-Windows still open at the end of a task (or when ``OPEN_TOKENS`` are held) are
-joined and cut anew: full windows first, then powers of two, which need no
-padding. A task holds its open windows only, and no document moves.
+Windows still open at the end of a task (or when ``OPEN_TOKENS`` are held) go on
+in a second pass of far fewer tasks, where their pieces are placed by the same
+rule. Only what is open at the end of that is joined and cut anew: full windows
+first, then powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import small_batches, table, texts
+from .common import materialise, small_batches, table, texts
 from .words import Memo, Words, words_of
 
-WINDOW, END_ID, OPEN_TOKENS, MEMO_WORDS = 2048, 1, 4 << 20, 1 << 20
+WINDOW, END_ID, OPEN_TOKENS, SECOND_TOKENS, MEMO_WORDS = 2048, 1, 4 << 20, 16 << 20, 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+OPEN = f"{SCHEMA}, ids binary"
 
 # words that the tokenizer's normaliser only lower-cases, and how its pre-tokenizer cuts them
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -88,12 +91,12 @@ class Levels:
         cost[1:][n[1 : top + 1] == 0] = np.iinfo(np.int64).max
         return top - int(np.argmin(cost[::-1]))
 
-    def place(self, piece, size: int):
-        """Put a piece in a window; a filled window is returned."""
+    def place(self, pieces: list, size: int):
+        """Put pieces in a window; a filled window is returned."""
         level = self.choose(size)
         window = self.open[level].pop() if level else []
         self.count[level] -= level > 0
-        window.append(piece)
+        window += pieces
         if level + size == self.window:
             self.held -= level
             return window
@@ -103,46 +106,38 @@ class Levels:
         return None
 
     def close(self) -> list:
-        """The pieces of all open windows, fullest first."""
-        out = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
+        """All open windows, fullest first."""
+        out = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
         self.open, self.held = {}, 0
         self.count[:] = 0
         return out
 
 
+class Rows:
+    """Pieces of windows, gathered to batches; open windows carry their ids on."""
+
+    def __init__(self, base: int):
+        self.base, self.sequence, self.rows = base, 0, []
+
+    def emit(self, pieces, still_open: bool = False) -> None:
+        offset = 0
+        for doc_id, start, ids, tokens in pieces:
+            raw = ids.astype("<u4").tobytes()
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(raw), tokens, self.base + self.sequence, offset, raw if still_open else None))
+            offset += len(ids)
+        self.sequence += 1
+
+    def flush(self):
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        columns = zip(*self.rows) if self.rows else [[]] * 8
+        out = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [f.split()[0] for f in OPEN.split(", ")])
+        self.rows = []
+        return out
+
+
 def _pack(path: str, window: int, end_id: int):
     def run(batches):
-        base = TaskContext.get().partitionId() << 36
-        encoder, levels, rows, sequence = WordEncoder(path), Levels(window), [], 0
-
-        def emit(pieces):
-            nonlocal sequence
-            offset = 0
-            for doc_id, start, ids, tokens in pieces:
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, base + sequence, offset))
-                offset += len(ids)
-            sequence += 1
-
-        def reflow():
-            pieces, free, current = levels.close(), 0, []
-            left = sum(len(p[2]) for p in pieces)
-            for doc_id, start, ids, tokens in pieces:
-                while len(ids):
-                    if not free:
-                        free = window if left >= window else 1 << (left.bit_length() - 1)
-                    part = ids[:free]
-                    current.append((doc_id, start, part, tokens))
-                    start, ids, free, left = start + len(part), ids[len(part) :], free - len(part), left - len(part)
-                    if not free:
-                        emit(current)
-                        current = []
-
-        def flush():
-            columns = zip(*rows) if rows else [[]] * 7
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            rows.clear()
-            return out
-
+        encoder, levels, rows = WordEncoder(path), Levels(window), Rows(TaskContext.get().partitionId() << 36)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             flat, offsets = encoder.encode(words_of(batch.column(1)), end_id)
@@ -150,14 +145,43 @@ def _pack(path: str, window: int, end_id: int):
                 ids = flat[offsets[i] : offsets[i + 1]]
                 tokens, whole = len(ids), len(ids) - len(ids) % window
                 for start in range(0, whole, window):
-                    emit([(doc_id, start, ids[start : start + window], tokens)])
-                if tokens > whole and (full := levels.place((doc_id, whole, ids[whole:].copy(), tokens), tokens - whole)):
-                    emit(full)
+                    rows.emit([(doc_id, start, ids[start : start + window], tokens)])
+                if tokens > whole and (full := levels.place([(doc_id, whole, ids[whole:].copy(), tokens)], tokens - whole)):
+                    rows.emit(full)
             if levels.held > OPEN_TOKENS:
-                reflow()
-            yield flush()
-        reflow()
-        yield flush()
+                for pieces in levels.close():
+                    rows.emit(pieces, True)
+            yield rows.flush()
+        for pieces in levels.close():
+            rows.emit(pieces, True)
+        yield rows.flush()
+
+    return run
+
+
+def _second(window: int):
+    """The pieces of open windows, placed anew among more of them."""
+
+    def run(batches):
+        levels, rows = Levels(window), Rows((1 << 61) + (TaskContext.get().partitionId() << 36))
+        for batch in batches:
+            for doc_id, start, tokens, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))):
+                if full := levels.place([(doc_id, start, np.frombuffer(ids, "<u4"), tokens)], len(ids) // 4):
+                    rows.emit(full)
+            yield rows.flush()
+        left = [p for w in levels.close() for p in w]
+        total, free, current = sum(len(p[2]) for p in left), 0, []
+        for doc_id, start, ids, tokens in left:  # cut anew: full windows, then powers of two
+            while len(ids):
+                if not free:
+                    free = window if total >= window else 1 << (total.bit_length() - 1)
+                part = ids[:free]
+                current.append((doc_id, start, part, tokens))
+                start, ids, free, total = start + len(part), ids[len(part) :], free - len(part), total - len(part)
+                if not free:
+                    rows.emit(current)
+                    current = []
+        yield rows.flush()
 
     return run
 
@@ -165,11 +189,16 @@ def _pack(path: str, window: int, end_id: int):
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are one end id. Rows that repeat a doc_id are packed each for itself; rows without a doc_id are left out. A document is cut
-    where it is longer than a window, and where the last windows of a task are cut anew. Sequence ids are unique, not dense.
+    Null and empty texts are one end id. Rows that repeat a doc_id are packed each for itself; rows without a doc_id are left out; an empty table gives no
+    piece. A document is cut where it is longer than a window, and where the last windows of the second pass are cut anew. A task that holds more than
+    ``OPEN_TOKENS`` hands its open windows to the second pass early, whose tasks get about ``SECOND_TOKENS`` each. Sequence ids are unique, not dense.
     """
     small_batches(docs.sparkSession)
-    return texts(docs).mapInArrow(_pack(path or public_tokenizers.path("word_bpe_49k.json"), window, end_id), SCHEMA)
+    first = materialise(texts(docs).mapInArrow(_pack(path or public_tokenizers.path("word_bpe_49k.json"), window, end_id), OPEN), "packed")
+    still = first.where("ids is not null")
+    tasks = -(-(still.agg(F.sum("length").alias("n")).first()["n"] or 1) // SECOND_TOKENS)
+    second = still.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(_second(window), OPEN)
+    return first.where("ids is null").union(second).drop("ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,4 +206,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of the documents, as ``pack`` gives them."""
     return pack(docs)

@@ -34,7 +34,7 @@ PACK_BITS = 31  # any index of an array
 
 
 def measures(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, stratum and the counts that the rules use. Empty or null text: all counts 0."""
+    """One row per document: doc_id, stratum, a mark of the text and the counts that the rules use. Empty or null text: all counts 0."""
     stratum = F.lit("all") if stratum is None else stratum
     d = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")
@@ -62,7 +62,7 @@ def measures(docs: DataFrame, stratum: Column | None = None) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(sure, lambda x: F.array(*[x["at"] + k for k in range(3)]))))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
     return d.select(
-        "doc_id", "stratum", "n_words",
+        "doc_id", "stratum", F.xxhash64("t").alias("mark"), "n_words",
         F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -105,11 +105,15 @@ def cutoffs(m: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float =
     """At most strata x rules rows (stratum, rule, cutoff, good, rejected_good, rejected_bad, bound): reject at buckets >= cutoff.
 
     Among certified cutoffs the one with most rejected bad less ``price`` times rejected good documents is taken, the most lenient on ties; none is
-    taken where no certified cutoff gains. A document counts once for each label row; null labels do not count.
+    taken where no certified cutoff gains. Each distinct text of a stratum counts once, with the label of its smallest doc_id (the smallest label, where
+    that has several); null labels do not count.
     """
     limit, level = alpha / len(RULES), delta / (strata * len(RULES))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    seen = m.join(known, "doc_id").groupBy("stratum", "quality", *[c for c in m.columns if c in _needed()]).agg(F.count("*").alias("weight"))
+    counts = [c for c in m.columns if c in _needed()]
+    # copies of a text are one trial of the test, not many
+    seen = m.join(known, "doc_id").groupBy("stratum", "mark").agg(F.min(F.struct("doc_id", "quality", *counts)).alias("x"))
+    seen = seen.select("stratum", "x.*").groupBy("stratum", "quality", *counts).agg(F.count("*").alias("weight"))
     good, bad = F.when(F.col("quality") == 1, F.col("weight")).otherwise(0), F.when(F.col("quality") == 0, F.col("weight")).otherwise(0)
     grid = _buckets(seen, ["stratum", "quality", "weight"]).groupBy("stratum", "rule", "bucket").agg(F.sum(good).alias("g"), F.sum(bad).alias("b"))
     each = W.partitionBy("stratum", "rule")
@@ -152,6 +156,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; columns as they were."""
-    verdict = judge(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    """Documents that the rules keep; columns as they were.
+
+    Null and empty texts have no words and go, as do rows without a doc_id; rows that repeat a doc_id stay if one of them passes. An empty table gives an
+    empty one.
+    """
+    verdict = judge(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("passed")).distinct()
+    return docs.join(verdict, docs["doc_id"].cast("long") == verdict["passed"], "left_semi")
