@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, small_batches, table, texts
 from .words import LOWER, signed, window_hashes, words_of
 
-SIZE, NEED, BLOCK, CELLS, OPEN = 3, 90, 400, 1 << 23, 1 << 20
+SIZE, NEED, BLOCK, CELLS, OPEN, GIVEN = 3, 90, 400, 1 << 23, 1 << 20, 1 << 18
 
 
 def sets_of(column, size: int = SIZE) -> list[np.ndarray]:
@@ -63,13 +63,19 @@ def _spare(n, need: int):
 
 
 def _prints(size: int, need: int):
-    """Each text's set: its size, its mark, and its first n-grams by hash. If two sets link, the first 2 * _spare(n) + 1 of each have _spare(m) + 1 in common, m being the smaller size."""
+    """Each text's set: its size, its mark, and its first n-grams by hash (none where the task has lately given those of an equal set). If two sets link, the first 2 * _spare(n) + 1 of each have _spare(m) + 1 in common, m being the smaller size."""
 
     def run(batches):
+        given = set()  # so that a large group of copies gives each n-gram once a task
         for batch in batches:
             sets = sets_of(batch.column(1), size)
-            marks = np.frombuffer(b"".join(_mark(s) for s in sets), np.int64).reshape(-1, 2)
-            heads = [s[: 2 * _spare(len(s), need) + 1] if _linkable(len(s), need) else s[:0] for s in sets]
+            marks, heads = [_mark(s) for s in sets], []
+            for s, mark in zip(sets, marks):
+                heads.append(s[: 2 * _spare(len(s), need) + 1] if mark not in given and _linkable(len(s), need) else s[:0])
+                given.add(mark)
+            if len(given) > GIVEN:
+                given.clear()
+            marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in heads])]).astype(np.int32))
             first = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *heads]))))
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy()), first]
