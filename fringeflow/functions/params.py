@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 C = 299792458.0
 
 
 def is_smooth(n: int) -> bool:
-    """A multiple of 8 with no prime factor above 7."""
-    if n <= 0 or n % 8:
-        return False
-    for p in (2, 3, 5, 7):
-        while n % p == 0:
-            n //= p
-    return n == 1
+    """A multiple of 8 with no prime factor above 7: such numbers divide a power of 210."""
+    return n > 0 and n % 8 == 0 and pow(210, n.bit_length(), n) == 0
+
+
+def next_smooth(least: int) -> int:
+    """The smallest smooth number of at least ``least``, among the products of powers of 3, 5 and 7 brought up by twos."""
+    odd = [1]
+    for p in (3, 5, 7):
+        odd = [x * p**k for x in odd for k in range(int(math.log(8 * max(least, 1), p)) + 2)]
+    return min(x << max(3, (-(-max(least, 1) // x) - 1).bit_length()) for x in odd)
 
 
 def image_parameters(wavelength: float, diameter: float, longest: float, q_fov: float = 1.0, oversample: float = 5.0, pixel_size: float | None = None, pixels: int | None = None) -> dict:
@@ -25,11 +29,9 @@ def image_parameters(wavelength: float, diameter: float, longest: float, q_fov:
         pixel_size = wavelength / (2 / 3 * oversample * longest)
     if pixels is None:
         cell = diameter * math.pi / (7.6634 * q_fov)
-        pixels = int(0.98 * (wavelength / cell) / pixel_size)
-        while not is_smooth(pixels):
-            pixels += 1
+        pixels = next_smooth(int(0.98 * (wavelength / cell) / pixel_size))
     elif not is_smooth(pixels):
-        raise ValueError(f"{pixels} pixels: not a multiple of 8 with small factors; the next is {next(n for n in range(pixels, 4 * pixels + 64) if is_smooth(n))}")
+        raise ValueError(f"{pixels} pixels: not a multiple of 8 with small factors; the next is {next_smooth(pixels)}")
     size = pixel_size * pixels
     return {"pixel_size": pixel_size, "pixels": pixels, "image_size": size, "cell_size": wavelength / size}
 
@@ -42,11 +44,4 @@ def w_kernel_width(wl: float, fov: float, eps: float, antialias: float) -> float
 def w_slices(max_w: float, fov: float, eps: float, kernel_width: float, antialias: float) -> int:
     """The smallest number of slices whose half-thickness fits in the kernel."""
     fits = lambda s: w_kernel_width(max_w / 2 / (s - 0.5), fov, eps, antialias) <= kernel_width
-    high = 1
-    while not fits(high):
-        high *= 2
-    low = high // 2
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if fits(mid) else (mid, high)
-    return high
+    return 1 + bisect.bisect_left(range(1, 1 << 31), True, key=fits)

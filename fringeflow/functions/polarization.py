@@ -16,7 +16,8 @@ def mueller(outputs: list[str], inputs: list[str]) -> np.ndarray:
     """The least-norm matrix that makes ``outputs`` of ``inputs``; ValueError if none does."""
     a, b = (np.array([IN_STOKES[p] for p in x], complex) for x in (inputs, outputs))
     m = np.linalg.lstsq(a.T, b.T, rcond=None)[0].T
-    m = np.round(m * 4) / 4
+    even = np.round(m * 4) / 4
+    m = np.where(np.abs(m - even) < 1e-9, even, m)
     if not np.allclose(m @ a, b):
         raise ValueError(f"{outputs} can't be made of {inputs}")
     return m

@@ -1,15 +1,20 @@
-"""Array steps, one group a channel or image: Fourier transforms, CLEAN, beam fit, restoring.
+"""Array steps, one row an image: Fourier transforms, CLEAN, beam fit, restoring.
 
-A group is one image of one channel, whose size the image parameters fix.
+An image of one channel is an array in one row, whose size the image parameters
+fix, so batches of rows are worked on where they are and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STACK = 256
+
 
 def grid_to_image(grid: np.ndarray) -> np.ndarray:
     """Unnormalised inverse transform, zero frequency and centre pixel at N / 2."""
@@ -39,8 +44,31 @@ def clean(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, minor: int = 10
     return model, residual, minor
 
 
+def clean_many(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, minor: int = 1000, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Models and residuals of images (N, H, W) of one polarization, all a cycle at a time; each as ``clean`` gives it."""
+    count, h, w = dirty.shape
+    ph, pw = psf.shape
+    top, left = ph // 2, pw // 2
+    padded = np.zeros((count, h + ph, w + pw))  # an image's patch may hang over its edge
+    padded[:, top : top + h, left : left + w] = dirty
+    model, live = np.zeros(dirty.shape), np.arange(count)
+    dy, dx = np.arange(ph)[None, :, None], np.arange(pw)[None, None, :]
+    for _ in range(minor):
+        inner = padded[live, top : top + h, left : left + w].reshape(len(live), -1)
+        at = np.abs(inner).argmax(axis=1)
+        peak = inner[np.arange(len(live)), at]
+        go = (np.abs(peak) >= threshold) & (peak != 0)
+        live, at, peak = live[go], at[go], gain * peak[go]
+        if not len(live):
+            break
+        y, x = np.divmod(at, w)
+        model[live, y, x] += peak
+        padded[live[:, None, None], y[:, None, None] + dy, x[:, None, None] + dx] -= peak[:, None, None] * psf
+    return model, padded[:, top : top + h, left : left + w]
+
+
 def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple[float, float, float]:
-    """FWHM of the major and minor axis in pixels and the angle in [0, pi) of a Gaussian with unit peak at the centre, by damped least squares.
+    """FWHM of the major and minor axis in pixels and the angle in [0, pi), from axis 0 toward axis 1, of a Gaussian with unit peak at the centre, by damped least squares.
 
     All three are NaN where the pixels above the threshold don't determine a Gaussian: none, too few, or a fit that doesn't fall off in all directions.
     """
@@ -52,7 +80,7 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple
     if not use.any() or np.linalg.matrix_rank(np.stack([x * x, x * y, y * y], 1)) < 3:
         return (np.nan,) * 3
     p, damp = np.array([0.5, 0.0, 0.5]), 1e-3  # v = exp(-(a x^2 + 2 b x y + c y^2) / 2)
-    model = lambda p: np.exp(-0.5 * (p[0] * x * x + 2 * p[1] * x * y + p[2] * y * y))
+    model = lambda p: np.exp(np.minimum(-0.5 * (p[0] * x * x + 2 * p[1] * x * y + p[2] * y * y), 300.0))
     for _ in range(rounds):
         f = model(p)
         j = np.stack([-0.5 * x * x * f, -x * y * f, -0.5 * y * y * f], 1)
@@ -65,7 +93,7 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple
     if values[0] <= 1e-12:
         return (np.nan,) * 3
     fwhm = np.sqrt(8 * np.log(2) / values)
-    return float(fwhm[0]), float(fwhm[1]), float(np.arctan2(axes[1, 0], axes[0, 0]) % np.pi)
+    return float(fwhm[0]), float(fwhm[1]), float(np.arctan2(axes[0, 0], axes[1, 0]) % np.pi)
 
 
 def fit_image(image: np.ndarray) -> np.ndarray:
@@ -79,37 +107,51 @@ def convolve(model: np.ndarray, major: float, minor: float, angle: float) -> np.
     h, w = model.shape
     fy, fx = np.meshgrid(np.fft.fftfreq(h), np.fft.fftfreq(w), indexing="ij")
     s1, s2 = major / np.sqrt(8 * np.log(2)), minor / np.sqrt(8 * np.log(2))
-    a, b = fx * np.cos(angle) + fy * np.sin(angle), -fx * np.sin(angle) + fy * np.cos(angle)
+    a, b = fy * np.cos(angle) + fx * np.sin(angle), -fy * np.sin(angle) + fx * np.cos(angle)
     beam = 2 * np.pi * s1 * s2 * np.exp(-2 * np.pi**2 * ((a * s1) ** 2 + (b * s2) ** 2))
     return np.fft.ifft2(np.fft.fft2(model) * beam).real
 
 
-def per_image(images: DataFrame, step, key: str = "img") -> DataFrame:
-    """Rows (key, y, x, value) of ``step`` applied to each image of (key, y, x, v)."""
+def per_image(images: DataFrame, step) -> DataFrame:
+    """Rows (img, y, x, value) of ``step``, which takes and gives stacks of images, applied to square images of (img, pixels); NaN becomes null. Null and empty images give none."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        image = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1))
-        image[pdf["y"], pdf["x"]] = pdf["v"]
-        out = step(image)
-        y, x = np.mgrid[: out.shape[0], : out.shape[1]]
-        return pd.DataFrame({key: pdf[key].iloc[0], "y": y.ravel(), "x": x.ravel(), "value": np.round(out.ravel(), 6)})
+    def run(batches):
+        for batch in batches:
+            pixels = batch.column(1)
+            lengths = np.array([len(p) if p.is_valid else 0 for p in pixels], np.int64)
+            img = batch.column(0).to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths[lengths > 0]).tolist():
+                rows, side = np.flatnonzero(lengths == size), math.isqrt(size)
+                for k in range(0, len(rows), STACK):
+                    some = rows[k : k + STACK]
+                    stack = pixels.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), side, side)
+                    out = step(stack)
+                    n, y, x = np.indices(out.shape)
+                    columns = img[some][n.ravel()], y.ravel(), x.ravel(), np.round(out.ravel(), 6)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind, from_pandas=True) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.float64()])], ["img", "y", "x", "value"])
 
-    return images.groupBy(key).applyInPandas(run, f"{key} long, y long, x long, value double")
+    # few files would leave cores idle: rows are dealt out, not grouped
+    least = images.sparkSession.sparkContext.defaultParallelism
+    dealt = images if images.rdd.getNumPartitions() >= least else images.repartition(least)
+    return dealt.mapInArrow(run, "img long, y long, x long, value double")
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("img"), F.posexplode("embedding").alias("p", "v"))
-    return e.select("img", F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).alias("x"), F.col("v").cast("double").alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").cast("long").alias("img"), F.col("embedding").cast("array<double>").alias("pixels"))
 
 
 _y, _x = np.mgrid[-4:5, -4:5]
 PSF = np.exp(-(_y**2 + _x**2) / 2.0)[None]
 
+def each(step):
+    return lambda stack: np.stack([step(image) for image in stack])
+
+
 QUERIES = {
-    "clean_minor_loop": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF)[0][0]),
-    "clean_residual": lambda s, d: per_image(_pixels(s, d), lambda i: clean(i[None], PSF)[1][0]),
-    "convolve_beam": lambda s, d: per_image(_pixels(s, d), lambda i: convolve(i, 3.0, 2.0, 0.5)),
-    "fit_beam": lambda s, d: per_image(_pixels(s, d), fit_image),
-    "fft_image_to_grid": lambda s, d: per_image(_pixels(s, d), lambda i: np.abs(image_to_grid(i))),
+    "clean_minor_loop": lambda s, d: per_image(_pixels(s, d), lambda i: clean_many(i, PSF[0])[0]),
+    "clean_residual": lambda s, d: per_image(_pixels(s, d), lambda i: clean_many(i, PSF[0])[1]),
+    "convolve_beam": lambda s, d: per_image(_pixels(s, d), each(lambda i: convolve(i, 3.0, 2.0, 0.5))),
+    "fit_beam": lambda s, d: per_image(_pixels(s, d), each(fit_image)),
+    "fft_image_to_grid": lambda s, d: per_image(_pixels(s, d), each(lambda i: np.abs(image_to_grid(i)))),
 }

@@ -9,8 +9,10 @@ orders for frequency channels.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.kernels import w_kernel
 from ..sources.tables import register
 
 VIS = """vis AS (
@@ -35,6 +37,35 @@ PIX = "PIXELS"
 SPARK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(floor(p / 8e0) AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(round(CAST(e AS DOUBLE) * 1e4) AS BIGINT) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, e)"
 DUCK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(floor(p / 8e0) AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(round(CAST(embedding[p + 1] AS DOUBLE) * 1e4) AS BIGINT) AS v FROM embeddings, generate_series(0, 63) t(p))"
 TAPS = "taps AS (SELECT 0 AS j, 1 AS k UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 1)"
+# densities of robust weights in hundredths
+DENSITY = f"""{MEAN}, d AS (SELECT g.channel, g.pol, g.u, g.v, CAST(floor(1e2 / (g.w * (25e0 / m.mean_w) + 1e0) + 5e-1) AS BIGINT) AS d FROM grid g JOIN mean m ON m.channel = g.channel)"""
+
+
+def kernel_rows(planes: int = 4, oversample: int = 8, taps: int = 8, cell: float = 10.0, step: float = 50.0) -> str:
+    """A row (w plane, sub-cell, tap, re, im) for each tap of the w kernels, in hundredths; planes x oversample x taps rows, whatever the data."""
+    rows = []
+    for p in range(planes):
+        k = w_kernel(cell, (p - planes / 2 + 0.5) * step, 7, oversample, taps, 4)
+        k = np.round(100 * k / np.abs(k).max()) + 0.0
+        rows += [f"({p}, {s}, {j - taps // 2}, {k[s, j].real:.0f}, {k[s, j].imag:.0f})" for s in range(oversample) for j in range(taps)]
+    return ", ".join(rows)
+
+
+KERNEL = f"k(p, s, j, re, im) AS (VALUES {kernel_rows()})"
+#: Rows of a block: windows run over blocks of ids, and over one row a block.
+BLOCK = 4096
+
+
+def runs(value: str) -> str:
+    """CTEs that number the runs of equal ``value`` in the order of event_id: within blocks of ids first, then one row a block."""
+    return f"""b AS (SELECT event_id, {value} AS x, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events),
+      e AS (SELECT *, lag(x) OVER (PARTITION BY blk ORDER BY event_id) AS before, row_number() OVER (PARTITION BY blk ORDER BY event_id) AS k FROM b),
+      ends AS (SELECT blk, max_by(x, event_id) AS x FROM b GROUP BY blk), prev AS (SELECT blk, lag(x) OVER (ORDER BY blk) AS x FROM ends),
+      n AS (SELECT e.event_id, e.x, e.blk, CASE WHEN e.x = CASE WHEN e.k = 1 THEN p.x ELSE e.before END THEN 0 ELSE 1 END AS new FROM e JOIN prev p ON p.blk = e.blk),
+      t AS (SELECT blk, sum(new) AS c FROM n GROUP BY blk), o AS (SELECT blk, sum(c) OVER (ORDER BY blk) - c AS base FROM t),
+      r AS (SELECT n.event_id, n.x, CAST(o.base + sum(n.new) OVER (PARTITION BY n.blk ORDER BY n.event_id) AS BIGINT) AS run FROM n JOIN o ON o.blk = n.blk)"""
+
+
 BEAM = "beam AS (SELECT DISTINCT y, x, 1e0 / (1e0 + 5e-2 * ((y - 4) * (y - 4) + (x - 4) * (x - 4))) AS b FROM px)"
 
 SQL = {
@@ -45,8 +76,7 @@ SQL = {
     "mueller_static": f"""WITH {VIS}, m AS (SELECT 0 AS o, 0 AS i, 1 AS k UNION ALL SELECT 0, 3, 1 UNION ALL SELECT 1, 0, 1 UNION ALL SELECT 1, 3, -1 UNION ALL SELECT 2, 1, 1 UNION ALL SELECT 2, 2, 1)
       SELECT channel, m.o AS out_pol, CAST(sum(m.k * re) AS BIGINT) AS re2, CAST(sum(m.k * im) AS BIGINT) AS im2, round(1e0 / sum(abs(m.k) * 1e0 / wt), 9) AS weight FROM vis JOIN m ON m.i = vis.pol GROUP BY channel, m.o""",
     "compress_group": f"WITH {QUANT} SELECT channel, pol, u, v, sub_u, sub_v, w_plane, w_slice, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im, CAST(sum(wt) AS BIGINT) AS weight FROM c GROUP BY channel, pol, u, v, sub_u, sub_v, w_plane, w_slice",
-    "compress_runlength": """WITH e AS (SELECT event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events),
-      r AS (SELECT event_id, event_type, sum(new) OVER (ORDER BY event_id) AS run FROM e) SELECT CAST(run AS BIGINT) AS run, min(event_type) AS event_type, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY run""",
+    "compress_runlength": f"WITH {runs('event_type')} SELECT run, min(x) AS event_type, min(event_id) AS first_id, count(*) AS n FROM r GROUP BY run",
     "compression_ratio": f"WITH {QUANT}, k AS (SELECT channel, count(*) AS n FROM c GROUP BY channel, pol, u, v, sub_u, sub_v, w_plane, w_slice) SELECT channel, CAST(sum(n) AS BIGINT) AS n_in, count(*) AS n_out FROM k GROUP BY channel",
     "slice_offsets": f"WITH {QUANT}, k AS (SELECT channel, w_slice, count(*) AS n FROM c GROUP BY channel, w_slice) SELECT channel, w_slice, n, CAST(sum(n) OVER (PARTITION BY channel ORDER BY w_slice) - n AS BIGINT) AS first_row FROM k",
     "grid_weights": f"WITH {CELLS} SELECT channel, pol, u + 100 AS u, v + 100 AS v, w FROM grid",
@@ -54,7 +84,27 @@ SQL = {
     "density_natural": f"WITH {CELLS} SELECT channel, pol, u, v, 1 AS density FROM grid",
     "density_uniform": f"WITH {CELLS} SELECT channel, round(sqrt(sum(1e0 / w)) / count(*), 9) AS rms, round(sqrt(sum(1e0 / w)) / count(*) * sqrt(sum(w)), 9) AS normalized_rms FROM grid WHERE pol = 0 AND w > 0 GROUP BY channel",
     "density_robust": f"WITH {MEAN} SELECT g.channel, pol, u, v, round(1e0 / (w * (25e0 / mean_w) + 1e0), 9) AS density FROM grid g JOIN mean m ON m.channel = g.channel",
-    "weighted_grid": f"WITH {CELLS} SELECT c.channel, c.pol, c.u, c.v, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im, max(g.w) AS w FROM c JOIN grid g ON g.channel = c.channel AND g.pol = c.pol AND g.u = c.u AND g.v = c.v GROUP BY c.channel, c.pol, c.u, c.v",
+    "weighted_grid": f"""WITH {DENSITY} SELECT c.channel, c.pol, c.u, c.v, CAST(sum(re * wt * d) AS BIGINT) AS re, CAST(sum(im * wt * d) AS BIGINT) AS im, max(d) AS density
+      FROM c JOIN d ON d.channel = c.channel AND d.pol = c.pol AND d.u = c.u AND d.v = c.v GROUP BY c.channel, c.pol, c.u, c.v""",
+    # separable kernel: taps along u are summed before those along v; conjugate kernel, density and weight multiplied in
+    "grid_kernel": f"""WITH {DENSITY}, {KERNEL},
+      z AS (SELECT c.channel, w_slice, w_plane, c.pol, c.u, c.v, sub_u, sub_v, CAST(sum(re * wt * d) AS BIGINT) AS re, CAST(sum(im * wt * d) AS BIGINT) AS im
+            FROM c JOIN d ON d.channel = c.channel AND d.pol = c.pol AND d.u = c.u AND d.v = c.v GROUP BY c.channel, w_slice, w_plane, c.pol, c.u, c.v, sub_u, sub_v),
+      a AS (SELECT channel, w_slice, w_plane, pol, u + j AS u, v, sub_v, CAST(sum(z.re * k.re + z.im * k.im) AS BIGINT) AS re, CAST(sum(z.im * k.re - z.re * k.im) AS BIGINT) AS im
+            FROM z JOIN k ON k.p = z.w_plane AND k.s = z.sub_u GROUP BY channel, w_slice, w_plane, pol, u + j, v, sub_v)
+      SELECT channel, w_slice, pol, u, v + j AS v, CAST(sum(a.re * k.re + a.im * k.im) AS BIGINT) AS re, CAST(sum(a.im * k.re - a.re * k.im) AS BIGINT) AS im
+      FROM a JOIN k ON k.p = a.w_plane AND k.s = a.sub_v GROUP BY channel, w_slice, pol, u, v + j""",
+    # each record's prediction from the model grid by the same kernel; the residual is the record less weight x prediction, in units of 1e-4
+    "degrid_kernel": f"""WITH {QUANT}, {KERNEL}, model AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM c GROUP BY channel, pol, u, v),
+      z AS (SELECT channel, w_slice, w_plane, pol, u, v, sub_u, sub_v, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im, CAST(sum(wt) AS BIGINT) AS wt
+            FROM c GROUP BY channel, w_slice, w_plane, pol, u, v, sub_u, sub_v),
+      pts AS (SELECT DISTINCT channel, w_plane, pol, u, v, sub_u, sub_v FROM z),
+      f AS (SELECT pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, sub_u, sub_v, CAST(sum(m.re * (a.re * b.re - a.im * b.im) - m.im * (a.re * b.im + a.im * b.re)) AS BIGINT) AS re,
+              CAST(sum(m.re * (a.re * b.im + a.im * b.re) + m.im * (a.re * b.re - a.im * b.im)) AS BIGINT) AS im
+            FROM pts JOIN k a ON a.p = pts.w_plane AND a.s = pts.sub_u JOIN k b ON b.p = pts.w_plane AND b.s = pts.sub_v
+            JOIN model m ON m.channel = pts.channel AND m.pol = pts.pol AND m.u = pts.u + a.j AND m.v = pts.v + b.j GROUP BY pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, sub_u, sub_v)
+      SELECT z.channel, z.w_slice, z.w_plane, z.pol, z.u, z.v, z.sub_u, z.sub_v, z.wt AS weight, z.re * 10000 - z.wt * f.re AS re, z.im * 10000 - z.wt * f.im AS im
+      FROM z JOIN f ON f.channel = z.channel AND f.w_plane = z.w_plane AND f.pol = z.pol AND f.u = z.u AND f.v = z.v AND f.sub_u = z.sub_u AND f.sub_v = z.sub_v""",
     "conv_grid_k3": f"""WITH {QUANT}, {TAPS}, s AS (SELECT channel, w_slice, pol, u, v, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im FROM c GROUP BY channel, w_slice, pol, u, v)
       SELECT channel, w_slice, pol, u + a.j AS u, v + b.j AS v, CAST(sum(re * a.k * b.k) AS BIGINT) AS re, CAST(sum(im * a.k * b.k) AS BIGINT) AS im FROM s CROSS JOIN taps a CROSS JOIN taps b GROUP BY channel, w_slice, pol, u + a.j, v + b.j""",
     "degrid_k3": f"""WITH {CELLS}, {TAPS}, p AS (SELECT DISTINCT channel, pol, u, v FROM c), f AS (SELECT channel, pol, p.u, p.v, p.u + a.j AS gu, p.v + b.j AS gv, a.k * b.k AS k FROM p CROSS JOIN taps a CROSS JOIN taps b)
@@ -79,7 +129,7 @@ SQL = {
     "tile_peak": f"WITH {PIX}, r AS (SELECT img, CAST(floor(y / 4e0) AS BIGINT) AS tile_y, CAST(floor(x / 4e0) AS BIGINT) AS tile_x, y, x, v, row_number() OVER (PARTITION BY img, CAST(floor(y / 4e0) AS BIGINT), CAST(floor(x / 4e0) AS BIGINT) ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT img, tile_y, tile_x, y, x, v FROM r WHERE k = 1",
     "find_peak": f"WITH {PIX}, r AS (SELECT img, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT img, y, x, v FROM r WHERE k = 1",
     "metric_sumsq": f"WITH {PIX} SELECT pol, y, x, CAST(sum(v * v) AS BIGINT) AS metric FROM px GROUP BY pol, y, x",
-    "find_peak_noise_gated": f"WITH {PIX}, n AS (SELECT img, median(abs(v)) * 14826022185056031e-16 AS noise FROM px GROUP BY img) SELECT px.img, max(CASE WHEN abs(v) > 15e-1 * noise THEN abs(v) END) AS peak FROM px JOIN n ON n.img = px.img GROUP BY px.img",
+    "find_peak_noise_gated": f"WITH {PIX}, n AS (SELECT img, median(abs(v)) * 14826022185056031e-16 AS noise FROM px GROUP BY img) SELECT px.img, max(CASE WHEN abs(v) > 75e-1 * noise THEN abs(v) END) AS peak FROM px JOIN n ON n.img = px.img GROUP BY px.img",
     "clean_subtract_once": f"""WITH {PIX}, r AS (SELECT img, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px), d AS (SELECT -1 AS d, 1 AS g UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 1),
       s AS (SELECT img, y + a.d AS y, x + b.d AS x, v * a.g * b.g AS take FROM r CROSS JOIN d a CROSS JOIN d b WHERE k = 1) SELECT px.img, px.y, px.x, 40 * px.v - coalesce(s.take, 0) AS residual40 FROM px LEFT JOIN s ON s.img = px.img AND s.y = px.y AND s.x = px.x""",
     "accumulate_components": f"WITH {PIX}, r AS (SELECT img, pol, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT pol, y, x, CAST(sum(v) AS BIGINT) AS flux FROM r WHERE k <= 3 GROUP BY pol, y, x",
@@ -98,8 +148,7 @@ SQL = {
     "fk_lookup_spw": "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'F'",
     "corrprod_outer_missing": "SELECT n.n_nationkey AS baseline, p.r_regionkey AS pol, count(s.s_suppkey) AS present, CASE WHEN count(s.s_suppkey) = 0 THEN 1 ELSE 0 END AS missing FROM nation n CROSS JOIN region p LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_suppkey % 5 = p.r_regionkey GROUP BY n.n_nationkey, p.r_regionkey",
     "rfi_mask_range_join": "WITH m AS (SELECT 1e5 AS lo, 12e4 AS hi UNION ALL SELECT 2e5, 21e4), c AS (SELECT o_orderkey AS channel, o_totalprice AS freq FROM orders) SELECT channel, freq FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE c.freq >= m.lo AND c.freq <= m.hi)",
-    "target_intervals": """WITH e AS (SELECT event_id, user_id, CASE WHEN user_id = lag(user_id) OVER (ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT event_id, user_id, sum(new) OVER (ORDER BY event_id) AS run FROM e)
-      SELECT user_id, min(event_id) - 5e-1 AS start, max(event_id) + 5e-1 AS stop FROM r GROUP BY user_id, run""",
+    "target_intervals": f"WITH {runs('user_id')} SELECT x AS user_id, min(event_id) - 5e-1 AS start, max(event_id) + 5e-1 AS stop FROM r GROUP BY x, run",
     "time_on_target": "SELECT user_id, count(*) * 4 AS seconds FROM events WHERE event_type = 'click' GROUP BY user_id",
     "split_long_intervals": "WITH i AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT user_id, lo + (hi - lo) * k / 4e0 AS start, lo + (hi - lo) * (k + 1) / 4e0 AS stop FROM i CROSS JOIN k",
     "status_left_default": "SELECT o_orderkey, CASE WHEN e.event_id IS NOT NULL THEN e.event_type WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'masked' END AS status FROM orders LEFT JOIN events e ON e.event_id = o_orderkey",
@@ -115,9 +164,10 @@ SQL = {
     "flamegraph_exclusive": "WITH s AS (SELECT event_type AS stack, CAST(round(value * 100) AS BIGINT) AS t FROM events UNION ALL SELECT concat('user;', event_type), CAST(round(value * 40) AS BIGINT) FROM events UNION ALL SELECT event_type, -CAST(round(value * 40) AS BIGINT) FROM events) SELECT stack, CAST(sum(t) AS BIGINT) AS exclusive FROM s GROUP BY stack",
     "stats_pivot": "SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS click, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS view_, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchase FROM events GROUP BY user_id",
     "mean_position_time": "SELECT count(DISTINCT ts) AS n_times, round(avg(s.x), 6) AS x FROM events CROSS JOIN (SELECT avg(s_acctbal) AS x FROM supplier) s",
-    "distinct_inverse": "SELECT event_id, dense_rank() OVER (ORDER BY user_id) AS place FROM events",
+    "distinct_inverse": "WITH u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS place FROM (SELECT DISTINCT user_id FROM events) v) SELECT event_id, place FROM events JOIN u ON u.user_id = events.user_id",
     "equal_diameters": "SELECT CASE WHEN min(s_nationkey) = max(s_nationkey) THEN 1 ELSE 0 END AS equal, count(DISTINCT s_nationkey) AS n FROM supplier",
-    "equal_spacing": "WITH d AS (SELECT lead(event_id) OVER (ORDER BY event_id) - event_id AS step FROM events) SELECT min(step) AS least, max(step) AS most FROM d",
+    "equal_spacing": f"""WITH b AS (SELECT event_id, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events), ends AS (SELECT blk, min(event_id) AS lo, max(event_id) AS hi FROM b GROUP BY blk),
+      d AS (SELECT lead(event_id) OVER (PARTITION BY blk ORDER BY event_id) - event_id AS step FROM b UNION ALL SELECT lead(lo) OVER (ORDER BY blk) - hi FROM ends) SELECT min(step) AS least, max(step) AS most FROM d""",
     "sort_by_baseline": f"WITH {VIS} SELECT ant1 * 16 + ant2 AS baseline, l_orderkey, pol, re FROM vis WHERE ant1 <> ant2 ORDER BY baseline, l_orderkey, pol, re",
     "target_priority": "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 2 END, c_custkey) AS k FROM customer) SELECT c_custkey, c_mktsegment FROM r WHERE k = 1",
     "duration_format": "SELECT event_id, concat(CAST(CAST(floor(event_id / 36e2) AS BIGINT) AS VARCHAR(20)), ':', lpad(CAST(CAST(floor(event_id / 6e1) AS BIGINT) % 60 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST(event_id % 60 AS VARCHAR(20)), 2, '0')) AS duration FROM events",

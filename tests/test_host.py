@@ -4,8 +4,9 @@ import pytest
 from fringeflow.functions import kernels, params
 from fringeflow.functions.polarization import mueller, parse_stokes
 from fringeflow.operators import imaging
+from fringeflow.plans import relational
 from fringeflow.sources.fits import fits_bytes
-from fringeflow.sources.tables import kind_of
+from fringeflow.sources.tables import TABLES, kind_of
 
 
 def test_mueller():
@@ -13,6 +14,7 @@ def test_mueller():
     np.testing.assert_allclose(mueller(list("IQUV"), ["XX", "XY", "YX", "YY"]), want)
     with pytest.raises(ValueError):
         mueller(list("IQUV"), ["XX", "YY"])
+    np.testing.assert_allclose(mueller(["I"], ["I", "XX", "YY"]), [[1 / 3, 1 / 3, 1 / 3]])
 
 
 def test_parse_stokes():
@@ -24,6 +26,8 @@ def test_parse_stokes():
 
 def test_parameters():
     assert params.is_smooth(8 * 27 * 35) and not params.is_smooth(88) and not params.is_smooth(12)
+    smooth = [n for n in range(1, 5000) if params.is_smooth(n)]
+    assert smooth[:8] == [8, 16, 24, 32, 40, 48, 56, 64] and all(params.next_smooth(n) == min(x for x in smooth if x >= n) for n in range(0, 4800, 7))
     p = params.image_parameters(0.2, 13.5, 1000.0)
     assert params.is_smooth(p["pixels"]) and p["cell_size"] == pytest.approx(0.2 / p["image_size"])
     s = params.w_slices(5000.0, 0.02, 0.001, 20, 7)
@@ -52,6 +56,41 @@ def test_clean_point_source():
     assert model[0, 16, 10] == pytest.approx(3, abs=1e-4) and abs(residual).max() < 1e-5
 
 
+def test_clean_of_many_images():
+    dirty = np.random.default_rng(4).normal(size=(5, 16, 16))
+    dirty[3] = 0
+    models, residuals = imaging.clean_many(dirty, imaging.PSF[0], minor=60, threshold=0.2)
+    for d, m, r in zip(dirty, models, residuals):
+        want = imaging.clean(d[None], imaging.PSF, minor=60, threshold=0.2)
+        np.testing.assert_allclose(m, want[0][0])
+        np.testing.assert_allclose(r, want[1][0])
+
+
+def kernel_twin(cells, w_plane):
+    """Taps of one sample by a plain double loop."""
+    k = {tuple(map(int, r.split(", ")[:3])): complex(*map(int, r.split(", ")[3:])) for r in relational.kernel_rows()[1:-1].split("), (")}
+    return {(u + a, v + b): k[w_plane, su, a] * k[w_plane, sv, b] for u, v, su, sv in cells for a in range(-4, 4) for b in range(-4, 4)}
+
+
+def test_kernel_gridding(spark, tmp_path):
+    """One visibility spreads as its weight, density and the conjugate kernel say; degridding a model of one cell gives the kernel back."""
+    one = [(1, 3, 2, 0, 27.0, 25300.0, 0.06, 0.01, "N")]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(one, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for t in TABLES:
+        if t != "lineitem":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    c = relational.QUERIES["uvw_fold_quantize"](spark, str(tmp_path)).first()
+    taps = kernel_twin([(c.u, c.v, c.sub_u, c.sub_v)], c.w_plane)
+    density = int(100 / (c.wt * 25.0 / c.wt + 1) + 0.5)
+    got = {(r.u, r.v): complex(r.re, r.im) for r in relational.QUERIES["grid_kernel"](spark, str(tmp_path)).collect()}
+    value = complex(c.re, c.im) * c.wt * density
+    assert got == {at: value * k.conjugate() for at, k in taps.items()}
+    r = relational.QUERIES["degrid_kernel"](spark, str(tmp_path)).first()
+    left = complex(c.re, c.im) * c.wt * 10000 - c.wt * complex(c.re, c.im) * taps[c.u, c.v]
+    assert complex(r.re, r.im) == left and r.weight == c.wt
+
+
 def test_fit_and_restore():
     y, x = np.mgrid[-32:32, -32:32]
     major, minor, angle = imaging.fit_beam(np.exp(-(x**2 / 50 + y**2 / 8)))

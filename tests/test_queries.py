@@ -10,7 +10,7 @@ from fringeflow.sources.tables import TABLES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "dft_grid_to_image", "find_peak", "target_intervals"])
+@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "target_intervals"])
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
@@ -70,7 +70,7 @@ def test_beam_and_clean_take_the_whole_image(spark, tmp_path):
     images = [5 * np.exp(-(a**2 / 8 + b**2 / 2)), one * 0, one, sum(k * np.exp(-((x - k) ** 2 + (y + k) ** 2) / 2) for k in (-3, 1, 2))]
     sf = fixture(spark, tmp_path, embeddings=([(i, v.ravel().tolist(), 0) for i, v in enumerate(images)], "vec_id long, embedding array<float>, label int"))
     beam = {(r.img, r.x): r.value for r in imaging.QUERIES["fit_beam"](spark, sf).collect()}
-    np.testing.assert_allclose([beam[0, k] for k in range(3)], [2 * np.sqrt(8 * np.log(2)), np.sqrt(8 * np.log(2)), 0.6], rtol=1e-3)
+    np.testing.assert_allclose([beam[0, k] for k in range(3)], [2 * np.sqrt(8 * np.log(2)), np.sqrt(8 * np.log(2)), np.pi / 2 - 0.6], rtol=1e-3)
     assert all(beam[i, k] is None for i in (1, 2) for k in range(3))
     left = [abs(r.value) for r in imaging.QUERIES["clean_residual"](spark, sf).where("img = 3").collect()]
     model = {(r.y, r.x): r.value for r in imaging.QUERIES["clean_minor_loop"](spark, sf).where("img = 3").collect()}
