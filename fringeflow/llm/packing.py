@@ -48,16 +48,20 @@ class WordEncoder:
     def word(self, word: str) -> list[int]:
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out, parts = [], self.parts
-        for part in _CUT.findall(word.lower()):
-            ids = parts.get(part)
-            if ids is None:
-                if len(parts) > MEMO_WORDS:
-                    parts.clear()
-                ids = parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))]
-            out += ids
+        parts, cut = self.parts, _CUT.findall(word.lower())
+        if len(cut) == 1:
+            return parts.get(cut[0]) or self._part(cut[0])
+        out = []
+        for part in cut:
+            out += parts.get(part) or self._part(part)
         return out
 
+    def _part(self, part: str) -> list[int]:
+        if len(self.parts) > MEMO_WORDS:
+            self.parts.clear()
+        ids = self.parts[part] = [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))]
+        return ids
+
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each with ``end_id`` last, and the offset of each row."""
         memo = self.memo
