@@ -192,7 +192,7 @@ def score(docs: DataFrame, path: str | None = None, folds: int = 5, held: int =
     scores = _piece_scores(path, {r["piece"]: r["n"] for r in pieces}, trained)
     scored = materialise(vocabulary.select("word", "h", "n_train", "n_all").mapInArrow(_score_words(path, scores[0]), "h long, c long, n_all long, lp double"), "scored")
 
-    least = _common_from(scored)
+    least = common_from(scored)
     common = scored.where(F.col("n_all") >= least).select("h", "c", "lp").toPandas()  # at most COMMON rows
     h = common["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -224,10 +224,10 @@ def _piece_scores(path: str, counts: dict[int, int], ends: int) -> tuple[np.ndar
     return np.log(n / total), math.log((ends + SMOOTH) / total)
 
 
-def _common_from(scored: DataFrame, most: int = COMMON) -> int:
+def common_from(words: DataFrame, most: int = COMMON, count: str = "n_all") -> int:
     """The least count of words so frequent that no more than ``most`` words are as frequent."""
-    steps = F.floor(F.log2(F.col("n_all").cast("double")) * 16).cast("int")
-    sizes = sorted(scored.groupBy(steps.alias("step")).agg(F.count("*").alias("n"), F.min("n_all").alias("least")).collect(), reverse=True)  # 16 rows an octave
+    steps = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    sizes = sorted(words.groupBy(steps.alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("least")).collect(), reverse=True)  # 16 rows an octave
     total, least = 0, 1 << 62
     for r in sizes:
         total += r["n"]

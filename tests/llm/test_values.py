@@ -5,16 +5,17 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fringeflow.llm import line_dedup, lm_scoring, ngram_join, packing, pieces, quality_rules, substring_dedup, token_counts
+from fringeflow.llm import line_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, substring_dedup, token_counts
 from fringeflow.llm.queries import ORACLE_SQL, QUERIES
 from fringeflow.llm.words import Memo, run_hashes, words_of
 
@@ -177,3 +178,30 @@ def test_open_windows_meet_in_the_second_pass(spark):
     fill = got.groupby("sequence_id").length.sum()
     assert (fill & (fill - 1) == 0).all() and (fill < 2048).sum() <= 11
     assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all()
+
+
+@pytest.mark.parametrize("most", [0, 40, 1 << 18])
+def test_word_vectors_whether_sent_or_joined(spark, documents, most):
+    """Means and deviations of every document against a plain sum over neighbours, however few words go to all tasks."""
+    few = documents.head(60)
+    rows = [(int(i), t or "") for i, t in zip(few.doc_id, few.text)] + [(900_001, ""), (900_002, "SOLD out OUT sold-sold 77"), (900_002, "SOLD out OUT sold-sold 77")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality_model.pooled_vectors(docs, quality_model.word_vectors(docs), most).collect()
+    tokens = [(i, quality_model.tokens_of(pa.array([t]))[0]) for i, t in rows]
+    count, sums = Counter(), defaultdict(lambda: np.zeros(quality_model.DIM))
+    for _, h in tokens:
+        count.update(h.tolist())
+        where, sign = quality_model.index_vectors(h)
+        for a in range(len(h)):
+            for b in range(max(a - quality_model.REACH, 0), min(a + quality_model.REACH + 1, len(h))):
+                if a != b:
+                    sums[int(h[a])][where[b]] += sign[b]
+    total = sum(count.values())
+    word = {h: np.round(127 * v / max(np.linalg.norm(v), 1e-9)) * (1 + np.log1p(total / count[h])) / 1270 for h, v in sums.items()}
+    zero, want = np.zeros(quality_model.DIM), []
+    for i, h in tokens:
+        v = np.array([word.get(x, zero) for x in h.tolist()] or [zero])
+        want.append((i, np.hstack([v.mean(0), v.std(0)])))
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in want)
+    for (_, a), (_, b) in zip(sorted(((r.doc_id, r.vec) for r in got)), sorted(want, key=lambda x: x[0])):
+        assert np.allclose(a, b, atol=1e-3)
