@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,16 +75,27 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h[cut], np.add.reduceat(n[order], cut), np.add.reduceat(sums[order], cut, axis=0, dtype=np.int32)) if len(cut) else (h, n, sums)
 
 
-CONTEXTS = "h long, n long, " + ", ".join(f"v{j} int" for j in range(DIM))
+CONTEXTS = "h long, n long, sums binary"
+KINDS = (np.int8, np.int16, np.int32)
 
 
-def _contexts(batches):
-    """(h, n, v0, v1, ...): words of a task, their counts and the sums of their neighbours' index vectors; a word again where over ``HELD_WORDS`` words or ``HELD_TOKENS`` tokens came before."""
+def _packed(h: np.ndarray, n: np.ndarray, sums: np.ndarray):
+    """Batches of (h, n, sums), sums as integers of the fewest bytes that hold a word's."""
+    most = np.abs(sums).max(axis=1, initial=0)
+    size = np.searchsorted([np.iinfo(kind).max for kind in KINDS], most)
+    for i, kind in enumerate(KINDS):
+        at = np.flatnonzero(size == i)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(n[at]), _fixed(sums[at].astype(kind))], ["h", "n", "sums"])
+
 
-    def out(h, n, sums):
-        columns = [pa.array(signed(h)), pa.array(n), *(pa.array(np.ascontiguousarray(sums[:, j])) for j in range(DIM))]
-        return pa.RecordBatch.from_arrays(columns, ["h", "n", *(f"v{j}" for j in range(DIM))])
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of numbers."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * rows.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
+
+def _contexts(batches):
+    """Words of a task, their counts and the sums of their neighbours' index vectors; a word again where over ``HELD_WORDS`` words or ``HELD_TOKENS`` tokens came before."""
     parts, held, passed = [], 0, 0
     for batch in batches:
         tokens, row = tokens_of(batch.column(0))
@@ -104,25 +116,45 @@ def _contexts(batches):
             parts = [_merge(parts)]
             held = len(parts[0][0])
             if held > HELD_WORDS or passed > HELD_TOKENS:
-                yield out(*parts[0])
+                yield from _packed(*parts[0])
                 parts, held, passed = [], 0, 0
     if parts:
-        yield out(*_merge(parts))
+        yield from _packed(*_merge(parts))
 
 
-def _units(batches):
-    """(h, n, vec): the direction of each word's sums, 127 to the unit, a byte a dimension."""
+def _combine(batches):
+    """(h, n, vec): counts and directions of words, 127 to the unit and a byte a dimension, from rows sorted by word; one word at a time is open."""
+
+    def units(h, n, sums):
+        v = np.round(127 * sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), _fixed(v)], ["h", "n", "vec"])
+
+    last = None
     for batch in batches:
-        v = np.stack([batch.column(2 + j).to_numpy().astype(float) for j in range(DIM)], 1)
-        v = np.round(127 * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.int8)
-        vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIM), len(v), [None, pa.py_buffer(v.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec], ["h", "n", "vec"])
+        if not batch.num_rows:
+            continue
+        h, n = (batch.column(i).to_numpy() for i in (0, 1))
+        size = pc.binary_length(batch.column(2)).to_numpy()
+        sums = np.zeros((len(h), DIM))
+        for kind in KINDS:
+            at = size == DIM * np.dtype(kind).itemsize
+            sums[at] = np.frombuffer(b"".join(batch.column(2).filter(pa.array(at)).to_pylist()), kind).reshape(-1, DIM)
+        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        words, n, sums = h[cut], np.add.reduceat(n, cut), np.add.reduceat(sums, cut, axis=0)
+        if last is not None and last[0] == words[0]:
+            n[0], sums[0] = n[0] + last[1], sums[0] + last[2]
+        elif last is not None:
+            yield units(np.array([last[0]]), np.array([last[1]]), last[2][None])
+        last = words[-1], n[-1], sums[-1]
+        if len(words) > 1:
+            yield units(words[:-1], n[:-1], sums[:-1])
+    if last is not None:
+        yield units(np.array([last[0]]), np.array([last[1]]), last[2][None])
 
 
 def word_vectors(train: DataFrame) -> DataFrame:
     """(h, n, vec): every word of every row of ``train``, with its count and direction."""
-    sums = train.select("text").mapInArrow(_contexts, CONTEXTS).groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(DIM)])
-    return materialise(sums.mapInArrow(_units, "h long, n long, vec binary"), "vectors")
+    return materialise(train.select("text").mapInArrow(_contexts, CONTEXTS).repartition("h").sortWithinPartitions("h").mapInArrow(_combine, "h long, n long, vec binary"), "vectors")
 
 
 def _weight(n, total: int):
@@ -158,10 +190,9 @@ def _split(h: np.ndarray, vec: np.ndarray, weight: np.ndarray):
             cut = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (r_rare[1:] != r_rare[:-1]))) if len(rare) else np.zeros(0, np.int64)
             c = np.diff(np.append(cut, len(rare)))
             none = pa.nulls(len(cut))
-            own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * DIM), rows, [None, pa.py_buffer(sums.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([k, k[r_rare[cut]]])), pa.array(signed(np.concatenate([mix(k.astype(np.uint64)), rare[cut]]))),  # documents' own rows spread like words
-                pa.array(np.concatenate([np.bincount(row, minlength=rows), c])), pa.concat_arrays([batch.column(0), none.cast(pa.int64())]), pa.concat_arrays([own, none.cast(pa.binary())]),
+                pa.array(np.concatenate([np.bincount(row, minlength=rows), c])), pa.concat_arrays([batch.column(0), none.cast(pa.int64())]), pa.concat_arrays([_fixed(sums), none.cast(pa.binary())]),
             ], [f.split()[0] for f in ROWS.split(", ")])
 
     return run
@@ -214,9 +245,12 @@ def pooled_vectors(docs: DataFrame, vectors: DataFrame, most: int = COMMON) -> D
     order = np.argsort(h)
     vec = np.frombuffer(b"".join(common["vec"]), np.int8).reshape(-1, DIM)[order]
     weight = _weight(common["n"].to_numpy(float)[order], total).astype(np.float32)
-    met = docs.mapInArrow(_split(h[order], vec, weight), ROWS).join(vectors.where(F.col("n") < least), "h", "left")
-    dealt = met.repartition("k").sortWithinPartitions("k", "h").select("k", "c", "doc_id", "sums", "vec", F.coalesce("n", F.lit(0)).alias("n"))
-    return materialise(dealt.mapInArrow(_pool(total), "doc_id long, vec array<float>"), "pooled")
+    columns = "k", "c", "doc_id", "sums", "vec", F.coalesce("n", F.lit(0)).alias("n")
+    return materialise(
+        docs.mapInArrow(_split(h[order], vec, weight), ROWS).join(vectors.where(F.col("n") < least), "h", "left")
+        .repartition("k").sortWithinPartitions("k", "h").select(*columns).mapInArrow(_pool(total), "doc_id long, vec array<float>"),
+        "pooled",
+    )
 
 
 class Network:
