@@ -192,7 +192,7 @@ def _split(h: np.ndarray, vec: np.ndarray, weight: np.ndarray):
             none = pa.nulls(len(cut))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([k, k[r_rare[cut]]])), pa.array(signed(np.concatenate([mix(k.astype(np.uint64)), rare[cut]]))),  # documents' own rows spread like words
-                pa.array(np.concatenate([np.bincount(row, minlength=rows), c])), pa.concat_arrays([batch.column(0), none.cast(pa.int64())]), pa.concat_arrays([_fixed(sums), none.cast(pa.binary())]),
+                pa.array(np.concatenate([np.bincount(row, minlength=rows), c])), pa.concat_arrays([batch.column(0), none.cast(pa.int64())]), pa.concat_arrays([_fixed(sums.astype(np.float32)), none.cast(pa.binary())]),
             ], [f.split()[0] for f in ROWS.split(", ")])
 
     return run
@@ -216,7 +216,7 @@ def _pool(total: int):
             own = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
             met = batch.column(4).is_valid().to_numpy(zero_copy_only=False) & ~own
             m = np.zeros((len(k), 2 * DIM))
-            m[own] = np.frombuffer(b"".join(batch.column(3).drop_null().to_pylist())).reshape(-1, 2 * DIM)
+            m[own] = np.frombuffer(b"".join(batch.column(3).drop_null().to_pylist()), np.float32).reshape(-1, 2 * DIM)
             word = np.frombuffer(b"".join(batch.column(4).filter(pa.array(met)).to_pylist()), np.int8).reshape(-1, DIM)
             v = word * _weight(count[met].astype(float), total)[:, None]
             m[met] = np.hstack([v, v * v]) * c[met, None]
