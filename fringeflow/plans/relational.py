@@ -47,7 +47,7 @@ def kernel_rows(planes: int = 4, oversample: int = 8, taps: int = 8, cell: float
     for p in range(planes):
         k = w_kernel(cell, (p - planes / 2 + 0.5) * step, 7, oversample, taps, 4)
         k = np.round(100 * k / np.abs(k).max()) + 0.0
-        rows += [f"({p}, {s}, {j - taps // 2}, {k[s, j].real:.0f}, {k[s, j].imag:.0f})" for s in range(oversample) for j in range(taps)]
+        rows += [f"({p}, {s}, {j + 1 - taps // 2}, {k[s, j].real:.0f}, {k[s, j].imag:.0f})" for s in range(oversample) for j in range(taps)]
     return ", ".join(rows)
 
 
