@@ -69,7 +69,19 @@ def test_clean_of_many_images():
 def kernel_twin(cells, w_plane):
     """Taps of one sample by a plain double loop."""
     k = {tuple(map(int, r.split(", ")[:3])): complex(*map(int, r.split(", ")[3:])) for r in relational.kernel_rows()[1:-1].split("), (")}
-    return {(u + a, v + b): k[w_plane, su, a] * k[w_plane, sv, b] for u, v, su, sv in cells for a in range(-4, 4) for b in range(-4, 4)}
+    return {(u + a, v + b): k[w_plane, su, a] * k[w_plane, sv, b] for u, v, su, sv in cells for a in range(-3, 5) for b in range(-3, 5)}
+
+
+@pytest.mark.parametrize("w", [0.0, 2.0])
+def test_taps_are_centred_on_the_sample(w):
+    """The taps at offsets -3 to 4 add up to the taper and the w phase of a sample in the middle of its sub-cell, whatever the sub-cell."""
+    x, size = np.arange(64) / 64 - 0.5, 0.128
+    k = kernels.w_kernel(1 / size, w, 7, 8, 8, 4)
+    want = kernels.taper(64, 7, 8) * np.exp(2j * np.pi * w * (np.sqrt(1 - (x * size) ** 2) - 1))
+    for s in range(8):
+        at = np.arange(-3, 5) - (s + 0.5) / 8
+        got = (np.conj(k[s])[:, None] * np.exp(2j * np.pi * x * at[:, None])).sum(0)
+        assert np.abs(got - want)[12:52].max() < 2e-3
 
 
 def test_kernel_gridding(spark, tmp_path):
