@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, small_batches, table, texts
 from .words import LOWER, signed, window_hashes, words_of
 
-SIZE, NEED, BLOCK, CELLS, OPEN, GIVEN = 3, 90, 400, 1 << 23, 1 << 20, 1 << 18
+SIZE, NEED, BLOCK, CELLS, OPEN, GIVEN, BITS = 3, 90, 400, 1 << 23, 1 << 20, 1 << 18, 1 << 24
 
 
 def sets_of(column, size: int = SIZE) -> list[np.ndarray]:
@@ -106,7 +106,7 @@ NODE = "node long, n long, spread double, grams array<long>, dfs array<int>"
 
 
 def _nodes(need: int):
-    """Rows (f1, f2, df, gram) in that order, each set's first one with df = -n and gram = doc_id: the sets with enough shared n-grams."""
+    """Rows (f1, f2, df, gram) in that order, a set's first one with df = -n and gram = doc_id: the sets with enough shared n-grams."""
 
     def build(f1, f2, df, gram):
         starts = np.flatnonzero(np.append(True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))) if len(f1) else np.zeros(0, np.int64)
@@ -381,10 +381,23 @@ def _hopeful(prints: DataFrame, classes: DataFrame, need: int) -> DataFrame:
     return materialise(classes.join(enough, "f1", "left_semi"), "hopeful")
 
 
+def _sieve(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """``d`` without most of the rows whose doc_id isn't among ``ids``, so that their texts don't move in a join.
+
+    Ids are kept as ``BITS`` bits at most (``BITS`` / 64 rows are sent to the tasks, whatever the input); an id that shares its bit with another passes.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    taken = ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word"))
+    taken = taken.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_bits"))
+    near = d.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(taken), "_word")
+    return near.where("(shiftrightunsigned(_bits, CAST(_bit & 63 AS INT)) & 1) = 1").select(*d.columns)
+
+
 def _shared(d: DataFrame, prints: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
     """The sets with enough n-grams that another class has too: node (the class's first doc_id), n, spread (mean frequency), shared n-grams in global order and their frequencies."""
     hopeful = _hopeful(prints, classes, need)
-    own = materialise(d.join(hopeful.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "own")
+    reps = hopeful.select(F.col("rep").alias("doc_id")).distinct()
+    own = materialise(_sieve(d, reps).join(reps, "doc_id", "left_semi"), "own")
     rows = own.select("text").mapInArrow(_rows(size, need), "gram long, f1 long, f2 long")
     shared = rows.join(_met(rows).hint("shuffle_hash"), "gram").select("f1", "f2", "df", "gram").distinct()
     heads = hopeful.select("f1", "f2", (-F.col("n")).alias("df"), F.col("rep").alias("gram"))

@@ -108,6 +108,18 @@ def test_components(spark, rows, size, need, block):
     assert got == {i: (len(sets[i]), up[i]) for i in ids}
 
 
+@pytest.mark.parametrize("bits", [64, 128, 1 << 24])
+def test_sieve_loses_no_row(spark, monkeypatch, bits):
+    """However few bits there are, all rows asked for pass, unchanged; with enough bits, most of the others don't."""
+    monkeypatch.setattr(ngram_join, "BITS", bits)
+    d = spark.range(2000).selectExpr("id - 1000 AS doc_id", "'t' || id AS text")
+    asked = d.where("doc_id % 7 = 0").select("doc_id")
+    got = {tuple(r) for r in ngram_join._sieve(d, asked).collect()}
+    assert {tuple(r) for r in d.where("doc_id % 7 = 0").collect()} <= got <= {tuple(r) for r in d.collect()}
+    assert bits < 1 << 24 or len(got) < 400
+    assert ngram_join._sieve(d, asked.limit(0)).count() == 0
+
+
 def test_short_boilerplate(spark):
     """Lines of one to three words count like longer ones; blank lines always stay."""
     lines = ["own text of document number {}", "Menu", "", "All  rights reserved.", " \t", "Menu"]
