@@ -106,13 +106,13 @@ NODE = "node long, n long, spread double, grams array<long>, dfs array<int>"
 
 
 def _nodes(need: int):
-    """Rows (f1, f2, df, gram) in that order, a set's first one with df = -n and gram = doc_id: the sets with enough shared n-grams."""
+    """Rows (f1, f2, df, gram) in that order, a set's first one with df = -n and gram = doc_id: the sets with enough shared n-grams. Sets without such a row are left out."""
 
     def build(f1, f2, df, gram):
         starts = np.flatnonzero(np.append(True, (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]))) if len(f1) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(f1))
         n, shared = -df[starts], ends - starts - 1
-        keep = 100 * shared >= need * n
+        keep = (n > 0) & (100 * shared >= need * n)
         inside = np.repeat(keep, shared + 1)
         inside[starts] = False
         spread = np.add.reduceat(df, starts)[keep] + n[keep] if len(starts) else np.zeros(0)
@@ -128,7 +128,7 @@ def _nodes(need: int):
             if count < upto:
                 continue
             f1, f2, df, gram = (np.concatenate(c) for c in zip(*held))
-            cut = int(np.flatnonzero(df < 0)[-1])  # the last set may go on
+            cut = int(np.flatnonzero(df < 0)[-1:].sum())  # the last set may go on
             yield build(f1[:cut], f2[:cut], df[:cut], gram[:cut])
             held, count = [[x[cut:] for x in (f1, f2, df, gram)]], len(f1) - cut
             upto = max(1 << 16, 2 * count)
@@ -401,8 +401,8 @@ def _shared(d: DataFrame, prints: DataFrame, classes: DataFrame, size: int, need
     rows = own.select("text").mapInArrow(_rows(size, need), "gram long, f1 long, f2 long")
     shared = rows.join(_met(rows).hint("shuffle_hash"), "gram").select("f1", "f2", "df", "gram").distinct()
     heads = hopeful.select("f1", "f2", (-F.col("n")).alias("df"), F.col("rep").alias("gram"))
-    # a repeated doc_id may have another text, of a class that isn't hopeful and has no head row
-    rows = shared.join(hopeful.select("f1", "f2"), ["f1", "f2"], "left_semi").union(heads).repartition("f1", "f2").sortWithinPartitions("f1", "f2", "df", "gram")
+    # a repeated doc_id may have another text, of a class that isn't hopeful: it has no head row and makes no node
+    rows = shared.union(heads).repartition("f1", "f2").sortWithinPartitions("f1", "f2", "df", "gram")
     out = materialise(rows.mapInArrow(_nodes(need), NODE), "nodes")
     discard(hopeful, own)
     return out

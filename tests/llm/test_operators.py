@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from fringeflow.llm import exact_dedup, line_dedup, lm_scoring, ngram_join, packing, pieces, quality_model, quality_rules, substring_dedup, token_counts
@@ -120,6 +121,15 @@ def test_sieve_loses_no_row(spark, monkeypatch, bits):
     assert ngram_join._sieve(d, asked.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 3, 11])
+def test_nodes_need_a_head_row(cut):
+    """N-grams of a set without a head row make no node, at the start, between others, or at the end."""
+    rows = [(0, 1, 5, 7), (0, 1, 5, 8), (1, 1, -2, 100), (1, 1, 3, 4), (1, 1, 3, 5), (2, 1, 3, 9), (3, 3, -3, 200), (3, 3, 2, 1), (3, 3, 2, 2), (4, 1, 2, 2), (4, 1, 2, 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + cut])], ["f1", "f2", "df", "gram"]) for i in range(0, len(rows), cut)]
+    got = [r for b in ngram_join._nodes(90)(batches) for r in b.to_pylist()]
+    assert got == [{"node": 100, "n": 2, "spread": 3.0, "grams": [4, 5], "dfs": [3, 3]}]
+
+
 def test_short_boilerplate(spark):
     """Lines of one to three words count like longer ones; blank lines always stay."""
     lines = ["own text of document number {}", "Menu", "", "All  rights reserved.", " \t", "Menu"]
