@@ -387,10 +387,10 @@ def _sieve(d: DataFrame, ids: DataFrame) -> DataFrame:
     Ids are kept as ``BITS`` bits at most (``BITS`` / 64 rows are sent to the tasks, whatever the input); an id that shares its bit with another passes.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    taken = ids.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word"))
-    taken = taken.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 63 AS INT))")).alias("_bits"))
-    near = d.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(taken), "_word")
-    return near.where("(shiftrightunsigned(_bits, CAST(_bit & 63 AS INT)) & 1) = 1").select(*d.columns)
+    place = bit.bitwiseAND(F.lit(63)).cast("int")
+    taken = ids.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+    # a semi-join, below which Catalyst moves no other join
+    return d.join(F.broadcast(taken), (F.shiftright(bit, 6) == F.col("word")) & (F.getbit("bits", place) == 1), "left_semi")
 
 
 def _shared(d: DataFrame, prints: DataFrame, classes: DataFrame, size: int, need: int) -> DataFrame:
