@@ -36,6 +36,7 @@ MEAN = f"""{CELLS}, mean AS (SELECT channel, CAST(sum(w * w) AS DOUBLE) / CAST(s
 PIX = "PIXELS"
 SPARK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(floor(p / 8e0) AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(round(CAST(e AS DOUBLE) * 1e4) AS BIGINT) AS v FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, e)"
 DUCK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(floor(p / 8e0) AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(round(CAST(embedding[p + 1] AS DOUBLE) * 1e4) AS BIGINT) AS v FROM embeddings, generate_series(0, 63) t(p))"
+SPARK_PIECES, DUCK_PIECES = " LATERAL VIEW explode(sequence(CAST(0 AS BIGINT), n - 1)) t AS k", ", unnest(range(n)) t(k)"
 TAPS = "taps AS (SELECT 0 AS j, 1 AS k UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 1)"
 # densities of robust weights in hundredths
 DENSITY = f"""{MEAN}, d AS (SELECT g.channel, g.pol, g.u, g.v, CAST(floor(1e2 / (g.w * (25e0 / m.mean_w) + 1e0) + 5e-1) AS BIGINT) AS d FROM grid g JOIN mean m ON m.channel = g.channel)"""
@@ -150,7 +151,10 @@ SQL = {
     "rfi_mask_range_join": "WITH m AS (SELECT 1e5 AS lo, 12e4 AS hi UNION ALL SELECT 2e5, 21e4), c AS (SELECT o_orderkey AS channel, o_totalprice AS freq FROM orders) SELECT channel, freq FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE c.freq >= m.lo AND c.freq <= m.hi)",
     "target_intervals": f"WITH {runs('user_id')} SELECT x AS user_id, min(event_id) - 5e-1 AS start, max(event_id) + 5e-1 AS stop FROM r GROUP BY x, run",
     "time_on_target": "SELECT user_id, count(*) * 4 AS seconds FROM events WHERE event_type = 'click' GROUP BY user_id",
-    "split_long_intervals": "WITH i AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id), k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) SELECT user_id, lo + (hi - lo) * k / 4e0 AS start, lo + (hi - lo) * (k + 1) / 4e0 AS stop FROM i CROSS JOIN k",
+    # halved until shorter than 11 hours of 100 dumps: as often as what whole limits fit in has binary digits
+    "split_long_intervals": """WITH i AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id), q AS (SELECT *, CAST(floor((hi - lo) / 11e2) AS BIGINT) AS q FROM i),
+      h AS (SELECT user_id, lo, hi, CASE WHEN q = 0 THEN CAST(1 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(length(bin(q)) AS INT) END AS n FROM q)
+      SELECT user_id, lo + (hi - lo) * k / CAST(n AS DOUBLE) AS start, lo + (hi - lo) * (k + 1) / CAST(n AS DOUBLE) AS stop FROM h PIECES""",
     "status_left_default": "SELECT o_orderkey, CASE WHEN e.event_id IS NOT NULL THEN e.event_type WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'masked' END AS status FROM orders LEFT JOIN events e ON e.event_id = o_orderkey",
     "status_counts": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY ROLLUP (event_type)",
     "skip_done_antijoin": "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = o.o_orderkey AND e.event_type = 'purchase')",
@@ -176,7 +180,8 @@ SQL = {
 
 
 def text(name: str, dialect: str) -> str:
-    return SQL[name].replace("WITH PIXELS", "WITH " + (SPARK_PIX if dialect == "spark" else DUCK_PIX))
+    spark = dialect == "spark"
+    return SQL[name].replace("WITH PIXELS", "WITH " + (SPARK_PIX if spark else DUCK_PIX)).replace("FROM h PIECES", "FROM h" + (SPARK_PIECES if spark else DUCK_PIECES))
 
 
 def query(name: str):

@@ -10,7 +10,7 @@ from fringeflow.sources.tables import TABLES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "target_intervals"])
+@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "target_intervals", "split_long_intervals"])
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
@@ -62,6 +62,19 @@ def test_default_only_without_status(spark, tmp_path):
     assert dict(map(tuple, QUERIES["status_left_default"](spark, sf).collect())) == {i: f"type{i}" for i in range(6)} | {6: "failed", 7: "masked"}
 
 
+def test_intervals_are_halved_until_short(spark, tmp_path):
+    spans = [0, 1099, 1100, 2199, 2200, 4399, 4400, 9000]
+    sf = fixture(spark, tmp_path, events=([(i, 7 + e) for i, n in enumerate(spans) for e in (0, n)], "user_id long, event_id long"))
+    got = {}
+    for r in QUERIES["split_long_intervals"](spark, sf).collect():
+        got.setdefault(r.user_id, []).append((r.start, r.stop))
+    for i, span in enumerate(spans):
+        pieces = 1
+        while span / pieces >= 1100:
+            pieces *= 2
+        assert sorted(got[i]) == [(7 + span * k / pieces, 7 + span * (k + 1) / pieces) for k in range(pieces)]
+
+
 def test_beam_and_clean_take_the_whole_image(spark, tmp_path):
     """A rotated ellipse of any peak is fitted; no fit where nothing or one pixel clears the threshold; CLEAN goes on past 50 cycles."""
     y, x = np.mgrid[-4:4, -4:4]
