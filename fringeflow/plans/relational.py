@@ -130,7 +130,8 @@ SQL = {
     "tile_peak": f"WITH {PIX}, r AS (SELECT img, CAST(floor(y / 4e0) AS BIGINT) AS tile_y, CAST(floor(x / 4e0) AS BIGINT) AS tile_x, y, x, v, row_number() OVER (PARTITION BY img, CAST(floor(y / 4e0) AS BIGINT), CAST(floor(x / 4e0) AS BIGINT) ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT img, tile_y, tile_x, y, x, v FROM r WHERE k = 1",
     "find_peak": f"WITH {PIX}, r AS (SELECT img, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT img, y, x, v FROM r WHERE k = 1",
     "metric_sumsq": f"WITH {PIX} SELECT pol, y, x, CAST(sum(v * v) AS BIGINT) AS metric FROM px GROUP BY pol, y, x",
-    "find_peak_noise_gated": f"WITH {PIX}, n AS (SELECT img, median(abs(v)) * 14826022185056031e-16 AS noise FROM px GROUP BY img) SELECT px.img, max(CASE WHEN abs(v) > 75e-1 * noise THEN abs(v) END) AS peak FROM px JOIN n ON n.img = px.img GROUP BY px.img",
+    # what counts is the value behind the primary beam, BEAM's factor; null where nothing stands out
+    "find_peak_noise_gated": f"WITH {PIX}, n AS (SELECT img, median(abs(v)) * 14826022185056031e-16 AS noise FROM px GROUP BY img) SELECT px.img, max(CASE WHEN abs(v) * (1e0 / (1e0 + 5e-2 * ((y - 4) * (y - 4) + (x - 4) * (x - 4)))) > 75e-1 * noise THEN abs(v) END) AS peak FROM px JOIN n ON n.img = px.img GROUP BY px.img",
     "clean_subtract_once": f"""WITH {PIX}, r AS (SELECT img, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px), d AS (SELECT -1 AS d, 1 AS g UNION ALL SELECT 0, 2 UNION ALL SELECT 1, 1),
       s AS (SELECT img, y + a.d AS y, x + b.d AS x, v * a.g * b.g AS take FROM r CROSS JOIN d a CROSS JOIN d b WHERE k = 1) SELECT px.img, px.y, px.x, 40 * px.v - coalesce(s.take, 0) AS residual40 FROM px LEFT JOIN s ON s.img = px.img AND s.y = px.y AND s.x = px.x""",
     "accumulate_components": f"WITH {PIX}, r AS (SELECT img, pol, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT pol, y, x, CAST(sum(v) AS BIGINT) AS flux FROM r WHERE k <= 3 GROUP BY pol, y, x",

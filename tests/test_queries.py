@@ -10,7 +10,7 @@ from fringeflow.sources.tables import TABLES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "target_intervals", "split_long_intervals"])
+@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "find_peak_noise_gated", "target_intervals", "split_long_intervals"])
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
@@ -75,6 +75,20 @@ def test_intervals_are_halved_until_short(spark, tmp_path):
         assert sorted(got[i]) == [(7 + span * k / pieces, 7 + span * (k + 1) / pieces) for k in range(pieces)]
 
 
+def test_gated_peak_counts_behind_the_beam(spark, tmp_path):
+    """Of noise 1.4826 and a limit of 11.1195, a corner's 12 falls behind the beam, the centre's passes; only noise gives no peak."""
+    def image(**at):
+        v = np.where(np.arange(64) % 2, 1.0, -1.0)
+        for k, x in at.items():
+            v[int(k[1:])] = x
+        return v.tolist()
+
+    images = [image(), image(p0=-12.0), image(p36=12.0), image(p0=-90.0, p36=12.0), image(p36=11.0)]
+    sf = fixture(spark, tmp_path, embeddings=([(i, v, 0) for i, v in enumerate(images)], "vec_id long, embedding array<float>, label int"))
+    got = {r.img: r.peak for r in QUERIES["find_peak_noise_gated"](spark, sf).collect()}
+    assert got == {0: None, 1: None, 2: 120000, 3: 900000, 4: None}
+
+
 def test_beam_and_clean_take_the_whole_image(spark, tmp_path):
     """A rotated ellipse of any peak is fitted; no fit where nothing or one pixel clears the threshold; CLEAN goes on past 50 cycles."""
     y, x = np.mgrid[-4:4, -4:4]
