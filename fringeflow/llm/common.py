@@ -35,12 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and shuffle files behind it can be cleaned at once."""
+def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders ``by`` columns if any, and read it back: lineage ends there, and shuffle files behind it can be cleaned at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     del df
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the finished shuffles
     out = spark.read.schema(schema).parquet(path)
