@@ -77,18 +77,22 @@ def _cut_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(chunk: int):
     """Rows (doc_id, h1 .. h4, row, text) of long texts: a row (doc_id, h1 .. h4, row, k, piece) for each chunk."""
     names = ["doc_id", *_HASHES, "row"]
-    for batch in batches:
-        for i, text in enumerate(batch.column("text").cast(pa.binary())):
-            view = memoryview(text.as_buffer())
-            head = [batch.column(c)[i].as_py() for c in names]
-            count = -(-len(view) // CHUNK)
-            for k in range(0, count, 64):  # some MB a batch
-                ks = range(k, min(k + 64, count))
-                same = [pa.array([h] * len(ks), pa.int64()) for h in head]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(ks, pa.int64()), pa.array([bytes(view[j * CHUNK : (j + 1) * CHUNK]) for j in ks], pa.binary())], [*names, "k", "piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                view = memoryview(text.as_buffer())
+                head = [batch.column(c)[i].as_py() for c in names]
+                count = -(-len(view) // chunk)
+                for k in range(0, count, 64):  # some MB a batch
+                    ks = range(k, min(k + 64, count))
+                    same = [pa.array([h] * len(ks), pa.int64()) for h in head]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(ks, pa.int64()), pa.array([bytes(view[j * chunk : (j + 1) * chunk]) for j in ks], pa.binary())], [*names, "k", "piece"])
+
+    return run
 
 
 def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +120,18 @@ def _resolve(functions: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["row", "doc_id", "n", "form", "cut", "k", "state", "skip"])
 
 
-def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _select(chunk: int):
     """Rows (row, doc_id, n, form, cut, k, state, skip, piece): the byte of the text at which the cut is."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            column = lambda name: part.column(part.schema.get_field_index(name)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            scan = Scan(part.column(part.schema.get_field_index("piece")).to_pylist())
-            at = column("k") * CHUNK + scan.locate(np.arange(part.num_rows), column("state"), column("skip"))
-            kept = [part.column(part.schema.get_field_index(c)) for c in ("row", "doc_id", "n", "form", "cut")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int64())], ["row", "doc_id", "n", "form", "cut", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                k, state, skip = (part.column(c).to_numpy() for c in ("k", "state", "skip"))
+                at = k * chunk + Scan(part.column("piece").to_pylist()).locate(np.arange(part.num_rows), state, skip)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "doc_id", "n", "form", "cut")], pa.array(at, pa.int64())], ["row", "doc_id", "n", "form", "cut", "at"])
+
+    return run
 
 
 def _assemble(pieces: pa.Table, found: pa.Table) -> pa.Table:
@@ -138,7 +144,7 @@ def _assemble(pieces: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
 
-def transform(docs: DataFrame) -> DataFrame:
+def transform(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output) of each row of ``docs`` (doc_id, text): the text with its middle last, cut before two of its n tokens.
 
     Null and empty texts have no tokens and stay plain, as do texts with a marker of their own. Repeated rows are each cut, alike; rows without a doc_id are
@@ -149,15 +155,15 @@ def transform(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark, 256)
     d = texts(docs).select("doc_id", "text", *_hashes())
-    short = d.where(F.octet_length("text") <= CHUNK).mapInArrow(_cut_here, _RESULT)
+    short = d.where(F.octet_length("text") <= chunk).mapInArrow(_cut_here, _RESULT)
     # rows are numbered once, in the table that is written
-    rows = d.where(F.octet_length("text") > CHUNK).select("doc_id", *_HASHES, F.monotonically_increasing_id().alias("row"), "text")
-    written = materialise(rows.mapInArrow(_chunks, "doc_id long, h1 long, h2 long, h3 long, h4 long, row long, k long, piece binary"), "chunks")
+    rows = d.where(F.octet_length("text") > chunk).select("doc_id", *_HASHES, F.monotonically_increasing_id().alias("row"), "text")
+    written = materialise(rows.mapInArrow(_chunks(chunk), "doc_id long, h1 long, h2 long, h3 long, h4 long, row long, k long, piece binary"), "chunks")
     dealt = written.repartition("row", "k")
     functions = dealt.select("row", "k", "piece").mapInArrow(_functions, "row long, k long, end_ array<long>, tokens array<long>, marks array<long>")
     heads = written.where("k = 0").select("row", "doc_id", *_HASHES)
     resolved = functions.join(heads, "row").groupBy("row").applyInPandas(_resolve, "row long, doc_id long, n long, form string, cut int, k long, state long, skip long")
-    found = resolved.join(written.select("row", "k", "piece"), ["row", "k"]).mapInArrow(_select, "row long, doc_id long, n long, form string, cut int, at long")
+    found = resolved.join(written.select("row", "k", "piece"), ["row", "k"]).mapInArrow(_select(chunk), "row long, doc_id long, n long, form string, cut int, at long")
     long_ = written.select("row", "k", "piece").groupBy("row").cogroup(found.groupBy("row")).applyInArrow(_assemble, _RESULT)
     return short.unionByName(long_)
 
