@@ -45,3 +45,29 @@ def w_slices(max_w: float, fov: float, eps: float, kernel_width: float, antialia
     """The smallest number of slices whose half-thickness fits in the kernel."""
     fits = lambda s: w_kernel_width(max_w / 2 / (s - 0.5), fov, eps, antialias) <= kernel_width
     return 1 + bisect.bisect_left(range(1, 1 << 31), True, key=fits)
+
+
+def check_grid(pixels: int, cell_size: float, longest: float, taps: int) -> None:
+    """ValueError unless the longest baseline (metres), with its kernel, falls on the grid."""
+    reach = longest / cell_size + taps / 2 + 1
+    if reach > pixels / 2:
+        raise ValueError(f"a baseline of {longest:g} m reaches {reach:.0f} cells from the centre of a grid of {pixels}: pixels are too large or too few")
+
+
+def channel_parameters(
+    frequency: float, diameter: float, longest: float, max_w: float, *, q_fov: float = 1.0, image_oversample: float = 5.0, pixel_size: float | None = None, pixels: int | None = None,
+    slices: int | None = None, w_step: float = 1.0, w_step_unit: str = "", oversample: int = 8, taps: int = 60, antialias: float = 7.0, eps_w: float = 1e-3,
+) -> dict:
+    """wavelength, image and grid parameters of a channel: w slices from the kernel's taps unless given, and w planes of a slice from the w step, which is in metres
+    (unit m) or in sub-cells (no unit). ValueError for other units and for grids that the longest baseline leaves."""
+    if oversample < 1:
+        raise ValueError("the grid's oversampling must be at least 1")
+    wavelength = C / frequency
+    image = image_parameters(wavelength, diameter, longest, q_fov, image_oversample, pixel_size, pixels)
+    if slices is None:
+        slices = w_slices(max_w / wavelength, image["image_size"], eps_w, taps, antialias)
+    if w_step_unit not in ("", "m"):
+        raise ValueError("the w step is a length or a number of sub-cells")
+    step = w_step if w_step_unit == "m" else w_step * image["cell_size"] / oversample
+    check_grid(image["pixels"], image["cell_size"], longest, taps)
+    return {"wavelength": wavelength, **image, "w_slices": slices, "w_planes": max(1, math.ceil(max_w / step / slices))}

@@ -67,10 +67,20 @@ def clean_many(dirty: np.ndarray, psf: np.ndarray, gain: float = 0.1, minor: int
     return model, padded[:, top : top + h, left : left + w]
 
 
-def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple[float, float, float]:
+def moments(psf: np.ndarray, threshold: float = 0.5) -> np.ndarray:
+    """Covariance (x, y) of the pixels above ``threshold`` about the centre, made larger by what a unit Gaussian loses where it is cut off at that height."""
+    h, w = psf.shape
+    y, x = np.nonzero(psf > threshold)
+    v, y, x = psf[y, x], y - h // 2, x - w // 2
+    lost = -math.log(threshold)  # half the squared radius of the cut
+    return np.array([[(v * x * x).sum(), (v * x * y).sum()], [(v * x * y).sum(), (v * y * y).sum()]]) / v.sum() * (1 - threshold) / (1 - (1 + lost) * threshold)
+
+
+def fit_beam(psf: np.ndarray, threshold: float = 0.01, rounds: int = 50) -> tuple[float, float, float]:
     """FWHM of the major and minor axis in pixels and the angle in [0, pi), from axis 0 toward axis 1, of a Gaussian with unit peak at the centre, by damped least squares.
 
-    All three are NaN where the pixels above the threshold don't determine a Gaussian: none, too few, or a fit that doesn't fall off in all directions.
+    The fit is to the pixels above the threshold, from the moments of those above half the peak on. What is far from the centre is no Gaussian: hand over the central
+    patch. All three are NaN where the pixels don't determine a Gaussian: none, too few, or a fit that doesn't fall off in all directions.
     """
     h, w = psf.shape
     y, x = np.mgrid[:h, :w]
@@ -79,7 +89,9 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.3, rounds: int = 50) -> tuple
     y, x, v = y[use].astype(float), x[use].astype(float), v[use].astype(float)
     if not use.any() or np.linalg.matrix_rank(np.stack([x * x, x * y, y * y], 1)) < 3:
         return (np.nan,) * 3
-    p, damp = np.array([0.5, 0.0, 0.5]), 1e-3  # v = exp(-(a x^2 + 2 b x y + c y^2) / 2)
+    start = moments(psf) if (psf > 0.5).any() else np.zeros((2, 2))
+    inverse = np.linalg.inv(start) if np.linalg.det(start) > 1e-6 else np.eye(2) / 2
+    p, damp = np.array([inverse[0, 0], inverse[0, 1], inverse[1, 1]]), 1e-3  # v = exp(-(a x^2 + 2 b x y + c y^2) / 2)
     model = lambda p: np.exp(np.minimum(-0.5 * (p[0] * x * x + 2 * p[1] * x * y + p[2] * y * y), 300.0))
     for _ in range(rounds):
         f = model(p)

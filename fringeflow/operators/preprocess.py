@@ -1,4 +1,4 @@
-"""Visibilities to compressed records: filter, fold, weight, quantise, pre-aggregate."""
+"""Samples to compressed records: fold, weight, quantise, pre-aggregate."""
 
 from __future__ import annotations
 
@@ -8,24 +8,18 @@ from pyspark.sql import functions as F
 KEY = ["channel", "u", "v", "sub_u", "sub_v", "w_plane", "w_slice"]
 
 
-def clean_samples(vis: DataFrame) -> DataFrame:
-    """Drop (row, channel) samples with any zero weight; values that are not finite lose value and weight."""
-    bad = vis.groupBy("row", "channel").agg(F.min(F.abs("weight")).alias("least")).where("least = 0").select("row", "channel")
-    odd = F.isnan("re") | F.isnan("im") | F.abs("re").eqNullSafe(float("inf")) | F.abs("im").eqNullSafe(float("inf"))
-    zero = lambda c: F.when(odd, 0.0).otherwise(F.col(c)).alias(c)
-    return vis.join(bad, ["row", "channel"], "left_anti").select("row", "channel", "pol", "u", "v", "w", zero("weight"), zero("re"), zero("im"))
-
-
-def quantize(vis: DataFrame, params: DataFrame, oversample: int, w_planes: int, w_slices: int, max_w: float) -> DataFrame:
-    """Fold to w >= 0, weight, and put uvw on the grid; ``params`` has (channel, cell_size), a row per channel."""
-    d = vis.join(params.select("channel", "cell_size"), "channel")
+def quantize(samples: DataFrame, oversample: int) -> DataFrame:
+    """Fold to w >= 0, multiply by the weight, and put uvw on the grid: rows (channel, pol, u, v, w, weight, re, im) with their channel's cell_size, w_slices,
+    w_planes and max_w, lengths in one unit. What is beyond max_w is held in the last w plane."""
+    d = samples
     sign = F.when(F.col("w") < 0, -1.0).otherwise(1.0)
     fine = lambda c: F.floor(F.col(c) * sign / F.col("cell_size") * oversample)
-    plane = F.least(F.floor(F.abs("w") * (w_slices - 0.5) * w_planes / max_w + w_planes / 2), F.lit(w_slices * w_planes - 1))
-    d = d.select("channel", "pol", fine("u").alias("fu"), fine("v").alias("fv"), plane.alias("p"), "weight", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight") * sign).alias("im"))
+    planes, slices = F.col("w_planes"), F.col("w_slices")
+    plane = F.least(F.floor(F.abs("w") * (slices - 0.5) * planes / F.col("max_w") + planes / 2), slices * planes - 1)
+    d = d.select("channel", "pol", fine("u").alias("fu"), fine("v").alias("fv"), plane.alias("p"), planes.alias("planes"), "weight", (F.col("re") * F.col("weight")).alias("re"), (F.col("im") * F.col("weight") * sign).alias("im"))
     return d.select(
         "channel", "pol", F.floor(F.col("fu") / oversample).alias("u"), F.floor(F.col("fv") / oversample).alias("v"), F.pmod("fu", F.lit(oversample)).alias("sub_u"),
-        F.pmod("fv", F.lit(oversample)).alias("sub_v"), (F.col("p") % w_planes).alias("w_plane"), F.floor(F.col("p") / w_planes).alias("w_slice"), "weight", "re", "im",
+        F.pmod("fv", F.lit(oversample)).alias("sub_v"), (F.col("p") % F.col("planes")).alias("w_plane"), F.floor(F.col("p") / F.col("planes")).alias("w_slice"), "weight", "re", "im",
     )
 
 

@@ -1,10 +1,8 @@
-"""Table catalogue: Parquet folders by name, and the registry of readers by path."""
+"""Table catalogue: Parquet folders by name."""
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
@@ -13,27 +11,3 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temporary views of the tables; scans stay lazy, so filters and columns reach Parquet."""
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-
-
-def kind_of(path: str) -> str:
-    """Which reader takes a path: measurement-set folders end in .ms, archives in .rdb or have the redis scheme."""
-    try:
-        url = urlparse(path)
-    except ValueError:
-        url = None
-    if path.rstrip("/").lower().endswith(".ms"):
-        return "ms"
-    if url is not None and (url.scheme == "redis" or url.path.endswith(".rdb")):
-        return "archive"
-    raise ValueError(f"no reader takes {path}")
-
-
-def load(spark: SparkSession, path: str, start: int | None = None, stop: int | None = None, limit: int | None = None) -> DataFrame:
-    """Visibilities of a dataset kept as Parquet partitions by channel: channels start <= c < stop, at most ``limit`` rows in row order."""
-    kind_of(path)
-    df = spark.read.parquet(path)
-    if start is not None or stop is not None:
-        if start is not None and stop is not None and not 0 <= start < stop:
-            raise ValueError("the channel range is empty or negative")
-        df = df.where(f"channel >= {start or 0}" + (f" and channel < {stop}" if stop is not None else ""))
-    return df.orderBy("row_id").limit(limit) if limit is not None else df

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -5,8 +7,7 @@ from fringeflow.functions import kernels, params
 from fringeflow.functions.polarization import mueller, parse_stokes
 from fringeflow.operators import imaging
 from fringeflow.plans import relational
-from fringeflow.sources.fits import fits_bytes
-from fringeflow.sources.tables import TABLES, kind_of
+from fringeflow.sources.tables import TABLES
 
 
 def test_mueller():
@@ -112,8 +113,15 @@ def test_fit_and_restore():
     np.testing.assert_allclose(imaging.convolve(one, major, minor, angle), np.exp(-(x**2 / 50 + y**2 / 8)), atol=1e-4)
 
 
-def test_sources():
-    assert kind_of("/a/b.MS") == "ms" and kind_of("redis://h/1") == "archive"
+def test_channel_parameters():
+    p = params.channel_parameters(1.4e9, 13.5, 500.0, 400.0, slices=3)
+    assert p["wavelength"] == pytest.approx(params.C / 1.4e9) and p["cell_size"] == pytest.approx(p["wavelength"] / (p["pixels"] * p["pixel_size"]))
+    assert p["w_planes"] == math.ceil(400.0 / (p["cell_size"] / 8) / 3)
+    assert params.channel_parameters(1.4e9, 13.5, 500.0, 400.0, slices=3, w_step=2.5, w_step_unit="m")["w_planes"] == math.ceil(160 / 3)
+    assert params.channel_parameters(1.4e9, 13.5, 500.0, 400.0)["w_slices"] == params.w_slices(400.0 / p["wavelength"], p["image_size"], 1e-3, 60, 7.0)
+    with pytest.raises(ValueError):
+        params.channel_parameters(1.4e9, 13.5, 500.0, 400.0, w_step_unit="Hz")
+    with pytest.raises(ValueError):  # the longest baseline leaves the grid
+        params.channel_parameters(1.4e9, 13.5, 500.0, 400.0, pixel_size=1e-3, pixels=512)
     with pytest.raises(ValueError):
-        kind_of("x.csv")
-    assert len(fits_bytes(np.ones((4, 8, 8)), {"OBJECT": "t"})) % 2880 == 0
+        params.channel_parameters(1.4e9, 13.5, 500.0, 400.0, oversample=0)

@@ -4,13 +4,14 @@ import pytest
 
 import __spark_entry__
 from fringeflow.operators import imaging
-from fringeflow.plans.relational import ORACLE_SQL, QUERIES
+from fringeflow.plans import instrument, relational
 from fringeflow.sources.tables import TABLES
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = relational.QUERIES | instrument.QUERIES, relational.ORACLE_SQL | instrument.ORACLE_SQL
 
 
-@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "find_peak_noise_gated", "target_intervals", "split_long_intervals"])
+@pytest.mark.parametrize("name", ["any_zero_weight", "compress_group", "density_robust", "weighted_grid", "degrid_k3", "grid_kernel", "degrid_kernel", "compress_runlength", "distinct_inverse", "equal_spacing", "dft_grid_to_image", "find_peak", "find_peak_noise_gated", "target_intervals", "split_long_intervals", *instrument.QUERIES])
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
