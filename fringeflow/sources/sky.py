@@ -11,29 +11,49 @@ from pyspark.sql import functions as F
 COEFFICIENTS, STOKES = 6, 4
 
 
+#: What a stream of continuum images may be called.
+CONTINUUM = ("sdp.continuum_image", "continuum_image")
+
+
 class NoSkyModel(ValueError):
     """There is no sky model, or more than one."""
 
 
 def open_sky_model(spark: SparkSession, url: str) -> DataFrame:
-    """The sources of ``url``: ``file:///path?format=katpoint`` is a text catalogue, ``/path?format=parquet`` a table of its columns. ValueError for others."""
-    parts = urlparse(url)
-    kind = parse_qs(parts.query).get("format", [None])[0]
+    """The sources of ``url``, a file unless it has another scheme.
+
+    ``format`` is katpoint, a text catalogue in a file (also where none is named), parquet, a table of the catalogue's columns, or archive, an archive's folder with the table
+    ``streams`` (stream, kind, target, line); that needs ``target`` and takes ``continuum``, a stream's name. ValueError for others, NoSkyModel where an archive has none.
+    """
+    parts = urlparse(url, scheme="file")
+    query = parse_qs(parts.query)
+    kind = query.get("format", ["katpoint"])[0]
     if kind == "katpoint":
         if parts.scheme != "file":
             raise ValueError(f"a text catalogue needs a file:// address, not {parts.scheme!r}")
         return parse_catalogue(spark.read.text(parts.path))
+    plain = parts._replace(query="").geturl()
     if kind == "parquet":
-        return spark.read.parquet(parts._replace(query="").geturl())
+        return spark.read.parquet(plain)
+    if kind == "archive":
+        if "target" not in query:
+            raise ValueError("an archive's address needs a target")
+        return stream_catalogue(spark.read.parquet(f"{plain.rstrip('/')}/streams"), query["target"][0], query.get("continuum", [None])[0])
     raise ValueError(f"no sky model of format {kind!r}")
 
 
-def stream_catalogue(streams: DataFrame, target: str) -> DataFrame:
-    """The sources found for ``target`` by the one continuum stream among rows (stream, kind, target, line); NoSkyModel unless there is just one."""
-    names = streams.where("kind = 'continuum'").select("stream").distinct().limit(2).collect()
-    if len(names) != 1:
-        raise NoSkyModel("no continuum stream" if not names else "more than one continuum stream")
-    return parse_catalogue(streams.where((F.col("stream") == names[0]["stream"]) & (F.col("target") == target)).select(F.col("line").alias("value")))
+def stream_catalogue(streams: DataFrame, target: str, stream: str | None = None) -> DataFrame:
+    """The sources found for ``target`` by ``stream``, or by the one continuum stream among rows (stream, kind, target, line); NoSkyModel unless there is just one and it
+    has the target."""
+    if stream is None:
+        names = streams.where(F.col("kind").isin(*CONTINUUM)).select("stream").distinct().limit(2).collect()
+        if len(names) != 1:
+            raise NoSkyModel("no continuum stream" if not names else "more than one continuum stream: one must be chosen")
+        stream = names[0]["stream"]
+    lines = streams.where((F.col("stream") == stream) & (F.col("target") == target)).select(F.col("line").alias("value"))
+    if not lines.limit(1).count():
+        raise NoSkyModel(f"stream {stream} has no sky model of {target}")
+    return parse_catalogue(lines)
 
 
 def _angle(text: Column, per: int) -> Column:

@@ -195,16 +195,21 @@ def test_catalogue(spark):
 
 def test_sky_model_addresses(spark, tmp_path):
     (tmp_path / "c.csv").write_text("\n".join(LINES))
-    assert sky.open_sky_model(spark, f"file://{tmp_path}/c.csv?format=katpoint").count() == 3
-    for url in ("http://x/c.csv?format=katpoint", "file:///c.csv", "file:///c.csv?format=x"):
+    for url in (f"file://{tmp_path}/c.csv?format=katpoint", f"{tmp_path}/c.csv", f"file://{tmp_path}/c.csv"):
+        assert sky.open_sky_model(spark, url).count() == 3
+    streams = [("a", "sdp.continuum_image", "t", LINES[2]), ("b", "sdp.spectral_image", "t", LINES[3]), ("a", "sdp.continuum_image", "other", LINES[3]), ("c", "continuum_image", "t", LINES[5])]
+    d = spark.createDataFrame(streams, "stream string, kind string, target string, line string")
+    one = d.where("stream <> 'c'")
+    one.write.parquet(f"{tmp_path}/x.rdb/streams")
+    d.write.parquet(f"{tmp_path}/y.rdb/streams")
+    names = lambda url: [r.name for r in sky.open_sky_model(spark, url).collect()]
+    assert names(f"{tmp_path}/x.rdb?format=archive&target=t") == ["near"] and names(f"file://{tmp_path}/y.rdb?format=archive&target=t&continuum=c") == ["star"]
+    for url in (f"http://x/c.csv?format=katpoint", f"{tmp_path}/c.csv?format=x", f"{tmp_path}/x.rdb?format=archive"):
         with pytest.raises(ValueError):
             sky.open_sky_model(spark, url)
-    streams = [("a", "continuum", "t", LINES[2]), ("b", "spectral", "t", LINES[3]), ("a", "continuum", "other", LINES[3])]
-    d = spark.createDataFrame(streams, "stream string, kind string, target string, line string")
-    assert [r.name for r in sky.stream_catalogue(d, "t").collect()] == ["near"]
-    for bad in (d.where("kind = 'spectral'"), d.union(spark.createDataFrame([("c", "continuum", "t", LINES[3])], d.schema))):
+    for bad, target in ((d.where("stream = 'b'"), "t"), (d, "t"), (one, "nowhere")):
         with pytest.raises(sky.NoSkyModel):
-            sky.stream_catalogue(bad, "t").count()
+            sky.stream_catalogue(bad, target)
 
 
 def headers(data):
