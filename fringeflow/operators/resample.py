@@ -48,7 +48,7 @@ def bilinear(points: DataFrame, pixels: DataFrame, image: list[str], values: lis
     """``points`` (image columns, y, x fractional, ...) with each of ``values`` of ``pixels`` (image columns, y, x whole, values) between the four pixels around.
 
     A point that has no weight on a pixel doesn't need it, so the last row and column count as inside; null where a pixel that is needed is missing, is null or NaN,
-    and for points that are NaN.
+    and for points that are NaN. Points are told apart by all their columns: equal ones come out once.
     """
     keyed = points.withColumns({"_y": F.floor("y"), "_x": F.floor("x")})
     corners = F.array(*[F.struct((F.col("_y") + dy).alias("y"), (F.col("_x") + dx).alias("x"), ((F.col("y") - F.col("_y") if dy else F.lit(1.0) - (F.col("y") - F.col("_y"))) * (F.col("x") - F.col("_x") if dx else F.lit(1.0) - (F.col("x") - F.col("_x")))).alias("share")) for dy in (0, 1) for dx in (0, 1)])

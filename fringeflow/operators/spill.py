@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +16,21 @@ PART = ["channel", "w_slice", "band"]
 BAND = 64
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one is made only where the session names none, as in tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return folder or context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, where its lineage ends."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def with_band(records: DataFrame) -> DataFrame:
     return records.withColumn("band", F.floor(F.col("v") / BAND).cast("int"))
 

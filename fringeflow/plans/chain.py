@@ -8,7 +8,6 @@ one channel meet in one group, whose size the channel's parameters fix, and of i
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -189,7 +188,7 @@ def subtract_sky(records: DataFrame, sources: DataFrame, params: DataFrame, cent
     channels = params.select("channel", (299792458.0 / F.col("wavelength")).alias("f"))
     flux = seen.select(*columns, l.alias("l"), m.alias("m"), less.alias("n1")).crossJoin(F.broadcast(channels)).select("channel", "l", "m", "n1", flux_density(F.col("f")).alias("flux")).where("exists(flux, x -> x <> 0)")
     order = ["channel", "l", "m", "n1"]
-    numbered = _checkpoint(flux.orderBy(*order).withColumn("block", F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / SENT_SOURCES)).withColumn("part", F.spark_partition_id()))
+    numbered = spill.checkpoint(flux.orderBy(*order).withColumn("block", F.floor(F.monotonically_increasing_id() % F.lit(1 << 33) / SENT_SOURCES)).withColumn("part", F.spark_partition_id()))
     kept = params.select("channel", "wavelength", "cell_size", "pixels", "pixel_size", "w_slices", "w_planes", "max_w")
     out = records
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema)
@@ -314,20 +313,6 @@ def dense(cells: DataFrame, params: DataFrame, *values: str) -> DataFrame:
     return cells.select("channel", "pol", "u", "v", *values).join(params.select("channel", "pixels"), "channel").groupBy("channel", "pol").applyInPandas(fill, "channel long, pol long, image array<double>")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return folder or context.getCheckpointDir()
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    _folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def image_channels(
     samples: DataFrame, params: DataFrame, weights: str = "natural", robustness: float = 0.0, majors: int = 2, clean: CleanParameters = CleanParameters(),
     matrix: Column | None = None, sky: DataFrame | None = None, centre: tuple[float, float] = (0.0, 0.0), beam: DataFrame | None = None, beam_step: float = 1.0, cutoff: float = 0.1,
@@ -346,16 +331,16 @@ def image_channels(
     records = weigh(preprocess(samples, params, matrix), weights, robustness)
     if sky is not None:
         records = subtract_sky(records, sky, params, centre)
-    name = spill.write(records, _folder(spark))
+    name = spill.write(records, spill.shared_folder(spark))
     stored = spill.read(spark, name)
     k = kernels(params)
     with spill.in_place(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_rows_a_batch(params))):
-        statistics = _checkpoint(weights_noise(stored, weights).join(stored.groupBy("channel").agg(F.count("*").alias("compressed_vis")), "channel"))
-        slices = _checkpoint(stored.select("channel", "w_slice").distinct())
+        statistics = spill.checkpoint(weights_noise(stored, weights).join(stored.groupBy("channel").agg(F.count("*").alias("compressed_vis")), "channel"))
+        slices = spill.checkpoint(stored.select("channel", "w_slice").distinct())
         ones = stored.withColumns({"re": F.col("weight"), "im": F.lit(0.0)})
         psf = to_images(grid(ones, k), params)
-        psf = _checkpoint(psf) if "psf" in keep else psf
-        spread = _checkpoint(point_spread(psf, params, clean))
+        psf = spill.checkpoint(psf) if "psf" in keep else psf
+        spread = spill.checkpoint(point_spread(psf, params, clean))
         scaled = lambda d, name: d.join(spread.select("channel", "scale"), "channel").select("channel", "pol", F.transform("image", lambda x: x * F.get("scale", F.col("pol").cast("int"))).alias(name))
         more = {"psf": lambda: scaled(psf, "psf"), "weights": lambda: dense(stored.select(*CELL, "density").distinct(), params, "density").withColumnRenamed("image", "weights")}
         state, finished, left = None, None, stored
@@ -363,8 +348,8 @@ def image_channels(
             cells = grid(left, k)
             dirty = to_images(cells, params)
             if not cycle and set(keep) & {"dirty", "grid"}:
-                cells = _checkpoint(cells)
-                first = dirty = _checkpoint(to_images(cells, params))
+                cells = spill.checkpoint(cells)
+                first = dirty = spill.checkpoint(to_images(cells, params))
                 top = cells.groupBy("channel").agg(F.max("w_slice").alias("w_slice"))
                 more |= {"dirty": lambda d=first: scaled(d, "dirty"), "grid": lambda c=cells, t=top: dense(c.join(t, ["channel", "w_slice"]), params, "re", "im").withColumnRenamed("image", "grid")}
             if state is None:
@@ -372,7 +357,7 @@ def image_channels(
             else:
                 together = dirty.join(state.select("channel", "pol", "model", "cycles", "majors"), ["channel", "pol"])
             together = together.join(spread, "channel").join(params.select("channel", "pixels"), "channel")
-            new = _checkpoint(minor_cycles(together, clean))
+            new = spill.checkpoint(minor_cycles(together, clean))
             last = cycle == majors - 1
             ended = new if last else new.where("over")
             finished = ended if finished is None else finished.unionByName(ended)
@@ -386,7 +371,7 @@ def image_channels(
             made = finish(finished, spread, params, beam, beam_step, cutoff).join(statistics, "channel")
             for product in keep:
                 made = made.join(more[product](), ["channel", "pol"], "left")
-            out = _checkpoint(made)
+            out = spill.checkpoint(made)
     spill.drop(spark, name)
     return out if out is not None else spark.createDataFrame([], RESULT)
 

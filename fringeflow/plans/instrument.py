@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.polarization import mueller
-from ..operators import feed, polarize, primary_beam, spill
+from ..operators import feed, polarize, primary_beam, resample, spill
 from ..sources import dataset, visibility
 from . import chain, relational
 
@@ -38,7 +38,7 @@ def main_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_set(spark: SparkSession, sf_dir: str) -> str:
     """A measurement set of lineitem in the shared folder: channels are folders."""
-    path = f"{chain._folder(spark).rstrip('/')}/set-{spark.range(1).select(F.uuid()).first()[0]}.ms"
+    path = f"{spill.shared_folder(spark).rstrip('/')}/set-{spark.range(1).select(F.uuid()).first()[0]}.ms"
     main_table(spark, sf_dir).write.partitionBy("channel").parquet(f"{path}/main")
     spark.range(3).select(F.col("id").cast("int").alias("field_id"), F.array(F.col("id") * 10.0, F.lit(-30.0)).alias("phase_dir", metadata={"unit": "deg"})).coalesce(1).write.parquet(f"{path}/field")
     spark.createDataFrame([(0, 0, 0)], "data_desc_id int, polarization_id int, spectral_window_id int").coalesce(1).write.parquet(f"{path}/data_description")
@@ -104,10 +104,10 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spill_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records stored in buckets and read back in blocks of 100: blocks, records and weight of each part."""
-    name = spill.write(_records(spark, sf_dir), chain._folder(spark))
+    name = spill.write(_records(spark, sf_dir), spill.shared_folder(spark))
     with spill.in_place(spark):
         each = spill.blocks(spill.read(spark, name), 100).groupBy(*spill.PART, "block").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-        out = chain._checkpoint(each.groupBy(*spill.PART).agg(F.count("*").alias("blocks"), F.max("n").alias("largest"), F.sum("n").alias("records"), F.sum("weight").cast("long").alias("weight")).select("channel", "w_slice", F.col("band").cast("long").alias("band"), "blocks", "largest", "records", "weight"))
+        out = spill.checkpoint(each.groupBy(*spill.PART).agg(F.count("*").alias("blocks"), F.max("n").alias("largest"), F.sum("n").alias("records"), F.sum("weight").cast("long").alias("weight")).select("channel", "w_slice", F.col("band").cast("long").alias("band"), "blocks", "largest", "records", "weight"))
     spill.drop(spark, name)
     return out
 
@@ -118,7 +118,29 @@ def weights_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("channel", *[F.round(c, 9).alias(c) for c in ("weights_noise", "normalized_noise")])
 
 
-QUERIES = {f.__name__: f for f in (ms_samples, visibility_scan, mueller_samples, mueller_parallactic, feed_angle, primary_beam_power, spill_blocks, weights_noise)}
+SOURCE, TARGET = resample.World(4.0, 4.0, 1e-2, -1e-2, 0.1, 0.2), resample.World(3.5, 4.25, 9e-3, -1.1e-2, 0.1025, 0.1975)
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relational.register(spark, sf_dir, ["embeddings"])
+    return spark.sql(f"WITH {relational.SPARK_PIX} SELECT img, y, x, CAST(v AS DOUBLE) AS value FROM px")
+
+
+def regrid_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image on the pixels of another that looks a little aside and finer: what both have there, and their difference."""
+    px = _pixels(spark, sf_dir)
+    got = resample.regrid(px, px, SOURCE, TARGET)
+    return got.select("img", "y", "x", F.round("other", 5).alias("other"), F.round(F.col("other") - F.col("value"), 5).alias("difference"))
+
+
+def circularise_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image as a beam: its mean voltage on circles about the pixel (4, 4)."""
+    px = _pixels(spark, sf_dir).select(F.col("img").alias("frequency"), F.lit(0).alias("pol"), "y", "x", F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    got = resample.circularise(px, 4.0, 5, 16)
+    return got.select("frequency", F.col("radius").cast("long").alias("radius"), F.round("voltage", 5).alias("voltage"))
+
+
+QUERIES = {f.__name__: f for f in (ms_samples, visibility_scan, mueller_samples, mueller_parallactic, feed_angle, primary_beam_power, spill_blocks, weights_noise, regrid_world, circularise_beam)}
 
 _MAIN = """main AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(l_suppkey % 4 AS BIGINT) AS channel, CAST(l_partkey % 16 AS BIGINT) AS a1, CAST(l_orderkey % 16 AS BIGINT) AS a2, l_suppkey % 3 AS field, l_returnflag = 'A' AS flag_row,
     l_linestatus = 'O' AS flag, l_quantity, l_extendedprice, l_discount, CAST(round(l_extendedprice * 100) AS DOUBLE) AS c, CAST(round(l_quantity * 100) AS DOUBLE) AS q, 1e0 + l_linenumber AS w FROM lineitem)"""
@@ -127,7 +149,27 @@ _DEGREE = f"{math.pi / 180:.17e}"
 _E2, _SECOND = 1 - (feed.MINOR / feed.MAJOR) ** 2, (feed.MAJOR / feed.MINOR) ** 2 - 1
 _PAIRS = ", ".join(f"({f!r}, {g!r}, {r}, {a!r}, {b!r})" for (f, c), (g, d) in zip(BEAM, BEAM[1:]) for r, (a, b) in enumerate(zip(c, d)))
 
+_NEAR = """f AS (SELECT *, CAST(floor(sy) AS BIGINT) AS fy, CAST(floor(sx) AS BIGINT) AS fx FROM s),
+      k AS (SELECT f.*, fy + a AS cy, fx + b AS cx, CASE WHEN a = 1 THEN sy - fy ELSE 1e0 - (sy - fy) END * CASE WHEN b = 1 THEN sx - fx ELSE 1e0 - (sx - fx) END AS share FROM f, generate_series(0, 1) g(a), generate_series(0, 1) h(b)),
+      c AS (SELECT * FROM k WHERE share > 0)"""
+
+
+def _sin_cos(w: resample.World) -> tuple[str, str]:
+    return f"{math.sin(w.dec)!r}e0", f"{math.cos(w.dec)!r}e0"
+
+
+_SD, _CD = _sin_cos(TARGET)
+_SD0, _CD0 = _sin_cos(SOURCE)
+
 ORACLE_SQL = {
+    "regrid_world": f"""WITH {relational.DUCK_PIX}, p AS (SELECT y, x, (x - {TARGET.x0}e0) * {TARGET.step_x}e0 AS l, (y - {TARGET.y0}e0) * {TARGET.step_y}e0 AS m FROM generate_series(0, 7) g(y), generate_series(0, 7) h(x)),
+      q AS (SELECT y, x, l, m, sqrt(1e0 - l * l - m * m) AS n FROM p), w AS (SELECT y, x, atan2(l, n * {_CD} - m * {_SD}) + {TARGET.ra}e0 AS ra, asin(m * {_CD} + n * {_SD}) AS de FROM q),
+      s AS (SELECT y, x, (sin(de) * {_CD0} - cos(de) * cos(ra - {SOURCE.ra}e0) * {_SD0}) / {SOURCE.step_y}e0 + {SOURCE.y0}e0 AS sy, cos(de) * sin(ra - {SOURCE.ra}e0) / {SOURCE.step_x}e0 + {SOURCE.x0}e0 AS sx FROM w), {_NEAR},
+      o AS (SELECT i.img, c.y, c.x, CASE WHEN count(i2.v) = count(*) THEN sum(i2.v * share) END AS other FROM (SELECT DISTINCT img FROM px) i CROSS JOIN c LEFT JOIN px i2 ON i2.img = i.img AND i2.y = c.cy AND i2.x = c.cx GROUP BY i.img, c.y, c.x)
+      SELECT o.img, o.y, o.x, round(other, 5) AS other, round(other - px.v, 5) AS difference FROM o JOIN px ON px.img = o.img AND px.y = o.y AND px.x = o.x""",
+    "circularise_beam": f"""WITH {relational.DUCK_PIX}, s AS (SELECT r, k, round(r * sin(k * {2 * math.pi / 16!r}e0) + 4e0, 9) AS sy, round(r * cos(k * {2 * math.pi / 16!r}e0) + 4e0, 9) AS sx FROM generate_series(0, 4) g(r), generate_series(0, 15) h(k)), {_NEAR},
+      o AS (SELECT i.img, c.r, c.k, CASE WHEN count(i2.v) = count(*) THEN sum(i2.v * share) END AS v FROM (SELECT DISTINCT img FROM px) i CROSS JOIN c LEFT JOIN px i2 ON i2.img = i.img AND i2.y = c.cy AND i2.x = c.cx GROUP BY i.img, c.r, c.k)
+      SELECT img AS frequency, r AS radius, round(CASE WHEN count(v) = count(*) THEN sqrt(sum(v * v) * (5e-1 / 16)) END, 5) AS voltage FROM o GROUP BY img, r""",
     "ms_samples": f"WITH {_MAIN}, {_EACH} SELECT row_id, channel, a1 * 16 + a2 AS baseline, -1e0 * (l_quantity * 1e3) AS u, -1e0 * (l_extendedprice * 1e3) AS v, -1e0 * (l_discount * 1e3) AS w, p AS pol, re, im, weight FROM each WHERE field = 1 AND NOT flag_row AND a1 <> a2 AND channel >= 1 AND channel < 3",
     "visibility_scan": f"WITH {_MAIN} SELECT channel, a1 AS antenna1, count(*) AS n, CAST(sum(c) AS BIGINT) AS re, CAST(sum(CASE WHEN flag THEN 0 ELSE w END) AS BIGINT) AS weight FROM main WHERE field = 0 AND channel >= 2 AND NOT flag_row GROUP BY channel, a1",
     # I and Q of the outer two, U and V of the inner two, whose weights are w + 1 and w + 2; the outer ones' are w and w + 3

@@ -9,11 +9,14 @@ orders for frequency channels.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.kernels import w_kernel
-from ..sources.tables import register
+from ..operators.spill import checkpoint
+from ..sources.tables import TABLES, register
 
 VIS = """vis AS (
   SELECT l_orderkey, l_suppkey % 4 AS channel, l_partkey % 16 AS ant1, l_orderkey % 16 AS ant2, CAST(l_linenumber % 4 AS BIGINT) AS pol,
@@ -31,6 +34,13 @@ QUANT = f"""{VIS}, fold AS (
   SELECT channel, pol, CAST(floor(us / 8e0) AS BIGINT) AS u, CAST(floor(vs / 8e0) AS BIGINT) AS v, us - 8 * CAST(floor(us / 8e0) AS BIGINT) AS sub_u, vs - 8 * CAST(floor(vs / 8e0) AS BIGINT) AS sub_v,
          ws % 4 AS w_plane, CAST(floor(ws / 4e0) AS BIGINT) AS w_slice, re, im, wt FROM q
 )"""
+# records by all their keys, what every later step starts from; Spark writes them once
+COMPRESSED = """compressed AS (SELECT channel, pol, u, v, sub_u, sub_v, w_plane, w_slice, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im, CAST(sum(wt) AS BIGINT) AS wt,
+         CAST(sum(re) AS BIGINT) AS model_re, CAST(sum(im) AS BIGINT) AS model_im FROM c GROUP BY channel, pol, u, v, sub_u, sub_v, w_plane, w_slice)"""
+# density of robust weights in hundredths
+WEIGHED = """grid AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im, CAST(sum(wt) AS BIGINT) AS w FROM compressed GROUP BY channel, pol, u, v),
+      mean AS (SELECT channel, CAST(sum(w * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS mean_w FROM grid WHERE pol = 0 GROUP BY channel),
+      d AS (SELECT g.channel, g.pol, g.u, g.v, g.re, g.im, CAST(floor(1e2 / (g.w * (25e0 / m.mean_w) + 1e0) + 5e-1) AS BIGINT) AS d FROM grid g JOIN mean m ON m.channel = g.channel)"""
 CELLS = f"""{QUANT}, grid AS (SELECT channel, pol, u, v, CAST(sum(wt) AS BIGINT) AS w FROM c GROUP BY channel, pol, u, v)"""
 MEAN = f"""{CELLS}, mean AS (SELECT channel, CAST(sum(w * w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS mean_w FROM grid WHERE pol = 0 GROUP BY channel)"""
 PIX = "PIXELS"
@@ -38,8 +48,6 @@ SPARK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(flo
 DUCK_PIX = "px AS (SELECT vec_id AS img, CAST(label AS BIGINT) AS pol, CAST(floor(p / 8e0) AS BIGINT) AS y, CAST(p % 8 AS BIGINT) AS x, CAST(round(CAST(embedding[p + 1] AS DOUBLE) * 1e4) AS BIGINT) AS v FROM embeddings, generate_series(0, 63) t(p))"
 SPARK_PIECES, DUCK_PIECES = " LATERAL VIEW explode(sequence(CAST(0 AS BIGINT), n - 1)) t AS k", ", unnest(range(n)) t(k)"
 TAPS = "taps AS (SELECT 0 AS j, 1 AS k UNION ALL SELECT 1, 2 UNION ALL SELECT 2, 1)"
-# densities of robust weights in hundredths
-DENSITY = f"""{MEAN}, d AS (SELECT g.channel, g.pol, g.u, g.v, CAST(floor(1e2 / (g.w * (25e0 / m.mean_w) + 1e0) + 5e-1) AS BIGINT) AS d FROM grid g JOIN mean m ON m.channel = g.channel)"""
 
 
 def kernel_rows(planes: int = 4, oversample: int = 8, taps: int = 8, cell: float = 10.0, step: float = 50.0) -> str:
@@ -57,16 +65,34 @@ KERNEL = f"k(p, s, j, re, im) AS (VALUES {kernel_rows()})"
 BLOCK = 4096
 
 
+def before_each(rows: str, key: str, value: str, name: str, first: str) -> str:
+    """CTEs ``name`` (key, before): the ``value`` of the row of ``rows`` with the next smaller key, by windows over blocks of keys and over one row a block."""
+    return f"""{name}_b AS (SELECT {key}, {value} AS x, CAST(floor({key} / {BLOCK}e0) AS BIGINT) AS sup FROM {rows}),
+      {name}_e AS (SELECT sup, max_by(x, {key}) AS x FROM {name}_b GROUP BY sup), {name}_p AS (SELECT sup, lag(x) OVER (ORDER BY sup) AS x FROM {name}_e),
+      {name}_w AS (SELECT {key}, sup, row_number() OVER (PARTITION BY sup ORDER BY {key}) AS k, lag(x) OVER (PARTITION BY sup ORDER BY {key}) AS x FROM {name}_b),
+      {name} AS (SELECT w.{key}, CASE WHEN w.k = 1 THEN p.x ELSE w.x END AS {first} FROM {name}_w w JOIN {name}_p p ON p.sup = w.sup)"""
+
+
+def sum_before(rows: str, key: str, value: str, name: str) -> str:
+    """CTEs ``name`` (key, base): the sum of ``value`` over the rows of ``rows`` with smaller keys, in two levels too."""
+    return f"""{name}_b AS (SELECT {key}, {value} AS x, CAST(floor({key} / {BLOCK}e0) AS BIGINT) AS sup FROM {rows}),
+      {name}_e AS (SELECT sup, sum(x) AS x FROM {name}_b GROUP BY sup), {name}_p AS (SELECT sup, sum(x) OVER (ORDER BY sup) - x AS x FROM {name}_e),
+      {name} AS (SELECT b.{key}, p.x + sum(b.x) OVER (PARTITION BY b.sup ORDER BY b.{key}) - b.x AS base FROM {name}_b b JOIN {name}_p p ON p.sup = b.sup)"""
+
+
 def runs(value: str) -> str:
-    """CTEs that number the runs of equal ``value`` in the order of event_id: within blocks of ids first, then one row a block."""
+    """CTEs that number the runs of equal ``value`` in the order of event_id: within blocks of ids, then over blocks, and over blocks of blocks."""
     return f"""b AS (SELECT event_id, {value} AS x, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events),
       e AS (SELECT *, lag(x) OVER (PARTITION BY blk ORDER BY event_id) AS before, row_number() OVER (PARTITION BY blk ORDER BY event_id) AS k FROM b),
-      ends AS (SELECT blk, max_by(x, event_id) AS x FROM b GROUP BY blk), prev AS (SELECT blk, lag(x) OVER (ORDER BY blk) AS x FROM ends),
+      ends AS (SELECT blk, max_by(x, event_id) AS x FROM b GROUP BY blk), {before_each("ends", "blk", "x", "prev", "x")},
       n AS (SELECT e.event_id, e.x, e.blk, CASE WHEN e.x = CASE WHEN e.k = 1 THEN p.x ELSE e.before END THEN 0 ELSE 1 END AS new FROM e JOIN prev p ON p.blk = e.blk),
-      t AS (SELECT blk, sum(new) AS c FROM n GROUP BY blk), o AS (SELECT blk, sum(c) OVER (ORDER BY blk) - c AS base FROM t),
+      t AS (SELECT blk, sum(new) AS c FROM n GROUP BY blk), {sum_before("t", "blk", "c", "o")},
       r AS (SELECT n.event_id, n.x, CAST(o.base + sum(n.new) OVER (PARTITION BY n.blk ORDER BY n.event_id) AS BIGINT) AS run FROM n JOIN o ON o.blk = n.blk)"""
 
 
+#: Eight places of an axis, and sums of an image's rows at each of them.
+ALONG_X = """n(o) AS (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT)), (CAST(3 AS BIGINT)), (CAST(4 AS BIGINT)), (CAST(5 AS BIGINT)), (CAST(6 AS BIGINT)), (CAST(7 AS BIGINT))),
+      a AS (SELECT img, px.y, n.o AS x, sum(v * cos(7853981633974483e-16 * ((n.o - 4) * (px.x - 4)))) AS c, sum(v * sin(7853981633974483e-16 * ((n.o - 4) * (px.x - 4)))) AS s FROM px CROSS JOIN n GROUP BY img, px.y, n.o)"""
 BEAM = "beam AS (SELECT DISTINCT y, x, 1e0 / (1e0 + 5e-2 * ((y - 4) * (y - 4) + (x - 4) * (x - 4))) AS b FROM px)"
 
 SQL = {
@@ -85,27 +111,25 @@ SQL = {
     "density_natural": f"WITH {CELLS} SELECT channel, pol, u, v, 1 AS density FROM grid",
     "density_uniform": f"WITH {CELLS} SELECT channel, round(sqrt(sum(1e0 / w)) / count(*), 9) AS rms, round(sqrt(sum(1e0 / w)) / count(*) * sqrt(sum(w)), 9) AS normalized_rms FROM grid WHERE pol = 0 AND w > 0 GROUP BY channel",
     "density_robust": f"WITH {MEAN} SELECT g.channel, pol, u, v, round(1e0 / (w * (25e0 / mean_w) + 1e0), 9) AS density FROM grid g JOIN mean m ON m.channel = g.channel",
-    "weighted_grid": f"""WITH {DENSITY} SELECT c.channel, c.pol, c.u, c.v, CAST(sum(re * wt * d) AS BIGINT) AS re, CAST(sum(im * wt * d) AS BIGINT) AS im, max(d) AS density
-      FROM c JOIN d ON d.channel = c.channel AND d.pol = c.pol AND d.u = c.u AND d.v = c.v GROUP BY c.channel, c.pol, c.u, c.v""",
+    "weighted_grid": f"WITH COMPRESSED, {WEIGHED} SELECT channel, pol, u, v, re * d AS re, im * d AS im, d AS density FROM d",
     # separable kernel: taps along u are summed before those along v; conjugate kernel, density and weight multiplied in
-    "grid_kernel": f"""WITH {DENSITY}, {KERNEL},
-      z AS (SELECT c.channel, w_slice, w_plane, c.pol, c.u, c.v, sub_u, sub_v, CAST(sum(re * wt * d) AS BIGINT) AS re, CAST(sum(im * wt * d) AS BIGINT) AS im
-            FROM c JOIN d ON d.channel = c.channel AND d.pol = c.pol AND d.u = c.u AND d.v = c.v GROUP BY c.channel, w_slice, w_plane, c.pol, c.u, c.v, sub_u, sub_v),
+    "grid_kernel": f"""WITH COMPRESSED, {KERNEL}, {WEIGHED},
+      z AS (SELECT c.channel, w_slice, w_plane, c.pol, c.u, c.v, sub_u, sub_v, c.re * d.d AS re, c.im * d.d AS im FROM compressed c JOIN d ON d.channel = c.channel AND d.pol = c.pol AND d.u = c.u AND d.v = c.v),
       a AS (SELECT channel, w_slice, w_plane, pol, u + j AS u, v, sub_v, CAST(sum(z.re * k.re + z.im * k.im) AS BIGINT) AS re, CAST(sum(z.im * k.re - z.re * k.im) AS BIGINT) AS im
             FROM z JOIN k ON k.p = z.w_plane AND k.s = z.sub_u GROUP BY channel, w_slice, w_plane, pol, u + j, v, sub_v)
       SELECT channel, w_slice, pol, u, v + j AS v, CAST(sum(a.re * k.re + a.im * k.im) AS BIGINT) AS re, CAST(sum(a.im * k.re - a.re * k.im) AS BIGINT) AS im
       FROM a JOIN k ON k.p = a.w_plane AND k.s = a.sub_v GROUP BY channel, w_slice, pol, u, v + j""",
-    # each record's prediction from the model grid by the same kernel; the residual is the record less weight x prediction, in units of 1e-4
-    "degrid_kernel": f"""WITH {QUANT}, {KERNEL}, model AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM c GROUP BY channel, pol, u, v),
-      z AS (SELECT channel, w_slice, w_plane, pol, u, v, sub_u, sub_v, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im, CAST(sum(wt) AS BIGINT) AS wt
-            FROM c GROUP BY channel, w_slice, w_plane, pol, u, v, sub_u, sub_v),
-      pts AS (SELECT DISTINCT channel, w_plane, pol, u, v, sub_u, sub_v FROM z),
-      f AS (SELECT pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, sub_u, sub_v, CAST(sum(m.re * (a.re * b.re - a.im * b.im) - m.im * (a.re * b.im + a.im * b.re)) AS BIGINT) AS re,
-              CAST(sum(m.re * (a.re * b.im + a.im * b.re) + m.im * (a.re * b.re - a.im * b.im)) AS BIGINT) AS im
-            FROM pts JOIN k a ON a.p = pts.w_plane AND a.s = pts.sub_u JOIN k b ON b.p = pts.w_plane AND b.s = pts.sub_v
-            JOIN model m ON m.channel = pts.channel AND m.pol = pts.pol AND m.u = pts.u + a.j AND m.v = pts.v + b.j GROUP BY pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, sub_u, sub_v)
+    # each record's prediction from the model grid by the same kernel, along v and then along u; the residual is the record less weight x prediction, in units of 1e-4
+    "degrid_kernel": f"""WITH COMPRESSED, {KERNEL}, model AS (SELECT channel, pol, u, v, CAST(sum(model_re) AS BIGINT) AS re, CAST(sum(model_im) AS BIGINT) AS im FROM compressed GROUP BY channel, pol, u, v),
+      pts AS (SELECT DISTINCT channel, w_plane, pol, u, v, sub_u, sub_v FROM compressed),
+      need AS (SELECT DISTINCT channel, w_plane, pol, u + j AS gu, v, sub_v FROM pts JOIN k ON k.p = pts.w_plane AND k.s = pts.sub_u),
+      r AS (SELECT n.channel, n.w_plane, n.pol, n.gu, n.v, n.sub_v, CAST(sum(m.re * k.re - m.im * k.im) AS BIGINT) AS re, CAST(sum(m.re * k.im + m.im * k.re) AS BIGINT) AS im
+            FROM need n JOIN k ON k.p = n.w_plane AND k.s = n.sub_v JOIN model m ON m.channel = n.channel AND m.pol = n.pol AND m.u = n.gu AND m.v = n.v + k.j GROUP BY n.channel, n.w_plane, n.pol, n.gu, n.v, n.sub_v),
+      f AS (SELECT pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, pts.sub_u, pts.sub_v, CAST(sum(r.re * k.re - r.im * k.im) AS BIGINT) AS re, CAST(sum(r.re * k.im + r.im * k.re) AS BIGINT) AS im
+            FROM pts JOIN k ON k.p = pts.w_plane AND k.s = pts.sub_u JOIN r ON r.channel = pts.channel AND r.w_plane = pts.w_plane AND r.pol = pts.pol AND r.v = pts.v AND r.sub_v = pts.sub_v AND r.gu = pts.u + k.j
+            GROUP BY pts.channel, pts.w_plane, pts.pol, pts.u, pts.v, pts.sub_u, pts.sub_v)
       SELECT z.channel, z.w_slice, z.w_plane, z.pol, z.u, z.v, z.sub_u, z.sub_v, z.wt AS weight, z.re * 10000 - z.wt * f.re AS re, z.im * 10000 - z.wt * f.im AS im
-      FROM z JOIN f ON f.channel = z.channel AND f.w_plane = z.w_plane AND f.pol = z.pol AND f.u = z.u AND f.v = z.v AND f.sub_u = z.sub_u AND f.sub_v = z.sub_v""",
+      FROM compressed z JOIN f ON f.channel = z.channel AND f.w_plane = z.w_plane AND f.pol = z.pol AND f.u = z.u AND f.v = z.v AND f.sub_u = z.sub_u AND f.sub_v = z.sub_v""",
     "conv_grid_k3": f"""WITH {QUANT}, {TAPS}, s AS (SELECT channel, w_slice, pol, u, v, CAST(sum(re * wt) AS BIGINT) AS re, CAST(sum(im * wt) AS BIGINT) AS im FROM c GROUP BY channel, w_slice, pol, u, v)
       SELECT channel, w_slice, pol, u + a.j AS u, v + b.j AS v, CAST(sum(re * a.k * b.k) AS BIGINT) AS re, CAST(sum(im * a.k * b.k) AS BIGINT) AS im FROM s CROSS JOIN taps a CROSS JOIN taps b GROUP BY channel, w_slice, pol, u + a.j, v + b.j""",
     "degrid_k3": f"""WITH {CELLS}, {TAPS}, p AS (SELECT DISTINCT channel, pol, u, v FROM c), f AS (SELECT channel, pol, p.u, p.v, p.u + a.j AS gu, p.v + b.j AS gv, a.k * b.k AS k FROM p CROSS JOIN taps a CROSS JOIN taps b)
@@ -115,10 +139,12 @@ SQL = {
       p AS (SELECT DISTINCT channel, u, v FROM c), d AS (SELECT DISTINCT u, v FROM p), t AS (SELECT d.u, d.v, flux, -6283185307179586e-15 * (l * d.u + m * d.v) AS phase FROM d CROSS JOIN s),
       f AS (SELECT u, v, CAST(sum(CAST(round(flux * cos(phase) * 1e6) AS BIGINT)) AS BIGINT) AS re, CAST(sum(CAST(round(flux * sin(phase) * 1e6) AS BIGINT)) AS BIGINT) AS im FROM t GROUP BY u, v)
       SELECT p.channel, p.u, p.v, floor(re * 1e-3 + 5e-1) / 1e3 AS re, floor(im * 1e-3 + 5e-1) / 1e3 AS im FROM p JOIN f ON f.u = p.u AND f.v = p.v""",
-    "dft_grid_to_image": f"""WITH {PIX}, n AS (SELECT DISTINCT y AS r FROM px), o AS (SELECT a.r AS y, b.r AS x FROM n a CROSS JOIN n b)
-      SELECT img, o.y, o.x, round(sum(v * cos(7853981633974483e-16 * ((o.y - 4) * (px.y - 4) + (o.x - 4) * (px.x - 4)))), 3) + 0e0 AS value FROM px CROSS JOIN o GROUP BY img, o.y, o.x""",
-    "dft_image_to_grid": f"""WITH {PIX}, n AS (SELECT DISTINCT y AS r FROM px), o AS (SELECT a.r AS y, b.r AS x FROM n a CROSS JOIN n b)
-      SELECT img, o.y, o.x, round(sum(v * cos(7853981633974483e-16 * ((o.y - 4) * (px.y - 4) + (o.x - 4) * (px.x - 4)))), 3) + 0e0 AS re, round(-sum(v * sin(7853981633974483e-16 * ((o.y - 4) * (px.y - 4) + (o.x - 4) * (px.x - 4)))), 3) + 0e0 AS im FROM px CROSS JOIN o GROUP BY img, o.y, o.x""",
+    # along x, then along y
+    "dft_grid_to_image": f"""WITH {PIX}, {ALONG_X}
+      SELECT img, n.o AS y, a.x, round(sum(c * cos(7853981633974483e-16 * ((n.o - 4) * (a.y - 4))) - s * sin(7853981633974483e-16 * ((n.o - 4) * (a.y - 4)))), 3) + 0e0 AS value FROM a CROSS JOIN n GROUP BY img, n.o, a.x""",
+    "dft_image_to_grid": f"""WITH {PIX}, {ALONG_X}
+      SELECT img, n.o AS y, a.x, round(sum(c * cos(7853981633974483e-16 * ((n.o - 4) * (a.y - 4))) - s * sin(7853981633974483e-16 * ((n.o - 4) * (a.y - 4)))), 3) + 0e0 AS re,
+        round(-sum(s * cos(7853981633974483e-16 * ((n.o - 4) * (a.y - 4))) + c * sin(7853981633974483e-16 * ((n.o - 4) * (a.y - 4)))), 3) + 0e0 AS im FROM a CROSS JOIN n GROUP BY img, n.o, a.x""",
     "fftshift": f"WITH {PIX} SELECT img, (y + 4) % 8 AS y, (x + 4) % 8 AS x, v FROM px",
     "taper_w_correct": f"WITH {PIX}, t AS (SELECT DISTINCT y AS i, 1e0 - 1e-2 * (y - 4) * (y - 4) AS k FROM px) SELECT img, px.y, px.x, round(v / (a.k * b.k) * sqrt(1e0 - 1e-4 * ((px.y - 4) * (px.y - 4) + (px.x - 4) * (px.x - 4))), 6) AS value FROM px JOIN t a ON a.i = px.y JOIN t b ON b.i = px.x",
     "scale_image": f"WITH {PIX} SELECT img, pol, y, x, v * (pol + 2) AS value FROM px",
@@ -137,15 +163,21 @@ SQL = {
     "accumulate_components": f"WITH {PIX}, r AS (SELECT img, pol, y, x, v, row_number() OVER (PARTITION BY img ORDER BY abs(v) DESC, y, x) AS k FROM px) SELECT pol, y, x, CAST(sum(v) AS BIGINT) AS flux FROM r WHERE k <= 3 GROUP BY pol, y, x",
     "totals_nansum": f"WITH {PIX} SELECT pol, round(sum(v) / (6283185307179586e-15 * 6e0 / (8e0 * ln(2e0))), 4) AS total FROM px GROUP BY pol",
     "data_min_max": f"WITH {PIX} SELECT img, min(v) AS datamin, max(v) AS datamax FROM px GROUP BY img",
+    # behind a beam that leaves NaN outside, statistics and thumbnails go without it
+    "nan_statistics": f"""WITH {PIX}, {BEAM}, i AS (SELECT img, px.y, px.x, CASE WHEN b < 5e-1 THEN CAST('NaN' AS DOUBLE) ELSE v / b END AS v FROM px JOIN beam ON beam.y = px.y AND beam.x = px.x)
+      SELECT img, round(min(CASE WHEN NOT isnan(v) THEN v END), 6) AS datamin, round(max(CASE WHEN NOT isnan(v) THEN v END), 6) AS datamax, round(sum(CASE WHEN NOT isnan(v) THEN v END) / (6283185307179586e-15 * 6e0 / (8e0 * ln(2e0))), 4) AS total, CAST(sum(CASE WHEN isnan(v) THEN 1 ELSE 0 END) AS BIGINT) AS lost FROM i GROUP BY img""",
+    "thumbnail_mean": f"WITH {PIX} SELECT img, CAST(floor(y / 4e0) AS BIGINT) AS y, CAST(floor(x / 4e0) AS BIGINT) AS x, CAST(sum(v) AS DOUBLE) / 16e0 AS mean FROM px GROUP BY img, CAST(floor(y / 4e0) AS BIGINT), CAST(floor(x / 4e0) AS BIGINT)",
     "downsample_blocks": f"WITH {PIX} SELECT img, CAST(floor(y / 2e0) AS BIGINT) AS y, CAST(floor(x / 2e0) AS BIGINT) AS x, CAST(sum(v) AS BIGINT) AS sum4 FROM px GROUP BY img, CAST(floor(y / 2e0) AS BIGINT), CAST(floor(x / 2e0) AS BIGINT)",
     "beam_moments": f"WITH {PIX} SELECT img, CAST(sum(abs(v) * (x - 4) * (x - 4)) AS BIGINT) AS sxx, CAST(sum(abs(v) * (x - 4) * (y - 4)) AS BIGINT) AS sxy, CAST(sum(abs(v) * (y - 4) * (y - 4)) AS BIGINT) AS syy, CAST(sum(abs(v)) AS BIGINT) AS s FROM px GROUP BY img",
     "primary_beam_interp": f"""WITH {PIX}, b AS (SELECT 0 AS r, 1e0 AS volt UNION ALL SELECT 1, 9e-1 UNION ALL SELECT 2, 7e-1 UNION ALL SELECT 3, 4e-1 UNION ALL SELECT 4, 2e-1 UNION ALL SELECT 5, 1e-1 UNION ALL SELECT 6, 5e-2),
       d AS (SELECT r, volt, lead(volt) OVER (ORDER BY r) - volt AS step FROM b), o AS (SELECT DISTINCT y, x, sqrt(CAST((y - 4) * (y - 4) + (x - 4) * (x - 4) AS DOUBLE)) AS r FROM px)
       SELECT o.y, o.x, round((volt + step * (o.r - d.r)) * (volt + step * (o.r - d.r)), 9) AS power FROM o JOIN d ON d.r = CAST(floor(o.r) AS BIGINT) WHERE step IS NOT NULL""",
     "fits_axis_flip": f"WITH {PIX} SELECT img, y, 7 - x AS x, v FROM px",
-    "fits_grid_unpivot": f"WITH {QUANT}, s AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM c GROUP BY channel, pol, u, v) SELECT channel, pol, u, v, 0 AS part, re AS value FROM s UNION ALL SELECT channel, pol, u, v, 1, im FROM s",
+    "fits_grid_unpivot": f"WITH {QUANT}, s AS (SELECT channel, pol, u, v, CAST(sum(re) AS BIGINT) AS re, CAST(sum(im) AS BIGINT) AS im FROM c GROUP BY channel, pol, u, v) SELECT channel, pol, u, v, part, CASE WHEN part = 0 THEN re ELSE im END AS value FROM s CROSS JOIN (VALUES (0), (1)) p(part)",
     "fits_pol_codes": "WITH p AS (SELECT 1 AS stokes, 1 AS code UNION ALL SELECT 2, 2 UNION ALL SELECT 3, 3 UNION ALL SELECT 4, 4 UNION ALL SELECT 5, -1 UNION ALL SELECT 6, -3 UNION ALL SELECT 7, -4 UNION ALL SELECT 8, -2), d AS (SELECT stokes, code, code - lag(code) OVER (ORDER BY stokes) AS step FROM p WHERE stokes <= 4) SELECT stokes, code, step FROM d",
-    "longest_baseline": "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 1e2 AS y FROM supplier) SELECT round(max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS longest FROM a p JOIN a q ON p.id < q.id",
+    # of antennas in one line only the two ends can be farthest from another
+    "longest_baseline": """WITH l AS (SELECT s_nationkey * 1e2 AS y, min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier GROUP BY s_nationkey)
+      SELECT round(max(sqrt(greatest((p.hi - q.lo) * (p.hi - q.lo), (q.hi - p.lo) * (q.hi - p.lo)) + (p.y - q.y) * (p.y - q.y))), 6) AS longest FROM l p JOIN l q ON p.y <= q.y""",
     "all_pairs_uvw": "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 1e2 AS y FROM supplier) SELECT p.id AS a1, q.id AS a2, round(q.x - p.x, 6) AS u, round(q.y - p.y, 6) AS v FROM a p JOIN a q ON p.id < q.id",
     "fk_lookup_spw": "SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_orderstatus = 'F'",
     "corrprod_outer_missing": "SELECT n.n_nationkey AS baseline, p.r_regionkey AS pol, count(s.s_suppkey) AS present, CASE WHEN count(s.s_suppkey) = 0 THEN 1 ELSE 0 END AS missing FROM nation n CROSS JOIN region p LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey AND s.s_suppkey % 5 = p.r_regionkey GROUP BY n.n_nationkey, p.r_regionkey",
@@ -169,10 +201,11 @@ SQL = {
     "flamegraph_exclusive": "WITH s AS (SELECT event_type AS stack, CAST(round(value * 100) AS BIGINT) AS t FROM events UNION ALL SELECT concat('user;', event_type), CAST(round(value * 40) AS BIGINT) FROM events UNION ALL SELECT event_type, -CAST(round(value * 40) AS BIGINT) FROM events) SELECT stack, CAST(sum(t) AS BIGINT) AS exclusive FROM s GROUP BY stack",
     "stats_pivot": "SELECT user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS click, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS view_, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchase FROM events GROUP BY user_id",
     "mean_position_time": "SELECT count(DISTINCT ts) AS n_times, round(avg(s.x), 6) AS x FROM events CROSS JOIN (SELECT avg(s_acctbal) AS x FROM supplier) s",
-    "distinct_inverse": "WITH u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS place FROM (SELECT DISTINCT user_id FROM events) v) SELECT event_id, place FROM events JOIN u ON u.user_id = events.user_id",
+    "distinct_inverse": f"""WITH d AS (SELECT DISTINCT user_id FROM events), k AS (SELECT user_id, CAST(floor(user_id / 64e0) AS BIGINT) AS blk FROM d), t AS (SELECT blk, count(*) AS c FROM k GROUP BY blk), {sum_before("t", "blk", "c", "o")},
+      u AS (SELECT user_id, CAST(o.base + row_number() OVER (PARTITION BY k.blk ORDER BY user_id) AS BIGINT) AS place FROM k JOIN o ON o.blk = k.blk) SELECT event_id, place FROM events JOIN u ON u.user_id = events.user_id""",
     "equal_diameters": "SELECT CASE WHEN min(s_nationkey) = max(s_nationkey) THEN 1 ELSE 0 END AS equal, count(DISTINCT s_nationkey) AS n FROM supplier",
-    "equal_spacing": f"""WITH b AS (SELECT event_id, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events), ends AS (SELECT blk, min(event_id) AS lo, max(event_id) AS hi FROM b GROUP BY blk),
-      d AS (SELECT lead(event_id) OVER (PARTITION BY blk ORDER BY event_id) - event_id AS step FROM b UNION ALL SELECT lead(lo) OVER (ORDER BY blk) - hi FROM ends) SELECT min(step) AS least, max(step) AS most FROM d""",
+    "equal_spacing": f"""WITH b AS (SELECT event_id, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events), ends AS (SELECT blk, min(event_id) AS lo, max(event_id) AS hi FROM b GROUP BY blk), {before_each("ends", "blk", "hi", "prev", "hi")},
+      d AS (SELECT lead(event_id) OVER (PARTITION BY blk ORDER BY event_id) - event_id AS step FROM b UNION ALL SELECT e.lo - p.hi FROM ends e JOIN prev p ON p.blk = e.blk) SELECT min(step) AS least, max(step) AS most FROM d""",
     "sort_by_baseline": f"WITH {VIS} SELECT ant1 * 16 + ant2 AS baseline, l_orderkey, pol, re FROM vis WHERE ant1 <> ant2 ORDER BY baseline, l_orderkey, pol, re",
     "target_priority": "WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 2 END, c_custkey) AS k FROM customer) SELECT c_custkey, c_mktsegment FROM r WHERE k = 1",
     "duration_format": "SELECT event_id, concat(CAST(CAST(floor(event_id / 36e2) AS BIGINT) AS VARCHAR(20)), ':', lpad(CAST(CAST(floor(event_id / 6e1) AS BIGINT) % 60 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST(event_id % 60 AS VARCHAR(20)), 2, '0')) AS duration FROM events",
@@ -182,12 +215,16 @@ SQL = {
 
 def text(name: str, dialect: str) -> str:
     spark = dialect == "spark"
-    return SQL[name].replace("WITH PIXELS", "WITH " + (SPARK_PIX if spark else DUCK_PIX)).replace("FROM h PIECES", "FROM h" + (SPARK_PIECES if spark else DUCK_PIECES))
+    t = SQL[name].replace("WITH PIXELS", "WITH " + (SPARK_PIX if spark else DUCK_PIX)).replace("FROM h PIECES", "FROM h" + (SPARK_PIECES if spark else DUCK_PIECES))
+    return t.replace("WITH COMPRESSED, ", "WITH " if spark else f"WITH {QUANT}, {COMPRESSED}, ")
 
 
 def query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, [t for t in TABLES if re.search(rf"\b{t}\b", text(name, "spark"))])
+        if "WITH COMPRESSED" in SQL[name]:
+            register(spark, sf_dir, ["lineitem"])
+            checkpoint(spark.sql(f"WITH {QUANT}, {COMPRESSED} SELECT * FROM compressed")).createOrReplaceTempView("compressed")
         return spark.sql(text(name, "spark"))
 
     return run
