@@ -141,14 +141,43 @@ def test_short_boilerplate(spark):
 
 
 def test_exact_collisions():
-    """Equal keys, other bytes: chained, not merged; the directory doubles until buckets fit."""
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"bucket": [0, 0, 0], "key": [5, 5, 5], "doc_id": [3, 2, 1], "n": [1, 1, 1], "text": ["a", "b", "a"]})
-    got = pa.Table.from_batches(list(exact_dedup._own([batch]))).to_pydict()
-    assert sorted(zip(got["keep_id"], got["group_size"])) == [(1, 2), (2, 1)]
-    d = exact_dedup.Directory(np.array([9, 0, 1, 1, 0, 0, 0, 1]), 2)
-    assert d.depth == 3 and len(set(d.buckets)) == 4 and d.buckets[0] != d.buckets[1]
+    """Equal keys, other bytes: chained, not merged, and not mixed with the next owner's."""
+    batch = pa.RecordBatch.from_pydict({"owner": pa.array([0, 0, 0, 1], pa.int32()), "key": [5, 5, 5, 5 - (1 << 63)], "doc_id": [3, 2, 1, 9], "n": [1, 1, 1, 4], "text": ["a", "b", "a", "a"]})
+    got = pa.Table.from_batches(list(exact_dedup._own(1, 2)([batch]))).to_pydict()
+    assert sorted(zip(got["owner"], got["keep_id"], got["group_size"])) == [(0, 1, 2), (0, 2, 1), (1, 9, 4)]
+
+
+@pytest.mark.parametrize("skip", [0, 5])
+def test_extendible_directory(skip):
+    """Buckets split and the directory doubles until none is overfull, however close the keys; every entry leads to the bucket whose prefix it has."""
+    rng = np.random.default_rng(3)
+    first = np.uint64(9) << np.uint64(64 - skip) if skip else np.uint64(0)
+    keys = np.unique(rng.integers(0, 1 << (64 - skip), 900, dtype=np.uint64) | first)
+    d = exact_dedup.Directory(keys, 7, skip)
+    assert len(d.entries) == 1 << d.depth and max(local for local, _, _ in d.buckets) == d.depth and all(hi - lo <= 7 for _, lo, hi in d.buckets)
+    found = d.find(keys)
+    for b, (local, lo, hi) in enumerate(d.buckets):
+        assert (found[lo:hi] == b).all() and d.entries.count(b) == 1 << (d.depth - local)
+    close = first + np.arange(40, dtype=np.uint64)  # equal in all but the last bits: one long chain
+    chain = exact_dedup.Directory(close, 7, skip)
+    assert chain.depth == exact_dedup.DEEPEST and (chain.find(close) == 0).all()
+    assert exact_dedup.Directory(keys[:3], 7, skip).depth == 0
+
+
+def test_exact_index(spark, rows):
+    """The index has repeated keys only, in unsigned order by owner and file, and its buckets hold no more keys than they may; any capacity and number of owners gives
+    the same groups."""
+    docs = frame(spark, rows + [(200 + i, f"pair {i // 2}") for i in range(600)])
+    keys, index = exact_dedup.build(docs, capacity=3, owned=50)
+    got = index.toPandas()
+    repeated = keys.groupBy("key").count().where("count > 1").toPandas()
+    assert set(got.key) == set(repeated.key) and got.group_size.sum() == repeated["count"].sum()
+    assert got.groupby(["owner", "depth", "bucket"]).key.nunique().max() <= 3
+    unsigned = got.key.to_numpy().view(np.uint64)
+    assert all(int(k) >> (64 - d) == b % (1 << 64) if d else b == 0 for k, d, b in zip(unsigned.tolist(), got.depth, got.bucket))
+    assert (unsigned >> np.uint64(64 - 4) <= np.uint64(15)).all()
+    want = sorted(map(tuple, exact_dedup.groups(docs).collect()))
+    assert sorted(map(tuple, exact_dedup.groups(docs, capacity=1, owned=9).collect())) == want and len(want) == 600 + sum(i is not None for i, _ in rows)
 
 
 def test_pieces_match_library():

@@ -37,6 +37,7 @@ def tables():
         texts.append(" ".join(near))
     texts += [f"{say(30)}\n{notice}\n{say(40)}\n{notice if i == 3 else say(5)}" for i in range(9)]  # on many sites
     texts += [f"{say(60)}\n{local}\n{say(20)}" for _ in range(3)]  # on three sites
+    texts += [f"{say(30)}\n\nMenu\n{say(30)}" for _ in range(8)]  # a short line on all sites
     texts += [f"{say(45)} {passage} {say(45)}" for _ in range(6)] + [f"{passage}\n{passage} {say(30)}", say(2600)]
     rows = [(i, t, ["en", "de", "it", None][i % 4] if i > 770 else "en", f"s{i % 8}", len(t or "")) for i, t in enumerate(texts, 1)]
     return rows, [(i, 1, 0) for i in good] + [(i, 0, 0) for i in bad]
@@ -90,7 +91,7 @@ def plain_lines(rows):
         for n, line in enumerate(text.split("\n")):
             sites[key(line)].add(site)
             first.setdefault(key(line), (i, n))
-    gone = lambda i, n, k: k.count(" ") >= 3 and len(sites[k]) >= 5 and first[k] != (i, n)
+    gone = lambda i, n, k: k != "" and len(sites[k]) >= 5 and first[k] != (i, n)
     return [(r[0], "\n".join(x for n, x in enumerate(r[1].split("\n")) if not gone(r[0], n, key(x)))) for r in rows]
 
 
