@@ -29,6 +29,10 @@ def parse_stokes(text: str) -> list[str]:
     return sorted(text, key="IQUV".index)
 
 
+def unparse_stokes(pols: list[str]) -> str:
+    return "".join(sorted(pols, key="IQUV".index))
+
+
 def feed_phases(a1: np.ndarray, a2: np.ndarray) -> np.ndarray:
     """Diagonal phases of RR, RL, LR, LL for feed angles of both antennas."""
     return np.exp(1j * np.stack([a1 - a2, a1 + a2, -(a1 + a2), a2 - a1], -1))

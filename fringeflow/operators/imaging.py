@@ -7,6 +7,7 @@ fix, so batches of rows are worked on where they are and nothing is shuffled.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STACK = 256
+#: FWHM of a Gaussian in standard deviations.
+FWHM = math.sqrt(8 * math.log(2))
+
+
+class Beam(NamedTuple):
+    """Full widths at half maximum in pixels, and the angle of the major axis in [0, pi), from axis 0 toward axis 1."""
+
+    major: float
+    minor: float
+    theta: float
+
+    @classmethod
+    def of(cls, sigma1: float, sigma2: float, theta: float) -> Beam:
+        """The beam of a Gaussian with standard deviation ``sigma1`` along ``theta`` and ``sigma2`` across it."""
+        if sigma1 < sigma2:
+            sigma1, sigma2, theta = sigma2, sigma1, theta + math.pi / 2
+        return cls(sigma1 * FWHM, sigma2 * FWHM, theta % math.pi)
+
+
+NO_BEAM = Beam(math.nan, math.nan, math.nan)
 
 
 def grid_to_image(grid: np.ndarray) -> np.ndarray:
@@ -76,8 +97,8 @@ def moments(psf: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     return np.array([[(v * x * x).sum(), (v * x * y).sum()], [(v * x * y).sum(), (v * y * y).sum()]]) / v.sum() * (1 - threshold) / (1 - (1 + lost) * threshold)
 
 
-def fit_beam(psf: np.ndarray, threshold: float = 0.01, rounds: int = 50) -> tuple[float, float, float]:
-    """FWHM of the major and minor axis in pixels and the angle in [0, pi), from axis 0 toward axis 1, of a Gaussian with unit peak at the centre, by damped least squares.
+def fit_beam(psf: np.ndarray, threshold: float = 0.01, rounds: int = 50) -> Beam:
+    """The Gaussian with unit peak at the centre, by damped least squares.
 
     The fit is to the pixels above the threshold, from the moments of those above half the peak on. What is far from the centre is no Gaussian: hand over the central
     patch. All three are NaN where the pixels don't determine a Gaussian: none, too few, or a fit that doesn't fall off in all directions.
@@ -88,7 +109,7 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.01, rounds: int = 50) -> tupl
     use = v > threshold
     y, x, v = y[use].astype(float), x[use].astype(float), v[use].astype(float)
     if not use.any() or np.linalg.matrix_rank(np.stack([x * x, x * y, y * y], 1)) < 3:
-        return (np.nan,) * 3
+        return NO_BEAM
     start = moments(psf) if (psf > 0.5).any() else np.zeros((2, 2))
     inverse = np.linalg.inv(start) if np.linalg.det(start) > 1e-6 else np.eye(2) / 2
     p, damp = np.array([inverse[0, 0], inverse[0, 1], inverse[1, 1]]), 1e-3  # v = exp(-(a x^2 + 2 b x y + c y^2) / 2)
@@ -103,9 +124,8 @@ def fit_beam(psf: np.ndarray, threshold: float = 0.01, rounds: int = 50) -> tupl
             damp *= 5
     values, axes = np.linalg.eigh(np.array([[p[0], p[1]], [p[1], p[2]]]))
     if values[0] <= 1e-12:
-        return (np.nan,) * 3
-    fwhm = np.sqrt(8 * np.log(2) / values)
-    return float(fwhm[0]), float(fwhm[1]), float(np.arctan2(axes[0, 0], axes[1, 0]) % np.pi)
+        return NO_BEAM
+    return Beam.of(float(values[0] ** -0.5), float(values[1] ** -0.5), float(np.arctan2(axes[0, 0], axes[1, 0])))
 
 
 def fit_image(image: np.ndarray) -> np.ndarray:
@@ -118,7 +138,7 @@ def convolve(model: np.ndarray, major: float, minor: float, angle: float) -> np.
     """Restore a model with a Gaussian beam, by its transform (wraps around)."""
     h, w = model.shape
     fy, fx = np.meshgrid(np.fft.fftfreq(h), np.fft.fftfreq(w), indexing="ij")
-    s1, s2 = major / np.sqrt(8 * np.log(2)), minor / np.sqrt(8 * np.log(2))
+    s1, s2 = major / FWHM, minor / FWHM
     a, b = fy * np.cos(angle) + fx * np.sin(angle), -fy * np.sin(angle) + fx * np.cos(angle)
     beam = 2 * np.pi * s1 * s2 * np.exp(-2 * np.pi**2 * ((a * s1) ** 2 + (b * s2) ** 2))
     return np.fft.ifft2(np.fft.fft2(model) * beam).real

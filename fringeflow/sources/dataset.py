@@ -113,6 +113,31 @@ def load(spark: SparkSession, path: str, options: dict | None = None, start_chan
     raise ValueError(f"no loader takes {path}")
 
 
+def load_antennas(spark: SparkSession, path: str) -> DataFrame:
+    """(name, diameter, east, north, up) of a text file with a line ``name, latitude, longitude, altitude, diameter, east north up ...`` an antenna; blank lines and
+    comments go."""
+    field = F.split("value", r"\s*,\s*")
+    at = lambda i: F.trim(F.get(field, F.lit(i)))
+    place = F.transform(F.split(at(5), r"\s+"), lambda x: x.try_cast("double"))
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    return lines.select(at(0).alias("name"), at(4).try_cast("double").alias("diameter"), *[F.get(place, F.lit(i)).alias(c) for i, c in enumerate(("east", "north", "up"))])
+
+
+#: Receiver bands that have a model of the primary beam.
+BEAM_BANDS = ("L", "UHF")
+
+
+def load_beam(spark: SparkSession, path: str, band: str) -> tuple[DataFrame, float]:
+    """The primary beam (frequency, radius, voltage) of a band and its step (sine of an angle), of the table ``path`` (band, step, frequency, radius, voltage)."""
+    if band not in BEAM_BANDS:
+        raise ValueError(f"no primary beam of band {band}; there are {BEAM_BANDS}")
+    d = spark.read.parquet(path).where(F.col("band") == band)
+    steps = [r["step"] for r in d.select("step").distinct().limit(2).collect()]
+    if len(steps) != 1:
+        raise ValueError(f"the beam of band {band} has {'several steps' if steps else 'no rows'}")
+    return d.select(in_unit(d, "frequency", "frequency"), "radius", "voltage"), steps[0]
+
+
 def longest_baseline(antennas: DataFrame) -> float:
     """Largest distance of two antennas (x, y, z); one row a pair of a telescope's antennas, some thousands at most, raised where more."""
     few = antennas.select("x", "y", "z").limit(1 << 14).collect()
