@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import taper, w_kernel
@@ -69,13 +69,12 @@ def layer(pixels: int, pixel_size: float, w: float, oversample: int = OVERSAMPLE
     return np.exp(-2j * np.pi * w * (-r2 / (1 + n))) / (t[:, None] * t), n
 
 
-def preprocess(samples: DataFrame, params: DataFrame, matrix: Column | None = None, oversample: int = OVERSAMPLE, taps: int = TAPS) -> DataFrame:
-    """Compressed records of samples (row_id, channel, u, v, w in metres; arrays weight, re, im), turned by the Mueller ``matrix`` (kept as they are without one).
+def preprocess(samples: DataFrame, params: DataFrame, matrix: polarize.Matrix, oversample: int = OVERSAMPLE, taps: int = TAPS) -> DataFrame:
+    """Compressed records of samples (row_id, channel, u, v, w in metres; arrays weight, re, im), turned by the Mueller ``matrix``.
 
     A sample off its channel's grid, kernel included, raises; one beyond ``max_w`` is held in the last w plane. Samples of channels without parameters go.
     """
-    one = matrix if matrix is not None else F.transform(F.sequence(F.lit(0), F.size("weight") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.size("weight") - 1), lambda j: F.struct(F.when(i == j, 1.0).otherwise(0.0).alias("re"), F.lit(0.0).alias("im"))))
-    d = polarize.unrolled(polarize.apply(samples, one)).where(F.col("weight") > 0).join(params, "channel")
+    d = polarize.unrolled(polarize.apply(samples, matrix)).where(F.col("weight") > 0).join(params, "channel")
     edge = (F.col("pixels") / 2 - taps) * F.col("cell_size")
     on_grid = lambda c: F.when(F.abs(c) < edge, F.col(c)).otherwise(F.raise_error(F.format_string("%s of %f m is off the grid of channel %d", F.lit(c), F.col(c), F.col("channel"))).cast("double"))
     d = d.withColumn("u", on_grid("u")).withColumn("v", on_grid("v"))
@@ -314,8 +313,8 @@ def dense(cells: DataFrame, params: DataFrame, *values: str) -> DataFrame:
 
 
 def image_channels(
-    samples: DataFrame, params: DataFrame, weights: str = "natural", robustness: float = 0.0, majors: int = 2, clean: CleanParameters = CleanParameters(),
-    matrix: Column | None = None, sky: DataFrame | None = None, centre: tuple[float, float] = (0.0, 0.0), beam: DataFrame | None = None, beam_step: float = 1.0, cutoff: float = 0.1,
+    samples: DataFrame, params: DataFrame, matrix: polarize.Matrix, weights: str = "natural", robustness: float = 0.0, majors: int = 2, clean: CleanParameters = CleanParameters(),
+    sky: DataFrame | None = None, centre: tuple[float, float] = (0.0, 0.0), beam: DataFrame | None = None, beam_step: float = 1.0, cutoff: float = 0.1,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Images of all channels of ``params``: a row (channel, pol) with RESULT's columns, weights_noise, normalized_noise, compressed_vis, and products to ``keep``, of
@@ -382,7 +381,7 @@ def _rows_a_batch(params: DataFrame) -> int:
     return max(1, (1 << 26) // (16 * most * most))
 
 
-def run(samples: DataFrame, params: DataFrame, writer: Writer, enabled: DataFrame | None = None, batch: int = 16, **imaging) -> None:
+def run(samples: DataFrame, params: DataFrame, matrix: polarize.Matrix, writer: Writer, enabled: DataFrame | None = None, batch: int = 16, **imaging) -> None:
     """Image the channels of ``params`` that ``writer`` hasn't finished and that are ``enabled`` (channel, enabled), ``batch`` channels at a time; a run that stops goes
     on after the last batch that was written. Channels without usable data are told to the writer as skipped; masked ones get no status."""
     todo = remaining(params, writer)
@@ -392,7 +391,7 @@ def run(samples: DataFrame, params: DataFrame, writer: Writer, enabled: DataFram
     for k in range(0, len(ids), batch):
         chosen = F.col("channel").isin(ids[k : k + batch])
         some = params.where(chosen)
-        images = image_channels(samples.where(chosen), some, keep=tuple(p for p in MORE if writer.needs(p)), **imaging)
+        images = image_channels(samples.where(chosen), some, matrix, keep=tuple(p for p in MORE if writer.needs(p)), **imaging)
         writer.write(images, some)
         writer.statistics(images)
         writer.skip(some.select("channel").join(images.select("channel").distinct(), "channel", "left_anti"))
@@ -415,7 +414,7 @@ def table_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = image_channels(*table_samples(spark, sf_dir), "robust", clean=CleanParameters(minor=200))
+    got = image_channels(*table_samples(spark, sf_dir), polarize.matrix(np.eye(2)), "robust", clean=CleanParameters(minor=200))
     round6 = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
     return got.select("channel", "pol", "cycles", round6("restored"), round6("model"), *[F.round(c, 6).alias(c) for c in ("noise", "peak", "total", "normalized_noise")], F.round("major", 4).alias("major"), F.round("minor", 4).alias("minor"), "compressed_vis")
 

@@ -71,7 +71,7 @@ def mueller_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mueller_parallactic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stokes parameters of feeds at angles of tenths of a radian, by the circular frame; values to whole cents."""
     d = main_table(spark, sf_dir).where(~F.col("flag_row")).select("row_id", "channel", F.col("data.re").alias("re"), F.col("data.im").alias("im"), "weight", (F.col("antenna1") * 0.1).alias("a1"), (F.col("antenna2") * 0.1).alias("a2"))
-    turned = polarize.apply(d, polarize.parallactic(STOKES, LINEAR, F.col("a1"), F.col("a2")))
+    turned = polarize.apply(polarize.with_phases(d, F.col("a1"), F.col("a2")), polarize.parallactic(STOKES, LINEAR))
     whole = lambda c: (F.floor(F.col(c) + 0.5)).cast("long").alias(c)
     return _rows(turned).groupBy("channel", "pol").agg(F.count("*").alias("n"), F.sum(whole("re")).alias("re"), F.sum(whole("im")).alias("im"))
 

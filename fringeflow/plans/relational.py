@@ -80,14 +80,21 @@ def sum_before(rows: str, key: str, value: str, name: str) -> str:
       {name} AS (SELECT b.{key}, p.x + sum(b.x) OVER (PARTITION BY b.sup ORDER BY b.{key}) - b.x AS base FROM {name}_b b JOIN {name}_p p ON p.sup = b.sup)"""
 
 
+def marked(value: str) -> str:
+    """CTE of events with 1 where ``value`` is another than that of the event before in a block of ids."""
+    return f"""b AS (SELECT event_id, {value} AS x, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events),
+      e AS (SELECT event_id, x, blk, CASE WHEN x <> lag(x) OVER (PARTITION BY blk ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM b)"""
+
+
+#: A row a block: its first and last value, and how often the value changes in it. Spark writes it once.
+BLOCKS = "blocks AS (SELECT blk, min_by(x, event_id) AS x0, max_by(x, event_id) AS x1, sum(new) AS c FROM e GROUP BY blk)"
+
+
 def runs(value: str) -> str:
     """CTEs that number the runs of equal ``value`` in the order of event_id: within blocks of ids, then over blocks, and over blocks of blocks."""
-    return f"""b AS (SELECT event_id, {value} AS x, CAST(floor(event_id / {BLOCK}e0) AS BIGINT) AS blk FROM events),
-      e AS (SELECT *, lag(x) OVER (PARTITION BY blk ORDER BY event_id) AS before, row_number() OVER (PARTITION BY blk ORDER BY event_id) AS k FROM b),
-      ends AS (SELECT blk, max_by(x, event_id) AS x FROM b GROUP BY blk), {before_each("ends", "blk", "x", "prev", "x")},
-      n AS (SELECT e.event_id, e.x, e.blk, CASE WHEN e.x = CASE WHEN e.k = 1 THEN p.x ELSE e.before END THEN 0 ELSE 1 END AS new FROM e JOIN prev p ON p.blk = e.blk),
-      t AS (SELECT blk, sum(new) AS c FROM n GROUP BY blk), {sum_before("t", "blk", "c", "o")},
-      r AS (SELECT n.event_id, n.x, CAST(o.base + sum(n.new) OVER (PARTITION BY n.blk ORDER BY n.event_id) AS BIGINT) AS run FROM n JOIN o ON o.blk = n.blk)"""
+    return f"""MARKED {value} {before_each("blocks", "blk", "x1", "prev", "x")},
+      s AS (SELECT t.blk, CASE WHEN t.x0 = p.x THEN 0 ELSE 1 END AS first, c + CASE WHEN t.x0 = p.x THEN 0 ELSE 1 END AS c FROM blocks t JOIN prev p ON p.blk = t.blk), {sum_before("s", "blk", "c", "o")},
+      r AS (SELECT e.event_id, e.x, CAST(o.base + s.first + sum(e.new) OVER (PARTITION BY e.blk ORDER BY e.event_id) AS BIGINT) AS run FROM e JOIN o ON o.blk = e.blk JOIN s ON s.blk = e.blk)"""
 
 
 #: Eight places of an axis, and sums of an image's rows at each of them.
@@ -216,6 +223,7 @@ SQL = {
 def text(name: str, dialect: str) -> str:
     spark = dialect == "spark"
     t = SQL[name].replace("WITH PIXELS", "WITH " + (SPARK_PIX if spark else DUCK_PIX)).replace("FROM h PIECES", "FROM h" + (SPARK_PIECES if spark else DUCK_PIECES))
+    t = re.sub(r"MARKED (\w+)", lambda m: marked(m[1]) + ("," if spark else f", {BLOCKS},"), t)
     return t.replace("WITH COMPRESSED, ", "WITH " if spark else f"WITH {QUANT}, {COMPRESSED}, ")
 
 
@@ -225,6 +233,8 @@ def query(name: str):
         if "WITH COMPRESSED" in SQL[name]:
             register(spark, sf_dir, ["lineitem"])
             checkpoint(spark.sql(f"WITH {QUANT}, {COMPRESSED} SELECT * FROM compressed")).createOrReplaceTempView("compressed")
+        if value := re.search(r"MARKED (\w+)", SQL[name]):
+            checkpoint(spark.sql(f"WITH {marked(value[1])}, {BLOCKS} SELECT * FROM blocks")).createOrReplaceTempView("blocks")
         return spark.sql(text(name, "spark"))
 
     return run

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fringeflow.operators.cleaning import CleanParameters
-from fringeflow.operators import spill
+from fringeflow.operators import polarize, spill
 from fringeflow.plans import chain
 from fringeflow.sources import products, sky
 
+ONE = polarize.matrix(np.eye(1))
 PIXELS, SIZE, MAX_W = 64, 2e-3, 9.0
 WAVELENGTHS = {0: 1.0, 1: 1.1}
 SOURCES = [(9 * SIZE, -6 * SIZE, 2.0), (-12 * SIZE, 10 * SIZE, 1.0)]
@@ -54,7 +55,7 @@ def simulated(spark):
 
 def test_grid_and_fft_equal_a_direct_sum(spark, simulated):
     samples, params = simulated
-    records = spill.with_band(chain.weigh(chain.preprocess(samples, params)))
+    records = spill.with_band(chain.weigh(chain.preprocess(samples, params, ONE)))
     got = {r.channel: np.reshape(r.image, (64, 64)) for r in chain.to_images(chain.grid(records, chain.kernels(params)), params).collect()}
     uvw, vis = uvw_of(), simulate(uvw_of(), SOURCES, 1.0)
     l = (np.arange(64) - 32) * SIZE  # noqa: E741
@@ -65,7 +66,7 @@ def test_grid_and_fft_equal_a_direct_sum(spark, simulated):
 
 
 def test_sources_are_restored_where_they_are(spark, simulated):
-    got = chain.image_channels(*simulated, "robust", majors=3, clean=CleanParameters(minor=400, sigmas=3.0)).collect()
+    got = chain.image_channels(*simulated, ONE, "robust", majors=3, clean=CleanParameters(minor=400, sigmas=3.0)).collect()
     assert {r.channel for r in got} == {0, 1}
     for r in got:
         image, model = (np.reshape(x, (64, 64)) for x in (r.restored, r.model))
@@ -77,7 +78,7 @@ def test_sources_are_restored_where_they_are(spark, simulated):
 
 def test_a_later_cycle_leaves_the_records_where_they_are(spark, simulated, tmp_path):
     samples, params = simulated
-    name = spill.write(chain.weigh(chain.preprocess(samples, params)), str(tmp_path), 4)
+    name = spill.write(chain.weigh(chain.preprocess(samples, params, ONE)), str(tmp_path), 4)
     stored, k = spill.read(spark, name), chain.kernels(params)
     models = spark.createDataFrame([(0, 0, [1.0] * PIXELS**2), (1, 0, [0.0] * PIXELS**2)], "channel long, pol long, model array<double>")
     slices = spark.createDataFrame([(c, s) for c in (0, 1) for s in (0, 1)], "channel long, w_slice long")
@@ -96,7 +97,7 @@ def test_a_later_cycle_leaves_the_records_where_they_are(spark, simulated, tmp_p
 def test_residual_is_what_a_model_leaves(spark, simulated):
     """A point at the centre predicts its flux, its phase 0, at every record."""
     samples, params = simulated
-    records = spill.with_band(chain.weigh(chain.preprocess(samples, params)))
+    records = spill.with_band(chain.weigh(chain.preprocess(samples, params, ONE)))
     image = np.zeros((PIXELS, PIXELS))
     image[32, 32] = 0.5
     models = spark.createDataFrame([(0, 0, image.ravel().tolist())], "channel long, pol long, model array<double>")
@@ -116,17 +117,17 @@ def test_off_the_grid_raises_and_beyond_max_w_is_held(spark):
     params = params_of(spark)
     far = frame(spark, uvw=np.array([[400.0, 0, 0]]))
     with pytest.raises(Exception, match="off the grid"):
-        chain.preprocess(far, params).collect()
-    deep = chain.preprocess(frame(spark, uvw=np.array([[1.0, 2.0, 99.0]])), params).collect()
+        chain.preprocess(far, params, ONE).collect()
+    deep = chain.preprocess(frame(spark, uvw=np.array([[1.0, 2.0, 99.0]])), params, ONE).collect()
     assert len(deep) == 2 and all((r.w_slice, r.w_plane) == (1, 3) for r in deep)
 
 
 def test_channels_without_data_have_no_row(spark, simulated):
     samples, params = simulated
-    assert chain.image_channels(samples.where("false"), params, majors=1).count() == 0
+    assert chain.image_channels(samples.where("false"), params, ONE, majors=1).count() == 0
     # channel 1's weights cancel nothing but its density does: no peak
     none = samples.withColumn("weight", F.when(F.col("channel") == 1, F.array(F.lit(0.0))).otherwise(F.col("weight")))
-    assert {r.channel for r in chain.image_channels(none, params, majors=1, clean=CleanParameters(minor=3)).select("channel").collect()} == {0}
+    assert {r.channel for r in chain.image_channels(none, params, ONE, majors=1, clean=CleanParameters(minor=3)).select("channel").collect()} == {0}
 
 
 def test_a_psf_without_a_peak_is_skipped(spark):
@@ -148,10 +149,10 @@ def test_a_sky_model_is_subtracted_first(spark):
     catalogue = spark.createDataFrame(lines, "ra double, dec double, min_hz double, max_hz double, coefficients array<double>, stokes array<double>")
     params = params_of(spark)
     samples = frame(spark, SOURCES)
-    records = chain.preprocess(samples, params)
+    records = chain.preprocess(samples, params, ONE)
     left = chain.subtract_sky(records, catalogue, params, (ra0, dec0)).toPandas()
     assert len(left) == records.count() and np.abs(left.re + 1j * left.im).median() < 0.1  # of 3: a sub-cell is half a wavelength wide
-    got = chain.image_channels(samples, params, majors=1, clean=CleanParameters(minor=50), sky=catalogue.limit(1), centre=(ra0, dec0)).where("channel = 0").first()
+    got = chain.image_channels(samples, params, ONE, majors=1, clean=CleanParameters(minor=50), sky=catalogue.limit(1), centre=(ra0, dec0)).where("channel = 0").first()
     image = np.reshape(got.restored, (64, 64))
     at = tuple(int(i) for i in np.unravel_index(image.argmax(), image.shape))
     assert at in {(26, 41), (42, 20)} and image[{(26, 41): (42, 20), (42, 20): (26, 41)}[at]] < 0.2
@@ -162,8 +163,8 @@ def test_a_primary_beam_is_divided_out(spark, simulated):
     step = 0.01
     volts = [1.0, 0.9, 0.7, 0.5, 0.2]
     beam = spark.createDataFrame([(c, volts) for c in (0, 1)], "channel long, voltages array<double>")
-    plain = chain.image_channels(samples, params, majors=1, clean=CleanParameters(minor=100)).where("channel = 0").first()
-    got = chain.image_channels(samples, params, majors=1, clean=CleanParameters(minor=100), beam=beam, beam_step=step, cutoff=0.3).where("channel = 0").first()
+    plain = chain.image_channels(samples, params, ONE, majors=1, clean=CleanParameters(minor=100)).where("channel = 0").first()
+    got = chain.image_channels(samples, params, ONE, majors=1, clean=CleanParameters(minor=100), beam=beam, beam_step=step, cutoff=0.3).where("channel = 0").first()
     power = np.reshape(got.primary_beam, (64, 64))
     r = math.hypot(9, 6) * SIZE / step
     assert power[26, 41] == pytest.approx((0.7 + (0.9 - 0.7) * (2 - r) if r < 2 else 0.7 + (0.5 - 0.7) * (r - 2)) ** 2)
@@ -175,7 +176,7 @@ def test_a_primary_beam_is_divided_out(spark, simulated):
 
 def test_weights_of_unknown_kind(spark, simulated):
     with pytest.raises(ValueError):
-        chain.weigh(chain.preprocess(*simulated), "briggs")
+        chain.weigh(chain.preprocess(*simulated, ONE), "briggs")
 
 
 LINES = ["# a comment", "", "near|alias, radec, 1:00:00, -30:30:00, (500 2000 1.0 -0.5 0 0 0 0 1 0.1)", "plain, radec bfcal, 15.0, 2.0", "sat, tle, x, y", "*star, radec, 0:00:00, -0:30:00, (900 1000 0.3)"]
@@ -235,10 +236,10 @@ def test_run_writes_each_channel_once(spark, simulated, tmp_path):
     writer = products.TableWriter(str(tmp_path / "out"), ("clean", "psf", "dirty", "weights", "grid", "model"))
     enabled = spark.createDataFrame([(0, True), (1, False), (7, True), (8, False)], "channel long, enabled boolean")
     options = {"majors": 1, "clean": CleanParameters(minor=5)}
-    chain.run(samples, more, writer, enabled, batch=1, **options)
+    chain.run(samples, more, ONE, writer, enabled, batch=1, **options)
     assert sorted(map(tuple, writer.done(spark).collect())) == [(0, "complete"), (7, "no-data")]
     assert sorted(r.channel for r in products.remaining(more, writer).collect()) == [1, 8]
-    chain.run(samples, more.where("channel < 8"), writer, **options)
+    chain.run(samples, more.where("channel < 8"), ONE, writer, **options)
     got = spark.read.parquet(f"{tmp_path}/out/images").collect()
     assert sorted((r.channel, r["product"], len(r.pixels)) for r in got) == sorted((c, p, PIXELS**2 * (2 if p == "grid" else 1)) for c in (0, 1) for p in writer.products)
     image = {(r.channel, r["product"]): np.reshape(r.pixels, (PIXELS, PIXELS)) for r in got if r["product"] != "grid"}
@@ -253,7 +254,7 @@ def test_run_writes_each_channel_once(spark, simulated, tmp_path):
 def test_fits_files(spark, simulated, tmp_path):
     samples, params = simulated
     writer = products.FitsFileWriter(str(tmp_path / "files"), ("clean", "grid", "weights"), ("I",), ra="1.0", dec="-0.5", headers=json.dumps({"OBSERVER": "someone"}))
-    chain.run(samples, params, writer, majors=1, clean=CleanParameters(minor=50))
+    chain.run(samples, params, ONE, writer, majors=1, clean=CleanParameters(minor=50))
     names = sorted(p.name for p in (tmp_path / "files").glob("*.fits"))
     assert names == sorted(f"{p}-{c:05d}.fits" for p in writer.products for c in (0, 1)) and not list((tmp_path / "files").glob(".writing*"))
     head, data = headers((tmp_path / "files/clean-00001.fits").read_bytes())

@@ -37,7 +37,7 @@ def test_stokes_of_all_polarizations_and_channels(spark):
 def test_feeds_are_turned_in_the_circular_frame(spark):
     rows, d = random_samples(spark)
     out, into = polarize.circular_pair(STOKES, LINEAR)
-    got = polarize.apply(d, polarize.parallactic(STOKES, LINEAR, F.col("feed_angle1"), F.col("feed_angle2"))).collect()
+    got = polarize.apply(polarize.with_phases(d, F.col("feed_angle1"), F.col("feed_angle2")), polarize.parallactic(STOKES, LINEAR)).collect()
     check(got, rows, lambda row: out @ (feed_phases(np.array(row[11]), np.array(row[12]))[:, None] * into))
     with pytest.raises(ValueError):
         polarize.circular_pair(STOKES, ["XX", "YY"])
