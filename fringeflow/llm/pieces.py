@@ -215,7 +215,11 @@ def _ids(path: str):
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids array<int> (end id last), decoded string, of every whole text; null counts as empty, which is the end id alone. Rows without a doc_id are left out."""
+    """doc_id, ids array<int> (end id last), decoded string, of every whole text; null counts as empty, which is the end id alone. Rows without a doc_id are left out.
+
+    Repeated rows are each encoded, alike; of merges with the same score the leftmost is taken, as the library does; other columns are not looked at, whatever their
+    names; an empty table gives no rows. A text of any length is encoded whole, unit by unit.
+    """
     small_batches(docs.sparkSession)
     return texts(docs).mapInArrow(_ids(path or public_tokenizers.path("piece_bpe_32k.model")), "doc_id long, ids array<int>, decoded string")
 

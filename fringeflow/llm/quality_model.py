@@ -153,7 +153,11 @@ def _combine(batches):
 
 
 def word_vectors(train: DataFrame) -> DataFrame:
-    """(h, n, vec): every word of every row of ``train``, with its count and direction."""
+    """(h, n, vec): every word of every row of ``train``, with its count and direction.
+
+    Repeated rows count as often as they are there; null and empty texts have no words; no rows give no vectors. Sums are of integers, so neither their order nor
+    how rows are dealt shows. Other columns are not looked at.
+    """
     return materialise(train.select("text").mapInArrow(_contexts, CONTEXTS).repartition("h").sortWithinPartitions("h").mapInArrow(_combine, "h long, n long, vec binary"), "vectors")
 
 
@@ -237,7 +241,10 @@ def _pool(total: int):
 
 
 def pooled_vectors(docs: DataFrame, vectors: DataFrame, most: int = COMMON) -> DataFrame:
-    """(doc_id, vec), a row for each row of ``docs`` (doc_id, text); words without a vector count as zero."""
+    """(doc_id, vec), a row for each row of ``docs`` (doc_id, text); words without a vector count as zero, and so do null and empty texts as a whole.
+
+    Repeated rows each have their own row, alike; an empty table gives none; a text of any length counts whole.
+    """
     least = common_from(vectors, most, "n")
     total = vectors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = vectors.where(F.col("n") >= least).toPandas().sort_values("h")  # at most ``most`` rows

@@ -98,6 +98,9 @@ def counts(docs: DataFrame, path: str | None = None, rule: str = "most", starts:
 
     Sections are lines, or start at the character offsets in the array column ``starts``; offset 0 is always one, ties and offsets past the end make no
     section. Null and empty texts have no token and no section. Rows without a doc_id are left out.
+
+    Repeated rows are each counted, alike; other columns are not looked at, whatever their names; an empty table gives no rows. A token that overlaps two sections
+    by as much goes to the first of them. A text of any length is encoded once, whole.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

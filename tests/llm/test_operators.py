@@ -65,6 +65,44 @@ def test_odd_rows(spark, rows, name):
         assert sorted(ids, key=lambda x: (x is None, x)) == want
 
 
+def test_odd_rows_by_value(spark, rows):
+    """What nulls, empty and long texts, copies, repeated rows and rows without an id give, against plain versions."""
+    import sentencepiece
+
+    docs = frame(spark, rows)
+    named = sorted((i, t or "") for i, t in rows if i is not None)
+    plain = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t)) for i, t in named]
+    groups = {}
+    for i, t in plain:
+        groups.setdefault(t, []).append(i)
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.groups(docs).collect())
+    assert got == sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in plain)
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((i, tuple(ids), model.decode(ids)) for i, ids in ((i, model.encode(t, add_eos=True)) for i, t in named))
+    assert sorted((r.doc_id, tuple(r.ids), r.decoded) for r in pieces.encode(docs).collect()) == want
+
+    counted = {}
+    for r in token_counts.counts(docs).collect():
+        counted.setdefault(r.doc_id, set()).add((r.n_tokens, r.n_sections, sum(r.section_tokens)))
+    assert set(counted) == {i for i, _ in named} and all(len(v) == 1 and (x := next(iter(v)))[0] == round(x[2]) for v in counted.values())
+    texts = dict(named)
+    assert all(next(iter(v))[1] == len(texts[i].splitlines()) for i, v in counted.items() if i != 3)
+    assert counted[1] == counted[2] == {(0, 0, 0)}
+
+    base = {}
+    for r in quality_rules.judge(docs, labels(spark, [])).collect():
+        base.setdefault(r.doc_id, set()).add((r.n_words, r.base_failed, r.kept))
+    for i, t in named:
+        w = words(t)
+        at = {}
+        for k in range(len(w) - 2):
+            at.setdefault(tuple(w[k : k + 3]), []).append(k)
+        again = len({k + j for v in at.values() if len(v) > 1 for k in v for j in range(3)})
+        failed = len(w) < 50 or 100 * again > 50 * len(w)
+        assert base[i] == {(len(w), failed, not failed)}  # without labels nothing but the base rejects
+
+
 @pytest.mark.parametrize("name", list(CASES))
 def test_empty_table(spark, name):
     assert CASES[name](frame(spark, []), labels(spark, [])).count() == 0
