@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import json
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sefd import SefdModel, thermal_noise
+from .feed import hour_angle, longitude_latitude, parallactic_angle
 
 VALUES = ("peak", "noise", "weights_noise", "normalized_noise")
 
@@ -24,8 +26,6 @@ def intervals(scans: DataFrame, dump_period: float) -> DataFrame:
 
     Dumps count from 0 without gaps, so in a run the dump less its place among the target's is the same.
     """
-    from pyspark.sql import Window
-
     placed = scans.where("state = 'track'").withColumn("run", F.col("dump") - F.row_number().over(Window.partitionBy("target_id").orderBy("dump")))
     return placed.groupBy("target_id", "run").agg((F.min("time") - dump_period / 2).alias("start"), (F.max("time") + dump_period / 2).alias("stop")).drop("run")
 
@@ -47,6 +47,14 @@ def channel_statistics(channels: DataFrame, output: DataFrame, status: DataFrame
     return d.select("channel", "frequency", named.alias("status"), *filled, F.coalesce(model, nan).alias("model_noise"))
 
 
+def pointing(times: DataFrame, x: float, y: float, z: float, ra: float, dec: float) -> DataFrame:
+    """(time, elevation, parallactic) in radians of a direction from a place (metres from the Earth's centre) at times (time, MJD seconds)."""
+    longitude, latitude = longitude_latitude(F.lit(x), F.lit(y), F.lit(z))
+    hour = hour_angle(F.col("time"), longitude, ra)
+    up = F.sin(latitude) * math.sin(dec) + F.cos(latitude) * math.cos(dec) * F.cos(hour)
+    return times.select("time", F.asin(up).alias("elevation"), parallactic_angle(hour, latitude, dec).alias("parallactic"))
+
+
 def counts(rows: DataFrame) -> DataFrame:
     """(status, channels), and a row of all for status null."""
     return rows.rollup("status").agg(F.count("*").alias("channels"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -57,6 +58,50 @@ def drop(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Store(ABC):
+    """Where compressed records are kept between steps; a context that is left forgets them."""
+
+    @abstractmethod
+    def records(self) -> DataFrame: ...
+
+    @abstractmethod
+    def close(self) -> None: ...
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+class TableStore(Store):
+    """A bucketed table in the shared folder: what a lost executor held is read again."""
+
+    def __init__(self, records: DataFrame, buckets: int | None = None):
+        self.spark = records.sparkSession
+        self.name = write(records, shared_folder(self.spark), buckets)
+
+    def records(self) -> DataFrame:
+        return read(self.spark, self.name)
+
+    def close(self) -> None:
+        drop(self.spark, self.name)
+
+
+class MemoryStore(Store):
+    """Records dealt to their parts and held by the executors, on their disks where memory ends: for small runs, as what is lost is made again from the samples."""
+
+    def __init__(self, records: DataFrame, buckets: int | None = None):
+        count = buckets or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.held = with_band(records).repartition(count, *PART).sortWithinPartitions(*PART, "v", "u").persist()
+
+    def records(self) -> DataFrame:
+        return self.held
+
+    def close(self) -> None:
+        self.held.unpersist()
+
+
 @contextmanager
 def in_place(spark: SparkSession, **more: str) -> Iterator[None]:
     """While it holds, tables bucketed by some of a join's keys are joined without dealing them anew; the session's settings come back after it."""

@@ -315,7 +315,7 @@ def dense(cells: DataFrame, params: DataFrame, *values: str) -> DataFrame:
 def image_channels(
     samples: DataFrame, params: DataFrame, matrix: polarize.Matrix, weights: str = "natural", robustness: float = 0.0, majors: int = 2, clean: CleanParameters = CleanParameters(),
     sky: DataFrame | None = None, centre: tuple[float, float] = (0.0, 0.0), beam: DataFrame | None = None, beam_step: float = 1.0, cutoff: float = 0.1,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), store: type[spill.Store] = spill.TableStore,
 ) -> DataFrame:
     """Images of all channels of ``params``: a row (channel, pol) with RESULT's columns, weights_noise, normalized_noise, compressed_vis, and products to ``keep``, of
     MORE: psf and dirty images with a unit peak of the PSF, weights (density of each cell), grid (of the last w slice; real and imaginary part in turn).
@@ -330,10 +330,9 @@ def image_channels(
     records = weigh(preprocess(samples, params, matrix), weights, robustness)
     if sky is not None:
         records = subtract_sky(records, sky, params, centre)
-    name = spill.write(records, spill.shared_folder(spark))
-    stored = spill.read(spark, name)
     k = kernels(params)
-    with spill.in_place(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_rows_a_batch(params))):
+    with store(records) as kept, spill.in_place(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(_rows_a_batch(params))):
+        stored = kept.records()
         statistics = spill.checkpoint(weights_noise(stored, weights).join(stored.groupBy("channel").agg(F.count("*").alias("compressed_vis")), "channel"))
         slices = spill.checkpoint(stored.select("channel", "w_slice").distinct())
         ones = stored.withColumns({"re": F.col("weight"), "im": F.lit(0.0)})
@@ -371,7 +370,6 @@ def image_channels(
             for product in keep:
                 made = made.join(more[product](), ["channel", "pol"], "left")
             out = spill.checkpoint(made)
-    spill.drop(spark, name)
     return out if out is not None else spark.createDataFrame([], RESULT)
 
 

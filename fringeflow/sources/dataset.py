@@ -113,6 +113,12 @@ def load(spark: SparkSession, path: str, options: dict | None = None, start_chan
     raise ValueError(f"no loader takes {path}")
 
 
+def by_baseline(samples: DataFrame, antennas: int) -> DataFrame:
+    """``samples`` with ``baseline`` (antenna1 x antennas + antenna2), each channel's together, in the order of baseline and then time: as records compress best."""
+    d = samples.withColumn("baseline", F.col("antenna1") * antennas + F.col("antenna2"))
+    return d.repartition("channel").sortWithinPartitions("channel", "baseline", "time")
+
+
 def load_antennas(spark: SparkSession, path: str) -> DataFrame:
     """(name, diameter, east, north, up) of a text file with a line ``name, latitude, longitude, altitude, diameter, east north up ...`` an antenna; blank lines and
     comments go."""

@@ -76,6 +76,15 @@ def test_sources_are_restored_where_they_are(spark, simulated):
         assert r.weights_noise > 0 and r.normalized_noise >= 1 and r.compressed_vis > 0 and r.majors >= 1
 
 
+def test_records_in_memory_give_the_same(spark, simulated):
+    options = {"majors": 1, "clean": CleanParameters(minor=20)}
+    images = lambda **more: {(r.channel, r.pol): r.restored for r in chain.image_channels(*simulated, ONE, **options, **more).collect()}
+    one, other = images(), images(store=spill.MemoryStore)
+    assert set(one) == set(other)
+    for k in one:
+        np.testing.assert_allclose(one[k], other[k], atol=1e-9)
+
+
 def test_a_later_cycle_leaves_the_records_where_they_are(spark, simulated, tmp_path):
     samples, params = simulated
     name = spill.write(chain.weigh(chain.preprocess(samples, params, ONE)), str(tmp_path), 4)

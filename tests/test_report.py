@@ -60,3 +60,15 @@ def test_metadata(spark):
 def test_prefixes(spark):
     d = spark.createDataFrame([(0.0123,), (1.0,), (4.5e10,), (0.0,), (-2e-6,), (1000.0,)], "v double")
     assert [r[0] for r in d.select(report.si(F.col("v"), "Jy")).collect()] == ["12.3 mJy", "1.00 Jy", "45.0 GJy", "0.00 Jy", "-2.00 µJy", "1.00 kJy"]
+
+
+def test_pointing(spark):
+    """A source at the place's own declination stands overhead when it crosses the meridian, and sinks by the time."""
+    d = spark.createDataFrame([(59000 * 86400.0 + 600.0 * k,) for k in range(145)], "time double")
+    x, y, z = 6378137.0 * math.cos(0.3), 6378137.0 * math.sin(0.3), 0.0
+    rows = report.pointing(d, x, y, z, 1.0, 0.0).orderBy("time").collect()
+    high = max(r.elevation for r in rows)
+    assert math.pi / 2 - high < math.radians(2.5) and min(r.elevation for r in rows) < -1.5
+    at = next(i for i, r in enumerate(rows) if r.elevation == high)
+    # on the equator a source of declination 0 rises in the east and sets in the west: the zenith stands to its west, then to its east
+    assert rows[at - 10 if at >= 10 else at + 130].parallactic == pytest.approx(-math.pi / 2, abs=1e-6) and rows[at + 10 if at + 10 < 145 else at - 130].parallactic == pytest.approx(math.pi / 2, abs=1e-6)

@@ -156,3 +156,12 @@ def test_targets_of_an_archive(spark, archive):
         assert dataset.load(spark, archive, {"target": wanted}).target()["name"] == name
     with pytest.raises(ValueError):
         dataset.load(spark, archive, {"target": "nowhere"}).target()
+
+
+def test_samples_by_baseline(spark, ms):
+    d = dataset.by_baseline(dataset.load(spark, ms).samples(), 3)
+    seen = {}
+    for part in d.rdd.glom().collect():
+        for r in part:
+            seen.setdefault(r.channel, []).append((r.baseline, r.time))
+    assert set(seen) == {0, 1, 2} and all(v == sorted(v) for v in seen.values())
