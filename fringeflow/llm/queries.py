@@ -22,7 +22,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
-    "op11_whitening": whitening.query,
     "op12_url_filter": url_filter.ORACLE,
     "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

@@ -93,13 +93,18 @@ def test_stages_keep_user_columns(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_sql_is_text_of_known_queries():
+    assert set(ORACLE_SQL) <= set(QUERIES) and all(isinstance(sql, str) for sql in ORACLE_SQL.values())
+
+
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    order = lambda d: d.sort_values("doc_id").reset_index(drop=True)
+    order = lambda d: d.sort_values("page_id" if "page_id" in d else "doc_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(order(got), order(want), check_dtype=False)
 
 
