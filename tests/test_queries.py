@@ -22,6 +22,10 @@ def test_against_duckdb(spark, name):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+def test_sql_is_text_of_known_queries():
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
