@@ -62,6 +62,15 @@ def test_pairs_of_all_antennas(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["all_pairs_uvw"](spark, sf).collect())) == [(a, b, float(b * b - a * a), (b % 3 - a % 3) * 100.0) for a in ids for b in ids if a < b]
 
 
+def test_pairs_are_dealt_by_blocks(spark, tmp_path, monkeypatch):
+    """Ten antennas in blocks of four: nine tasks, each of a pair of blocks, where one task made all pairs before."""
+    monkeypatch.setattr(relational, "BLOCK", 4)
+    sf = fixture(spark, tmp_path, supplier=([(i, 0, float(i)) for i in range(10)], "s_suppkey long, s_nationkey int, s_acctbal double"))
+    got = QUERIES["all_pairs_uvw"](spark, sf)
+    assert got.rdd.getNumPartitions() == 9
+    assert sorted((r.a1, r.a2) for r in got.collect()) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+
+
 def test_default_only_without_status(spark, tmp_path):
     sf = fixture(spark, tmp_path, events=([(i, f"type{i}") for i in range(6)], "event_id long, event_type string"), orders=([(i,) for i in range(8)], "o_orderkey long"))
     assert dict(map(tuple, QUERIES["status_left_default"](spark, sf).collect())) == {i: f"type{i}" for i in range(6)} | {6: "failed", 7: "masked"}
