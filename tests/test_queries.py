@@ -89,6 +89,13 @@ def test_intervals_are_halved_until_short(spark, tmp_path):
         assert sorted(got[i]) == [(7 + span * k / pieces, 7 + span * (k + 1) / pieces) for k in range(pieces)]
 
 
+def test_pieces_are_dealt(spark, tmp_path):
+    """Users' intervals are dealt before they are split: few small rows become many, all in one task before."""
+    sf = fixture(spark, tmp_path, events=([(i, e) for i in range(40) for e in (0, 9000)], "user_id long, event_id long"))
+    tasks = [len(rows) for rows in QUERIES["split_long_intervals"](spark, sf).rdd.glom().collect()]
+    assert sum(tasks) == 40 * 16 and sum(n > 0 for n in tasks) == 4
+
+
 def test_gated_peak_counts_behind_the_beam(spark, tmp_path):
     """Of noise 1.4826 and a limit of 11.1195, a corner's 12 falls behind the beam, the centre's passes; only noise gives no peak."""
     def image(**at):
