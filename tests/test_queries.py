@@ -1,9 +1,11 @@
+import re
+
 import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__
-from fringeflow.operators import imaging
+from fringeflow.operators import imaging, spill
 from fringeflow.plans import instrument, relational
 from fringeflow.sources.tables import TABLES
 
@@ -35,6 +37,14 @@ def test_images(spark, name):
     assert imaging.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_degridding_deals_records_once(spark):
+    """Records go to blocks of the grid's rows and are summed there; rows of sub-cells and taps are dealt nowhere after the records are compressed."""
+    with spill.in_place(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = QUERIES["degrid_kernel"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not [keys for keys in dealt if "sub_" in keys] and sum("block" in keys for keys in dealt) == 2
+
+
 def test_prediction_takes_all_channels_and_sources(spark):
     """Every occupied cell of every channel, against a plain sum over all rows of part."""
     cells = {(r.channel, r.u, r.v) for r in QUERIES["uvw_fold_quantize"](spark, DATA).select("channel", "u", "v").distinct().collect()}
