@@ -74,7 +74,8 @@ def preprocess(samples: DataFrame, params: DataFrame, matrix: polarize.Matrix, o
 
     A sample off its channel's grid, kernel included, raises; one beyond ``max_w`` is held in the last w plane. Samples of channels without parameters go.
     """
-    d = polarize.unrolled(polarize.apply(samples, matrix)).where(F.col("weight") > 0).join(params, "channel")
+    # samples are summed where they are read; dealt by channel, a task would hold all of one
+    d = polarize.unrolled(polarize.apply(samples, matrix)).where(F.col("weight") > 0).join(F.broadcast(params), "channel")
     edge = (F.col("pixels") / 2 - taps) * F.col("cell_size")
     on_grid = lambda c: F.when(F.abs(c) < edge, F.col(c)).otherwise(F.raise_error(F.format_string("%s of %f m is off the grid of channel %d", F.lit(c), F.col(c), F.col("channel"))).cast("double"))
     d = d.withColumn("u", on_grid("u")).withColumn("v", on_grid("v"))
@@ -92,7 +93,7 @@ def weigh(records: DataFrame, kind: str = "natural", robustness: float = 0.0) ->
         raise ValueError(f"no weights of kind {kind!r}")
     mean = cells.where("pol = 0").groupBy("channel").agg((F.sum(F.col("cell_weight") ** 2) / F.sum("cell_weight")).alias("mean_weight"))
     a = (5 * 10**-robustness) ** 2 / F.col("mean_weight")
-    return records.join(cells.join(mean, "channel").select(*CELL, (1 / (a * F.col("cell_weight") + 1)).alias("density")), CELL)
+    return records.join(cells.join(F.broadcast(mean), "channel").select(*CELL, (1 / (a * F.col("cell_weight") + 1)).alias("density")), CELL)
 
 
 def weights_noise(weighted: DataFrame, kind: str) -> DataFrame:

@@ -85,6 +85,16 @@ def test_records_in_memory_give_the_same(spark, simulated):
         np.testing.assert_allclose(one[k], other[k], atol=1e-9)
 
 
+def test_samples_are_not_dealt_by_channel(spark, simulated):
+    """Samples meet their channel's parameters where they are read, and cells the channel's mean; only the mean itself is summed by channel."""
+    samples, params = simulated
+    with spill.in_place(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        records = chain.preprocess(samples, params, ONE)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (records, chain.weigh(records, "robust"))]
+    keys = [[re.findall(r"([a-z_]+)#", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)] for plan in plans]
+    assert [k.count(["channel"]) for k in keys] == [0, 1] and any("sub_u" in k for k in keys[0])
+
+
 def test_a_later_cycle_leaves_the_records_where_they_are(spark, simulated, tmp_path):
     samples, params = simulated
     name = spill.write(chain.weigh(chain.preprocess(samples, params, ONE)), str(tmp_path), 4)
