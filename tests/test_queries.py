@@ -81,6 +81,25 @@ def test_pairs_are_dealt_by_blocks(spark, tmp_path, monkeypatch):
     assert sorted((r.a1, r.a2) for r in got.collect()) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
 
 
+def test_pairs_of_a_task_are_alike(spark, tmp_path, monkeypatch):
+    """Blocks are ranges of x, by nation: a task has differences of two ranges of four, and v rises for an antenna; blocks were dealt at random before."""
+    monkeypatch.setattr(relational, "BLOCK", 4)
+    sf = fixture(spark, tmp_path, supplier=([(i, i % 3, i * 7 % 16 * 1.0) for i in range(16)], "s_suppkey long, s_nationkey int, s_acctbal double"))
+    tasks = [t for t in QUERIES["all_pairs_uvw"](spark, sf).rdd.glom().collect() if t]
+    assert sorted((r.a1, r.a2) for t in tasks for r in t) == [(a, b) for a in range(16) for b in range(a + 1, 16)]
+    for t in tasks:
+        assert max(r.u for r in t) - min(r.u for r in t) <= 6
+        assert all(p.a1 != q.a1 or p.v <= q.v for p, q in zip(t, t[1:]))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 2, 3.0)], [(i, None, None if i < 3 else float("nan")) for i in range(6)], [(i, 0, 5.0) for i in range(9)]])
+def test_pairs_of_odd_antennas(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(relational, "BLOCK", 4)
+    sf = fixture(spark, tmp_path, supplier=(rows, "s_suppkey long, s_nationkey int, s_acctbal double"))
+    got = QUERIES["all_pairs_uvw"](spark, sf).collect()
+    assert sorted((r.a1, r.a2) for r in got) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]]
+
+
 def test_default_only_without_status(spark, tmp_path):
     sf = fixture(spark, tmp_path, events=([(i, f"type{i}") for i in range(6)], "event_id long, event_type string"), orders=([(i,) for i in range(8)], "o_orderkey long"))
     assert dict(map(tuple, QUERIES["status_left_default"](spark, sf).collect())) == {i: f"type{i}" for i in range(6)} | {6: "failed", 7: "masked"}
